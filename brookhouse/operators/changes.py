@@ -10,10 +10,11 @@ from ..functions import is_blank
 OPERATIONS = {"c": "insert", "r": "read", "u": "update", "d": "delete"}
 
 
-def normalise_changes(envelopes: DataFrame) -> DataFrame:
+def normalise_changes(envelopes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Change envelopes to `(database, table, type, data)`; a delete has empty data.
 
-    Spelled-out operation names are accepted next to the one-letter codes.
+    Spelled-out operation names are accepted next to the one-letter codes. `keep`
+    names further columns to pass on, such as a sequence or the row before.
     """
     op = F.lower("op")
     spelled = F.when(op == "create", "insert").otherwise(op)
@@ -24,6 +25,7 @@ def normalise_changes(envelopes: DataFrame) -> DataFrame:
         F.col("source.table").alias("table"),
         kind.alias("type"),
         F.coalesce("after", empty).alias("data"),
+        *keep,
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 # A key is heavy when it holds more than one part in HEAVY_PARTS of all rows.
 # By arithmetic there are fewer than HEAVY_PARTS such keys, which is the proven
@@ -22,6 +22,15 @@ def heavy_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     return counts.filter(share > 1).select(*keys, F.ceil(share).alias("pieces"))
 
 
+def _hashable(kind: DataType) -> bool:
+    """Hash functions take no maps, nor anything that holds one."""
+    if isinstance(kind, StructType):
+        return all(_hashable(field.dataType) for field in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, MapType)
+
+
 def spread_join(facts: DataFrame, grouped: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """Left join of `facts` to `grouped`, which has one row and a row count `n` per key.
 
@@ -31,7 +40,7 @@ def spread_join(facts: DataFrame, grouped: DataFrame, keys: list[str], n: str =
     `grouped` is repeated once per piece (fewer than 2 * HEAVY_PARTS rows in all).
     """
     heavy = F.broadcast(heavy_keys(grouped, keys, n))
-    content = [f.name for f in facts.schema.fields if not isinstance(f.dataType, MapType)]
+    content = [f.name for f in facts.schema.fields if _hashable(f.dataType)]
     salted = (
         facts.join(heavy, keys, "left")
         .withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*content), F.col("pieces")), F.lit(0)))

@@ -88,16 +88,24 @@ def enrich_products(df: DataFrame, dims: Dimensions, with_price: bool = False) -
     return by_id(df, dims.trademark, "tm_id", {"tm_name": "TM_NAME"})
 
 
-def enrich_order_wide(wide: DataFrame, dims: Dimensions, as_of: Column) -> DataFrame:
-    """Fill the dimension columns of order wide rows. `as_of` dates the user's age."""
-    wide = by_id(wide, dims.user, "user_id", {
+def enrich_user(wide: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
+    """Gender, and the age on the day `as_of`."""
+    return by_id(wide, users, "user_id", {
         "user_gender": "GENDER",
         "user_age": age_years(F.col("BIRTHDAY").try_cast("date"), as_of),
     })
-    wide = by_id(wide, dims.province, "province_id", {
+
+
+def enrich_province(wide: DataFrame, provinces: DataFrame) -> DataFrame:
+    return by_id(wide, provinces, "province_id", {
         "province_name": "NAME", "province_area_code": "AREA_CODE",
         "province_iso_code": "ISO_CODE", "province_3166_2_code": "ISO_3166_2",
     })
+
+
+def enrich_order_wide(wide: DataFrame, dims: Dimensions, as_of: Column) -> DataFrame:
+    """Fill all dimension columns of order wide rows."""
+    wide = enrich_province(enrich_user(wide, dims.user, as_of), dims.province)
     return enrich_products(wide, dims).select(*ORDER_WIDE_COLUMNS)
 
 

@@ -85,6 +85,7 @@ def envelopes(events: DataFrame) -> DataFrame:
     return events.select(
         F.struct(F.lit("shop").alias("db"), F.col("event_type").alias("table")).alias("source"),
         F.when(turn == 0, "c").when(turn == 1, "r").when(turn == 2, "u").otherwise("d").alias("op"),
+        F.when(turn > 1, F.create_map(F.lit("id"), _text("user_id"))).alias("before"),
         F.when(turn != 3, after).alias("after"),
         F.col("event_id").alias("ts_ms"),
     )

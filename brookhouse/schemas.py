@@ -17,7 +17,8 @@ PAGE_MAP_SCHEMA = "common MAP<STRING, STRING>, page MAP<STRING, STRING>, ts BIGI
 # Change row after normalising, and the raw change envelope before it.
 CHANGE_SCHEMA = "database STRING, `table` STRING, type STRING, data MAP<STRING, STRING>"
 ENVELOPE_SCHEMA = (
-    "source STRUCT<db: STRING, `table`: STRING>, op STRING, after MAP<STRING, STRING>, ts_ms BIGINT"
+    "source STRUCT<db: STRING, `table`: STRING>, op STRING, "
+    "before MAP<STRING, STRING>, after MAP<STRING, STRING>, ts_ms BIGINT"
 )
 
 # Routing rules.
