@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _col(value: Column | str) -> Column:
@@ -57,3 +57,13 @@ def compose_key(*parts: Column | str, separator: str = ":") -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda left, right: left & right, conditions)
+
+
+def add_computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that each row computes them once.
+
+    Filters and join conditions on a projected column are pushed below it together
+    with a copy of its expression. They do not cross a generator, so the values are
+    made in one of a single row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))

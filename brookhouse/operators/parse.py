@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 _BROKEN = "_broken"
 
 
+def _text(value: str) -> Column:
+    """The string, or something that is surely no JSON where there is none."""
+    return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit("?"))
+
+
 class Parsed(NamedTuple):
     rows: DataFrame
     rejects: DataFrame
@@ -17,18 +23,32 @@ class Parsed(NamedTuple):
 def parse_json(df: DataFrame, schema: str, value: str = "value", keep: tuple[str, ...] = ()) -> Parsed:
     """Split a column of JSON strings into typed rows and rejected strings.
 
-    A string that is no JSON object becomes a reject and does not stop the job.
-    The parse sits in a generator, so that neither filter below can pull a second
-    copy of it into the plan.
+    A string that is no JSON object (also an empty or missing one) becomes a reject
+    and does not stop the job. The parse sits in a generator, so that neither
+    filter below can pull a second copy of it into the plan.
     """
-    record = F.from_json(
-        F.col(value), f"{schema}, {_BROKEN} STRING", {"columnNameOfCorruptRecord": _BROKEN}
-    )
+    record = F.from_json(_text(value), f"{schema}, {_BROKEN} STRING", {"columnNameOfCorruptRecord": _BROKEN})
     parsed = df.select(*keep, F.col(value).alias("_text"), F.inline(F.array(record)))
-    bad = F.col("_text").isNull() | F.col(_BROKEN).isNotNull()
     return Parsed(
-        rows=parsed.filter(~bad).drop("_text", _BROKEN),
-        rejects=parsed.filter(bad).select(*keep, F.col("_text").alias(value)),
+        rows=parsed.filter(F.col(_BROKEN).isNull()).drop("_text", _BROKEN),
+        rejects=parsed.filter(F.col(_BROKEN).isNotNull()).select(*keep, F.col("_text").alias(value)),
+    )
+
+
+def parse_fields(df: DataFrame, schema: str, value: str = "value") -> Parsed:
+    """Like `parse_json` for flat objects whose numbers may be written as strings.
+
+    Change rows pass their columns on as text; each field is cast to its type here,
+    and a field that does not fit is null.
+    """
+    entries = F.from_json(_text(value), "MAP<STRING, STRING>")
+    parsed = df.select(F.col(value).alias("_text"), F.explode(F.array(entries)).alias("_map"))
+    fields = StructType.fromDDL(schema).fields
+    return Parsed(
+        rows=parsed.filter(F.col("_map").isNotNull()).select(*[
+            F.try_element_at("_map", F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in fields
+        ]),
+        rejects=parsed.filter(F.col("_map").isNull()).select(F.col("_text").alias(value)),
     )
 
 

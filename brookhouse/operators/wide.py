@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import age_years, to_time
+from ..functions import add_computed, age_years, to_time
 from ..schemas import ORDER_WIDE_COLUMNS, PAYMENT_WIDE_COLUMNS
 from .intervals import interval_join
 from .lookups import by_id
@@ -50,7 +50,8 @@ def _tagged(df: DataFrame, prefix: str, names: Mapping[str, str], time: str) ->
 
 
 def order_with_detail(
-    orders: DataFrame, details: DataFrame, bounds: tuple[float, float] = ORDER_DETAIL_BOUNDS, time: str = "rowtime"
+    orders: DataFrame, details: DataFrame, bounds: tuple[float, float] = ORDER_DETAIL_BOUNDS,
+    time: str = "rowtime", spread: int = 1,
 ) -> DataFrame:
     """Join orders to their details and lay out the 35 wide columns.
 
@@ -59,7 +60,7 @@ def order_with_detail(
     """
     order_side = _tagged(orders, "o_", _FROM_ORDER, time)
     detail_side = _tagged(details, "d_", {**_FROM_DETAIL, "order_id": "order_id"}, time)
-    joined = interval_join(order_side, detail_side, "o_order_id", "d_order_id", "o_time", "d_time", *bounds)
+    joined = interval_join(order_side, detail_side, "o_order_id", "d_order_id", "o_time", "d_time", *bounds, spread)
     filled: dict[str, Column] = {
         **{name: F.col(f"o_{name}") for name in _FROM_ORDER},
         **{name: F.col(f"d_{name}") for name in _FROM_DETAIL},
@@ -72,20 +73,29 @@ def order_with_detail(
     ])
 
 
+def product_dimension(dims: Dimensions) -> DataFrame:
+    """The product dimension with the names of its unit, category and trademark.
+
+    They depend on the product alone, so the snowflake is joined between the
+    dimensions, and facts need one lookup in place of four.
+    """
+    products = dims.sku.select(
+        F.col("ID").alias("ID"),
+        F.col("SKU_NAME").alias("sku_name"),
+        F.col("PRICE").try_cast("decimal(16,2)").alias("sku_price"),
+        *[F.col(name.upper()).try_cast("bigint").alias(name) for name in ("spu_id", "category3_id", "tm_id")],
+    )
+    products = by_id(products, dims.spu, "spu_id", {"spu_name": "SPU_NAME"})
+    products = by_id(products, dims.category3, "category3_id", {"category3_name": "NAME"})
+    return by_id(products, dims.trademark, "tm_id", {"tm_name": "TM_NAME"})
+
+
 def enrich_products(df: DataFrame, dims: Dimensions, with_price: bool = False) -> DataFrame:
-    """Product unit, category and trademark names, each keyed by what the product row says."""
-    take = {
-        "sku_name": "SKU_NAME",
-        "spu_id": F.col("SPU_ID").try_cast("bigint"),
-        "category3_id": F.col("CATEGORY3_ID").try_cast("bigint"),
-        "tm_id": F.col("TM_ID").try_cast("bigint"),
-    }
+    """Product, unit, category and trademark of rows with a `sku_id`."""
+    names = ["sku_name", "spu_id", "category3_id", "tm_id", "spu_name", "category3_name", "tm_name"]
     if with_price:
-        take["sku_price"] = F.col("PRICE").try_cast("decimal(16,2)")
-    df = by_id(df, dims.sku, "sku_id", take)
-    df = by_id(df, dims.spu, "spu_id", {"spu_name": "SPU_NAME"})
-    df = by_id(df, dims.category3, "category3_id", {"category3_name": "NAME"})
-    return by_id(df, dims.trademark, "tm_id", {"tm_name": "TM_NAME"})
+        names.append("sku_price")
+    return by_id(df, product_dimension(dims), "sku_id", {name: name for name in names})
 
 
 def enrich_user(wide: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
@@ -110,7 +120,8 @@ def enrich_order_wide(wide: DataFrame, dims: Dimensions, as_of: Column) -> DataF
 
 
 def payment_wide(
-    payments: DataFrame, wide: DataFrame, bounds: tuple[float, float] = PAYMENT_ORDER_BOUNDS, time: str = "rowtime"
+    payments: DataFrame, wide: DataFrame, bounds: tuple[float, float] = PAYMENT_ORDER_BOUNDS,
+    time: str = "rowtime", spread: int = 1,
 ) -> DataFrame:
     """Payments joined to the wide rows of their order.
 
@@ -126,7 +137,7 @@ def payment_wide(
     }
     pay_side = _tagged(payments, "p_", from_payment, time)
     wide_side = _tagged(wide, "w_", from_wide, time)
-    joined = interval_join(pay_side, wide_side, "p_order_id", "w_order_id", "p_time", "w_time", *bounds)
+    joined = interval_join(pay_side, wide_side, "p_order_id", "w_order_id", "p_time", "w_time", *bounds, spread)
     return joined.select(*[
         F.col(f"p_{name}" if name in from_payment else f"w_{name}").alias(name) for name in PAYMENT_WIDE_COLUMNS
     ])
@@ -134,7 +145,7 @@ def payment_wide(
 
 def with_rowtime(df: DataFrame, column: str = "create_time", rowtime: str = "rowtime") -> DataFrame:
     """Event time from a datetime string column."""
-    return df.withColumn(rowtime, to_time(column))
+    return add_computed(df, **{rowtime: to_time(column)})
 
 
 # Columns that a second row may fill in, and columns that always stay the first row's.

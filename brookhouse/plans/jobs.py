@@ -55,7 +55,9 @@ def repair_logs(logs: DataFrame) -> DataFrame:
 def log_routing(lines: DataFrame) -> RoutedLogs:
     """Raw log strings to page, start and display logs, with the new-visitor flag repaired."""
     parsed = parse_json(lines, LOG_SCHEMA)
-    return RoutedLogs(split_logs(repair_logs(parsed.rows)), parsed.rejects)
+    # Only page logs carry the flag on, so only they take the way of the repair.
+    plain = split_logs(parsed.rows)
+    return RoutedLogs(plain._replace(page=split_logs(repair_logs(parsed.rows)).page), parsed.rejects)
 
 
 def database_routing(lines: DataFrame, rules: DataFrame) -> RoutedChanges:

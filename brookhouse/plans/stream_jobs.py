@@ -17,7 +17,7 @@ from ..functions import day_of, put_field
 from ..functions.keywords import register_keyword_function
 from ..operators import measures as m
 from ..operators import stats
-from ..operators.parse import parse_json, to_json_value
+from ..operators.parse import parse_fields, parse_json, to_json_value
 from ..operators.routing import route_changes, split_logs
 from ..operators.changes import valid_changes
 from ..operators.visitors import is_entry
@@ -30,6 +30,9 @@ from .jobs import BOUNCE_SECONDS, ProductFacts, product_measures, with_device
 # Fixed lateness allowed to event times.
 DELAY = "3 seconds"
 
+# Tasks over which the rows of one key are dealt in stream joins.
+SPREAD = 4
+
 
 @dataclass(frozen=True)
 class Warehouse:
@@ -45,6 +48,10 @@ class Warehouse:
     def rows(self, topic: str, schema: str) -> DataFrame:
         return parse_json(self.topics.stream(TOPICS[topic]), schema).rows
 
+    def facts(self, topic: str, schema: str) -> DataFrame:
+        """Rows of a topic that the change router fills; their columns arrive as text."""
+        return parse_fields(self.topics.routed_stream(TOPICS[topic]), schema).rows
+
     def emit(self, df: DataFrame, topic: str, job: str) -> DataStreamWriter:
         return self.topics.write_stream(to_json_value(df), TOPICS[topic], self.checkpoint(job))
 
@@ -54,19 +61,21 @@ def log_routing(house: Warehouse, days: FlagDays) -> DataStreamWriter:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_json(batch, schemas.LOG_SCHEMA)
-        flat = parsed.rows.withColumn("_mid", F.col("common.mid")).withColumn("_flag", F.col("common.is_new"))
-        fixed = days.repair(flat, batch_id, "_mid", "_flag", day_of("ts"))
-        fixed = fixed.withColumn("common", put_field("common", "is_new", F.col("_flag"))).drop("_mid", "_flag")
-        # Three outputs read the repaired batch: keep it, on disk where memory is short.
-        fixed = fixed.persist(StorageLevel.MEMORY_AND_DISK)
+        # The batch is read by the repair and by three outputs: keep it parsed, on disk
+        # where memory is short.
+        rows = parsed.rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            logs = split_logs(fixed)
-            house.topics.write_batch(to_json_value(logs.page), TOPICS["page"], batch_id)
-            house.topics.write_batch(logs.start.select(F.to_json("start").alias("value")), TOPICS["start"], batch_id)
-            house.topics.write_batch(logs.display.select(F.to_json("display").alias("value")), TOPICS["display"], batch_id)
-            house.topics.write_batch(parsed.rejects, TOPICS["log"] + "_rejects", batch_id)
+            plain = split_logs(rows)
+            flat = rows.withColumn("_mid", F.col("common.mid")).withColumn("_flag", F.col("common.is_new"))
+            fixed = days.repair(flat, batch_id, "_mid", "_flag", day_of("ts"))
+            fixed = fixed.withColumn("common", put_field("common", "is_new", F.col("_flag"))).drop("_mid", "_flag")
+            topics = house.topics
+            topics.write_batch(to_json_value(split_logs(fixed).page), TOPICS["page"], batch_id)
+            topics.write_batch(plain.start.select(F.to_json("start").alias("value")), TOPICS["start"], batch_id)
+            topics.write_batch(plain.display.select(F.to_json("display").alias("value")), TOPICS["display"], batch_id)
+            topics.write_batch(parsed.rejects, TOPICS["log"] + "_rejects", batch_id)
         finally:
-            fixed.unpersist()
+            rows.unpersist()
 
     lines = house.topics.stream(TOPICS["log"])
     return lines.writeStream.option("checkpointLocation", house.checkpoint("log_routing")).foreachBatch(write)
@@ -110,17 +119,17 @@ def _timed(df: DataFrame, column: str, delay: str) -> DataFrame:
 
 
 def order_wide(house: Warehouse, dims: Dimensions, as_of: Column, delay: str = DELAY) -> DataStreamWriter:
-    orders = _timed(house.rows("order", schemas.ORDER_INFO_SCHEMA), "create_time", delay)
-    details = _timed(house.rows("detail", schemas.ORDER_DETAIL_SCHEMA), "create_time", delay)
+    orders = _timed(house.facts("order", schemas.ORDER_INFO_SCHEMA), "create_time", delay)
+    details = _timed(house.facts("detail", schemas.ORDER_DETAIL_SCHEMA), "create_time", delay)
     return house.emit(
-        enrich_order_wide(order_with_detail(orders, details), dims, as_of), "order_wide", "order_wide"
+        enrich_order_wide(order_with_detail(orders, details, spread=SPREAD), dims, as_of), "order_wide", "order_wide"
     )
 
 
 def payment_wide_rows(house: Warehouse, delay: str = DELAY) -> DataStreamWriter:
-    payments = _timed(house.rows("payment", schemas.PAYMENT_INFO_SCHEMA), "callback_time", delay)
+    payments = _timed(house.facts("payment", schemas.PAYMENT_INFO_SCHEMA), "callback_time", delay)
     wide = _timed(house.rows("order_wide", schemas.ORDER_WIDE_SCHEMA), "create_time", delay)
-    return house.emit(payment_wide(payments, wide), "payment_wide", "payment_wide")
+    return house.emit(payment_wide(payments, wide, spread=SPREAD), "payment_wide", "payment_wide")
 
 
 def visitor_statistics(
@@ -148,10 +157,10 @@ def product_statistics(house: Warehouse, dims: Dimensions, table: StatsTable, de
         pages=house.rows("page", schemas.LOG_SCHEMA),
         order_wide=wide_rows,
         payment_wide=house.rows("payment_wide", paid_schema),
-        favors=house.rows("favor", schemas.FAVOR_SCHEMA),
-        carts=house.rows("cart", schemas.CART_SCHEMA),
-        refunds=house.rows("refund", schemas.REFUND_SCHEMA),
-        comments=house.rows("comment", schemas.COMMENT_SCHEMA),
+        favors=house.facts("favor", schemas.FAVOR_SCHEMA),
+        carts=house.facts("cart", schemas.CART_SCHEMA),
+        refunds=house.facts("refund", schemas.REFUND_SCHEMA),
+        comments=house.facts("comment", schemas.COMMENT_SCHEMA),
     )
     timed = product_measures(facts).withWatermark("rowtime", delay)
     named = enrich_products(stats.product_stats(timed), dims, with_price=True)

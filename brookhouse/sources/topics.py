@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.parse import parse_json
+from . import folders
 
 
 @dataclass(frozen=True)
@@ -37,19 +38,30 @@ class Topics:
         named = {"topic": topic} if topic else {}
         return {"kafka.bootstrap.servers": str(self.servers), **named, **self.options}
 
+    def _kafka_values(self, reader, topic: str, start: str) -> DataFrame:
+        raw = reader.format("kafka").options(**self.source_options(topic, start)).load()
+        return raw.select(F.col("value").cast("string").alias("value"))
+
     def stream(self, topic: str, start: str = "earliest") -> DataFrame:
         """Endless rows of one string column `value`; a restart goes on from the checkpoint."""
         if self.servers:
-            raw = self.spark.readStream.format("kafka").options(**self.source_options(topic, start)).load()
-            return raw.select(F.col("value").cast("string").alias("value"))
-        return self.spark.readStream.options(**self.options).text(self.path(topic))
+            return self._kafka_values(self.spark.readStream, topic, start)
+        folders.make(self.spark, self.path(topic))
+        reader = self.spark.readStream.schema("value STRING").options(**self.options)
+        return reader.text(self.path(topic)).select("value")
+
+    def routed_stream(self, topic: str, start: str = "earliest") -> DataFrame:
+        """The same for a topic that `write_routed` fills."""
+        if self.servers:
+            return self._kafka_values(self.spark.readStream, topic, start)
+        reader = self.spark.readStream.schema("value STRING").options(**self.options)
+        return reader.text(f"{self.path('routed')}/*/topic={topic}").select("value")
 
     def table(self, topic: str) -> DataFrame:
         """The rows a topic holds now."""
         if self.servers:
-            raw = self.spark.read.format("kafka").options(**self.source_options(topic)).load()
-            return raw.select(F.col("value").cast("string").alias("value"))
-        return self.spark.read.text(self.path(topic))
+            return self._kafka_values(self.spark.read, topic, "earliest")
+        return self.spark.read.schema("value STRING").text(self.path(topic)).select("value")
 
     def view(
         self, name: str, topic: str, schema: str, rowtime: str, delay: str = "3 seconds", start: str = "latest"
@@ -71,25 +83,27 @@ class Topics:
         return writer.format("text").option("path", self.path(topic))
 
     def write_batch(self, df: DataFrame, topic: str, batch_id: int) -> None:
-        """Append a micro-batch; in folders a repeated batch replaces its first try."""
+        """Append a micro-batch; in folders a batch that is already there is not written again."""
         if self.servers:
             df.select("value").write.format("kafka").options(**self.sink_options(topic)).save()
-        else:
-            df.select("value").write.mode("overwrite").text(f"{self.path(topic)}/batch={batch_id}")
+            return
+        folder = f"{self.path(topic)}/batch={batch_id}"
+        if not folders.exists(self.spark, f"{folder}/_SUCCESS"):
+            df.select("value").write.mode("overwrite").text(folder)
 
     def write_routed(self, df: DataFrame, batch_id: int, destination: str = "sink_table") -> None:
         """Append each row's `value` to the topic its `destination` column names.
 
         In folders all topics of a batch leave in one write, below
-        `routed/batch=<n>/topic=<name>`; `routed_table` reads one of them back.
+        `routed/batch=<n>/topic=<name>`.
         """
         rows = df.select(F.col(destination).alias("topic"), "value")
-        writer: DataFrameWriter
         if self.servers:
             rows.write.format("kafka").options(**self.sink_options()).save()
-        else:
-            writer = rows.write.mode("overwrite").partitionBy("topic")
-            writer.text(f"{self.path('routed')}/batch={batch_id}")
+            return
+        folder = f"{self.path('routed')}/batch={batch_id}"
+        if not folders.exists(self.spark, f"{folder}/_SUCCESS"):
+            rows.write.mode("overwrite").partitionBy("topic").text(folder)
 
     def routed_table(self, topic: str) -> DataFrame:
         """Rows of a routed topic; the scan touches only that topic's folders."""

@@ -6,26 +6,30 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.skew import hashable
 from ..operators.visitors import bounces, first_flag_days, repair_new_flag
 from ..sources import folders
 
 
 def first_per_day_stream(
-    df: DataFrame, device: str, time: str, delay: str, entry: Column | None = None
+    df: DataFrame, device: str, time: str, delay: str, entry: Column | None = None, spread: int = 8
 ) -> DataFrame:
     """The first entry row to arrive of each device and day, passed on at once.
 
     The day is a time window of the key, so its state is dropped as soon as the
-    watermark passes the end of the day.
+    watermark passes the end of the day. Rows are first thinned in `spread` parts
+    per device, so that a busy device does not meet in one task.
     """
     rows = df if entry is None else df.filter(entry)
+    dealt = [f.name for f in df.schema.fields if hashable(f.dataType)]
     clocked = rows.withColumn("_clock", F.col(time).cast("timestamp")).withWatermark("_clock", delay)
-    return (
+    placed = (
         clocked.withColumn("_day", F.window("_clock", "1 day"))
+        .withColumn("_part", F.pmod(F.xxhash64(*dealt), F.lit(spread)))
         .drop("_clock")
-        .dropDuplicates([device, "_day"])
-        .drop("_day")
     )
+    thinned = placed.dropDuplicates([device, "_day", "_part"]) if spread > 1 else placed
+    return thinned.dropDuplicates([device, "_day"]).drop("_day", "_part")
 
 
 def bounces_stream(
