@@ -6,6 +6,7 @@ trigger and starts it. A job restarted with its checkpoint goes on where it was.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -52,6 +53,22 @@ class Warehouse:
         """Rows of a topic that the change router fills; their columns arrive as text."""
         return parse_fields(self.topics.routed_stream(TOPICS[topic]), schema).rows
 
+    def dimensions(self) -> Dimensions:
+        """The dimensions as they are now."""
+        return Dimensions(**{
+            role: self.store.table(name, columns) for role, (name, columns) in schemas.DIMENSION_TABLES.items()
+        })
+
+    def emit_batches(
+        self, df: DataFrame, topic: str, job: str, step: Callable[[DataFrame], DataFrame]
+    ) -> DataStreamWriter:
+        """Write what `step` makes of each micro-batch, so that it sees the dimensions of that moment."""
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            self.topics.write_batch(to_json_value(step(batch)), TOPICS[topic], batch_id)
+
+        return df.writeStream.option("checkpointLocation", self.checkpoint(job)).foreachBatch(write)
+
     def emit(self, df: DataFrame, topic: str, job: str) -> DataStreamWriter:
         return self.topics.write_stream(to_json_value(df), TOPICS[topic], self.checkpoint(job))
 
@@ -81,18 +98,22 @@ def log_routing(house: Warehouse, days: FlagDays) -> DataStreamWriter:
     return lines.writeStream.option("checkpointLocation", house.checkpoint("log_routing")).foreachBatch(write)
 
 
-def database_routing(house: Warehouse, rules: DataFrame, compact_every: int = 50) -> DataStreamWriter:
+def database_routing(house: Warehouse, rules: Callable[[], DataFrame], compact_every: int = 50) -> DataStreamWriter:
     """Change rows to dimension tables and fact topics.
 
-    `rules` is read anew for every micro-batch, before its rows.
+    `rules` is called for every micro-batch, before its rows are routed. Where rows
+    carry a `ts`, it orders the changes of one key inside a batch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_json(batch, schemas.CHANGE_SCHEMA)
-        routed = route_changes(valid_changes(parsed.rows), rules)
-        house.store.apply(routed.dims, batch_id)
-        facts = routed.facts.select("sink_table", F.to_json("data").alias("value"))
-        house.topics.write_routed(facts, batch_id)
+        parsed = parse_json(batch, schemas.CHANGE_SCHEMA + ", ts BIGINT").rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            routed = route_changes(valid_changes(parsed), rules())
+            house.store.apply(routed.dims, batch_id, sequence="ts")
+            facts = routed.facts.select("sink_table", F.to_json("data").alias("value"))
+            house.topics.write_routed(facts, batch_id)
+        finally:
+            parsed.unpersist()
         if batch_id and batch_id % compact_every == 0:
             house.store.compact(batch_id)
 
@@ -118,11 +139,14 @@ def _timed(df: DataFrame, column: str, delay: str) -> DataFrame:
     return with_rowtime(df, column).withWatermark("rowtime", delay)
 
 
-def order_wide(house: Warehouse, dims: Dimensions, as_of: Column, delay: str = DELAY) -> DataStreamWriter:
+def order_wide(house: Warehouse, as_of: Column | None = None, delay: str = DELAY) -> DataStreamWriter:
+    """Order wide rows; ages count up to `as_of`, today unless given."""
     orders = _timed(house.facts("order", schemas.ORDER_INFO_SCHEMA), "create_time", delay)
     details = _timed(house.facts("detail", schemas.ORDER_DETAIL_SCHEMA), "create_time", delay)
-    return house.emit(
-        enrich_order_wide(order_with_detail(orders, details, spread=SPREAD), dims, as_of), "order_wide", "order_wide"
+    day = F.current_date() if as_of is None else as_of
+    return house.emit_batches(
+        order_with_detail(orders, details, spread=SPREAD), "order_wide", "order_wide",
+        lambda batch: enrich_order_wide(batch, house.dimensions(), day),
     )
 
 
@@ -150,12 +174,11 @@ def visitor_statistics(
     return table.write_stream(stats.visitor_stats(timed), house.checkpoint("visitor_statistics"))
 
 
-def product_statistics(house: Warehouse, dims: Dimensions, table: StatsTable, delay: str = DELAY) -> DataStreamWriter:
-    wide_rows = house.rows("order_wide", schemas.ORDER_WIDE_SCHEMA)
+def product_statistics(house: Warehouse, table: StatsTable, delay: str = DELAY) -> DataStreamWriter:
     paid_schema = f"sku_id BIGINT, order_id BIGINT, split_total_amount {schemas.MONEY}, callback_time STRING"
     facts = ProductFacts(
         pages=house.rows("page", schemas.LOG_SCHEMA),
-        order_wide=wide_rows,
+        order_wide=house.rows("order_wide", schemas.ORDER_WIDE_SCHEMA),
         payment_wide=house.rows("payment_wide", paid_schema),
         favors=house.facts("favor", schemas.FAVOR_SCHEMA),
         carts=house.facts("cart", schemas.CART_SCHEMA),
@@ -163,8 +186,10 @@ def product_statistics(house: Warehouse, dims: Dimensions, table: StatsTable, de
         comments=house.facts("comment", schemas.COMMENT_SCHEMA),
     )
     timed = product_measures(facts).withWatermark("rowtime", delay)
-    named = enrich_products(stats.product_stats(timed), dims, with_price=True)
-    return table.write_stream(named, house.checkpoint("product_statistics"))
+    return table.write_stream(
+        stats.product_stats(timed), house.checkpoint("product_statistics"),
+        lambda batch: enrich_products(batch, house.dimensions(), with_price=True),
+    )
 
 
 KEYWORD_SQL = """

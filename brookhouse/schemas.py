@@ -99,3 +99,13 @@ TOPICS = {
     "unique_visitor": "dwm_unique_visitor", "bounce": "dwm_user_jump_detail",
     "order_wide": "dwm_order_wide", "payment_wide": "dwm_payment_wide",
 }
+
+# Dimension tables and the columns that lookups read.
+DIMENSION_TABLES = {
+    "user": ("dim_user_info", ["id", "gender", "birthday"]),
+    "province": ("dim_base_province", ["id", "name", "area_code", "iso_code", "iso_3166_2"]),
+    "sku": ("dim_sku_info", ["id", "sku_name", "spu_id", "category3_id", "tm_id", "price"]),
+    "spu": ("dim_spu_info", ["id", "spu_name"]),
+    "category3": ("dim_base_category3", ["id", "name"]),
+    "trademark": ("dim_base_trademark", ["id", "tm_name"]),
+}

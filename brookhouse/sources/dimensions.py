@@ -18,8 +18,8 @@ _STORED = "id STRING, data MAP<STRING, STRING>, deleted BOOLEAN, batch BIGINT, s
 class DimensionStore:
     """All dimension tables below one folder of the shared file system.
 
-    A batch of changes is only appended (`delta/batch=<n>`, replaced when the batch
-    is repeated). `compact` folds base and deltas into a new base (`base/upto=<n>`).
+    A batch of changes is only appended (`delta/batch=<n>`; a repeated batch finds it
+    written). `compact` folds base and deltas into a new base (`base/upto=<n>`).
     Readers take the newest finished base and the finished deltas after it, so a
     folder that is being read is never written again. Both are partitioned by
     `sink_table`: a lookup reads its own table only.
@@ -33,8 +33,11 @@ class DimensionStore:
 
         Rows of one key are reduced to the last by `sequence` before they are written.
         """
+        folder = f"{self.root}/delta/batch={batch_id}"
+        if folders.exists(self.spark, f"{folder}/_SUCCESS"):
+            return
         rows = dims.select(
-            F.element_at("data", F.col("sink_pk")).alias("id"),
+            F.try_element_at("data", F.col("sink_pk")).alias("id"),
             "data",
             (F.lit(apply_deletes) & (F.col("type") == "delete")).alias("deleted"),
             F.lit(batch_id).cast("bigint").alias("batch"),
@@ -42,7 +45,7 @@ class DimensionStore:
             "sink_table",
         ).filter(F.col("id").isNotNull())
         last = latest_by_key(rows, ["sink_table", "id"], ["seq"])
-        last.write.mode("overwrite").partitionBy("sink_table").parquet(f"{self.root}/delta/batch={batch_id}")
+        last.write.mode("overwrite").partitionBy("sink_table").parquet(folder)
 
     def _stored(self) -> DataFrame | None:
         bases = folders.committed(self.spark, f"{self.root}/base", "upto")
@@ -59,17 +62,15 @@ class DimensionStore:
             stored = stored.unionByName(part)
         return stored
 
-    def rows(self) -> DataFrame | None:
-        """The last state of every key of every table, deletes included."""
-        stored = self._stored()
-        return None if stored is None else latest_by_key(stored, ["sink_table", "id"], ["batch", "seq"])
-
     def compact(self, upto: int) -> None:
         """Fold everything up to a batch into a new base; keys deleted by then are gone."""
-        rows = self.rows()
-        if rows is not None:
-            live = rows.filter(~F.col("deleted"))
-            live.write.mode("overwrite").partitionBy("sink_table").parquet(f"{self.root}/base/upto={upto}")
+        folder = f"{self.root}/base/upto={upto}"
+        stored = None if folders.exists(self.spark, f"{folder}/_SUCCESS") else self._stored()
+        if stored is not None:
+            last = latest_by_key(
+                stored.filter(F.col("batch") <= upto), ["sink_table", "id"], ["batch", "seq"], F.col("deleted")
+            )
+            last.write.mode("overwrite").partitionBy("sink_table").parquet(folder)
 
     def table(self, name: str, columns: list[str]) -> DataFrame:
         """Current rows of one dimension: string columns in upper case, `ID` the key.

@@ -47,8 +47,8 @@ def bounces_stream(
 class FlagDays:
     """First flagged day of every device seen so far, kept as a table on shared storage.
 
-    Each micro-batch adds its new devices in one folder; a repeated batch replaces
-    its folder and reads only the folders before it, so it gives the same result.
+    Each micro-batch adds its new devices in one folder. A repeated batch finds its
+    folder written, reads only the folders before it, and gives the same result.
     """
 
     spark: SparkSession
@@ -72,9 +72,13 @@ class FlagDays:
         """Repair the flags of one micro-batch and remember its new devices."""
         kind = batch.schema[device].dataType.simpleString()
         known = self.known(device, kind, batch_id)
-        found = first_flag_days(batch, device, flag, day).select(device, "first_day").filter(F.col(device).isNotNull())
-        fresh = found if known is None else found.join(known.select(device), device, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{self.root}/new/batch={batch_id}")
-        if known is not None and batch_id % compact_every == 0:
-            known.write.mode("overwrite").parquet(f"{self.root}/base/upto={batch_id - 1}")
+        new = f"{self.root}/new/batch={batch_id}"
+        if not folders.exists(self.spark, f"{new}/_SUCCESS"):
+            found = first_flag_days(batch, device, flag, day).select(device, "first_day")
+            found = found.filter(F.col(device).isNotNull())
+            fresh = found if known is None else found.join(known.select(device), device, "left_anti")
+            fresh.write.mode("overwrite").parquet(new)
+        base = f"{self.root}/base/upto={batch_id - 1}"
+        if known is not None and batch_id % compact_every == 0 and not folders.exists(self.spark, f"{base}/_SUCCESS"):
+            known.write.mode("overwrite").parquet(base)
         return repair_new_flag(batch, device, flag, day, known)
