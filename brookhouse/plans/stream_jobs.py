@@ -60,14 +60,15 @@ class Warehouse:
         })
 
     def emit_batches(
-        self, df: DataFrame, topic: str, job: str, step: Callable[[DataFrame], DataFrame]
+        self, df: DataFrame, topic: str, job: str, step: Callable[[DataFrame], DataFrame], mode: str = "append"
     ) -> DataStreamWriter:
         """Write what `step` makes of each micro-batch, so that it sees the dimensions of that moment."""
 
         def write(batch: DataFrame, batch_id: int) -> None:
             self.topics.write_batch(to_json_value(step(batch)), TOPICS[topic], batch_id)
 
-        return df.writeStream.option("checkpointLocation", self.checkpoint(job)).foreachBatch(write)
+        writer = df.writeStream.outputMode(mode).option("checkpointLocation", self.checkpoint(job))
+        return writer.foreachBatch(write)
 
     def emit(self, df: DataFrame, topic: str, job: str) -> DataStreamWriter:
         return self.topics.write_stream(to_json_value(df), TOPICS[topic], self.checkpoint(job))
@@ -124,8 +125,10 @@ def database_routing(house: Warehouse, rules: Callable[[], DataFrame], compact_e
 def unique_visitors(house: Warehouse, delay: str = DELAY) -> DataStreamWriter:
     pages = house.rows("page", schemas.LOG_SCHEMA)
     timed = with_device(pages).withColumn("_time", F.timestamp_millis("ts"))
-    first = first_per_day_stream(timed, "_mid", "_time", delay, is_entry("page.last_page_id"))
-    return house.emit(first.select(*pages.columns), "unique_visitor", "unique_visitors")
+    first = first_per_day_stream(timed, "_mid", "_time", ["ts", "_tie"], delay, is_entry("page.last_page_id"))
+    return house.emit_batches(
+        first.select(*pages.columns), "unique_visitor", "unique_visitors", lambda batch: batch, "update"
+    )
 
 
 def bounced_visitors(house: Warehouse, timeout_seconds: int = BOUNCE_SECONDS, delay: str = DELAY) -> DataStreamWriter:

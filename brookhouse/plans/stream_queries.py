@@ -35,16 +35,14 @@ def _zoned(events: DataFrame, column: str = "ts") -> DataFrame:
     return events.withColumn(column, F.col(column).cast("timestamp"))
 
 
-@query("stream_unique_visitor", """
-SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS kept FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts) r FROM events WHERE event_type = 'signup') x
-WHERE r = 1 GROUP BY user_id, CAST(ts AS DATE)""")
+@query("stream_unique_visitor", SQL["unique_visitor"])
 def stream_unique_visitor(t: Tables) -> DataFrame:
-    """Which row of a day comes first is a matter of arrival; that there is one is not."""
+    """The table is one micro-batch, so the first row to arrive is the first in time."""
     first = replay(t.spark, t.path("events"), "ts", lambda events: first_per_day_stream(
-        _zoned(events), "user_id", "ts", LATE, F.col("event_type") == "signup"
-    ))
-    return first.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("kept"))
+        _zoned(events).select("event_id", "user_id", "ts", "event_type"), "user_id", "ts", ["ts", "event_id"], LATE,
+        F.col("event_type") == "signup",
+    ), mode="update")
+    return first.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("stream_user_jump", USER_JUMP_SQL)

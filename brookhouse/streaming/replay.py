@@ -16,12 +16,11 @@ def stream_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def _run(out: DataFrame, folder: str, batches: Callable[[DataFrame, int], None] | None) -> None:
-    writer = out.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
-    if batches is None:
-        writer = writer.format("parquet").option("path", f"{folder}/out")
-    else:
-        writer = writer.foreachBatch(batches)
+def _run(out: DataFrame, folder: str, step: Callable[[DataFrame, int], DataFrame], mode: str) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        step(batch, batch_id).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write)
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
@@ -32,8 +31,9 @@ def replay(
     build: Callable[[DataFrame], DataFrame],
     closing: dict[str, str] | None = None,
     horizon: str = "INTERVAL 1000 DAYS",
+    mode: str = "append",
 ) -> DataFrame:
-    """Rows that the streaming query `build` appends for the whole table at `path`.
+    """Rows that the streaming query `build` gives out for the whole table at `path`.
 
     A stream never closes its last windows by itself. After the table one closing
     row is fed in, `horizon` later than the last row, with the column values in
@@ -47,15 +47,15 @@ def replay(
     table.limit(0).write.parquet(end)
     stream = stream_table(spark, path).unionByName(spark.readStream.schema(table.schema).parquet(end))
     out = build(stream)
-    _run(out, folder, None)
+    _run(out, folder, lambda batch, _: batch, mode)
     if closing is not None:
         values = {time: F.col("_last") + F.expr(horizon), **{n: F.lit(v) for n, v in closing.items()}}
         last = table.agg(F.max(time).alias("_last")).select(*[
             values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields
         ])
         last.write.mode("append").parquet(end)
-        _run(build(stream), folder, None)
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+        _run(build(stream), folder, lambda batch, _: batch, mode)
+    return spark.read.parquet(f"{folder}/out").select(*out.columns)
 
 
 def replay_batches(
@@ -66,9 +66,5 @@ def replay_batches(
     `folder` is the query's own, for state it keeps between batches.
     """
     folder = working_dir(spark, "replay")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        step(batch, batch_id, folder).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-
-    _run(stream, folder, write)
+    _run(stream, folder, lambda batch, batch_id: step(batch, batch_id, folder), "append")
     return spark.read.parquet(f"{folder}/out").drop("batch")

@@ -6,30 +6,33 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.skew import hashable
 from ..operators.visitors import bounces, first_flag_days, repair_new_flag
 from ..sources import folders
 
 
 def first_per_day_stream(
-    df: DataFrame, device: str, time: str, delay: str, entry: Column | None = None, spread: int = 8
+    df: DataFrame, device: str, time: str, order: list[str], delay: str, entry: Column | None = None
 ) -> DataFrame:
-    """The first entry row to arrive of each device and day, passed on at once.
+    """The first entry row of each device and day, passed on in the micro-batch that brings it.
 
-    The day is a time window of the key, so its state is dropped as soon as the
-    watermark passes the end of the day. Rows are first thinned in `spread` parts
-    per device, so that a busy device does not meet in one task.
+    Among the rows of one micro-batch the first by `order` is taken. To be run in
+    update mode: a group changes in its first micro-batch, where the times of its
+    first and its last batch are equal, and only then its row comes out. Rows of a
+    busy device are combined before they are shuffled, and the state of a day is
+    dropped when the watermark passes its end.
     """
     rows = df if entry is None else df.filter(entry)
-    dealt = [f.name for f in df.schema.fields if hashable(f.dataType)]
-    clocked = rows.withColumn("_clock", F.col(time).cast("timestamp")).withWatermark("_clock", delay)
     placed = (
-        clocked.withColumn("_day", F.window("_clock", "1 day"))
-        .withColumn("_part", F.pmod(F.xxhash64(*dealt), F.lit(spread)))
-        .drop("_clock")
+        rows.withColumn("_clock", F.col(time).cast("timestamp"))
+        .withWatermark("_clock", delay)
+        .withColumn("_batch", F.current_timestamp())
     )
-    thinned = placed.dropDuplicates([device, "_day", "_part"]) if spread > 1 else placed
-    return thinned.dropDuplicates([device, "_day"]).drop("_day", "_part")
+    seen = placed.groupBy(device, F.window("_clock", "1 day").alias("_day")).agg(
+        F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"),
+        F.min("_batch").alias("_first"),
+        F.max("_batch").alias("_last"),
+    )
+    return seen.filter(F.col("_first") == F.col("_last")).select("_row.*")
 
 
 def bounces_stream(

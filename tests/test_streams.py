@@ -264,14 +264,24 @@ def test_first_per_day_stream_passes_one_row_and_drops_state(spark, tmp_path):
     schema = "device INT, t TIMESTAMP"
     folder = str(tmp_path / "rows")
     for day in range(5):
-        spark.range(60).select(
-            (F.col("id") % 3).cast("int").alias("device"), F.timestamp_seconds(F.lit(day * 86400) + F.col("id")).alias("t"),
-        ).coalesce(1).write.mode("append").parquet(folder)
+        for begin in (0, 100):  # two files a day, the second one later
+            spark.range(60).select(
+                (F.col("id") % 3).cast("int").alias("device"),
+                F.timestamp_seconds(F.lit(day * 86400 + begin) + F.col("id")).alias("t"),
+            ).orderBy(F.desc("t")).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(folder)
-    query = drain(first_per_day_stream(stream, "device", "t", "1 hour"), tmp_path)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 15
-    # Two days of three devices are left in the last of the two steps.
-    assert min(step["numRowsTotal"] for step in query.lastProgress["stateOperators"]) <= 6
+    found = []
+
+    def keep(batch, _):
+        found.extend((r.device, r.s) for r in batch.select("device", F.unix_seconds("t").alias("s")).collect())
+
+    query = (
+        first_per_day_stream(stream, "device", "t", ["t"], "1 hour").writeStream.outputMode("update").foreachBatch(keep)
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    assert query.awaitTermination(120)
+    assert sorted(found) == sorted((d, day * 86400 + d) for d in range(3) for day in range(5))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6
 
 
 @pytest.mark.parametrize("spread", [1, 4])
