@@ -4,20 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def lookup(
-    facts: DataFrame,
-    dimension: DataFrame,
-    on: Mapping[str, str],
-    take: Mapping[str, Column | str],
-    unique: bool = True,
+    facts: DataFrame, dimension: DataFrame, on: Mapping[str, str], take: Mapping[str, str], unique: bool = True
 ) -> DataFrame:
     """Add columns of the matching dimension row; rows without a match stay, with nulls.
 
-    `on` maps fact columns to dimension columns (all must be equal), `take` maps
-    output columns to dimension columns or expressions. A taken name that exists
+    `on` maps fact columns to SQL expressions over the dimension (all must be
+    equal), `take` maps output columns to such expressions. A taken name that exists
     in `facts` is replaced where a dimension row was found.
 
     There is no broadcast hint. Spark broadcasts the dimension when the measured
@@ -27,26 +23,22 @@ def lookup(
 
     Pass `unique=False` when keys may repeat: one row per key is kept.
     """
-    keys = list(on.values())
-    picked = dimension.select(
-        *[F.col(key).alias(f"_key{i}") for i, key in enumerate(keys)],
-        *[(F.col(e) if isinstance(e, str) else e).alias(f"_dim_{name}") for name, e in take.items()],
-        F.lit(True).alias("_found"),
+    keys = [f"_key{i}" for i in range(len(on))]
+    picked = dimension.selectExpr(
+        *[f"{value} AS {key}" for key, value in zip(keys, on.values())],
+        *[f"{value} AS `_dim_{name}`" for name, value in take.items()],
+        "true AS _found",
     )
     if not unique:
-        picked = picked.dropDuplicates([f"_key{i}" for i in range(len(keys))])
-    condition = [F.col(fact) == F.col(f"_key{i}") for i, fact in enumerate(on)]
-    joined = facts.join(picked, condition, "left")
-    out = [
-        F.when(F.col("_found"), F.col(f"_dim_{name}")).otherwise(F.col(name)).alias(name)
-        if name in take else F.col(name)
-        for name in facts.columns
+        picked = picked.dropDuplicates(keys)
+    condition = F.expr(" AND ".join(f"`{fact}` = {key}" for key, fact in zip(keys, on)))
+    kept = [
+        f"IF(_found, `_dim_{name}`, `{name}`) AS `{name}`" if name in take else f"`{name}`" for name in facts.columns
     ]
-    added = [F.col(f"_dim_{name}").alias(name) for name in take if name not in facts.columns]
-    return joined.select(*out, *added)
+    added = [f"`_dim_{name}` AS `{name}`" for name in take if name not in facts.columns]
+    return facts.join(picked, condition, "left").selectExpr(*kept, *added)
 
 
-def by_id(facts: DataFrame, dimension: DataFrame, key: str, take: Mapping[str, Column | str]) -> DataFrame:
+def by_id(facts: DataFrame, dimension: DataFrame, key: str, take: Mapping[str, str]) -> DataFrame:
     """Lookup on the numeric key of a dimension that stores all columns as strings."""
-    typed = dimension.withColumn("_id", F.col("ID").try_cast("bigint"))
-    return lookup(facts, typed, {key: "_id"}, take)
+    return lookup(facts, dimension, {key: "TRY_CAST(ID AS BIGINT)"}, take)

@@ -12,31 +12,26 @@ VISITOR_DIMS = ("vc", "ch", "ar", "is_new")
 VISITOR_MEASURES = ("uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum")
 
 
-def _visitor(df: DataFrame, **measures: Column) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
-    return df.select(
-        *[F.col(f"common.{name}").alias(name) for name in VISITOR_DIMS],
-        *[measures.get(name, zero).cast("bigint").alias(name) for name in VISITOR_MEASURES],
+def _visitor(df: DataFrame, **measures: str) -> DataFrame:
+    return df.selectExpr(
+        *[f"common.{name} AS {name}" for name in VISITOR_DIMS],
+        *[f"CAST({measures.get(name, '0')} AS BIGINT) AS {name}" for name in VISITOR_MEASURES],
         "ts",
     )
 
 
 def page_views(pages: DataFrame) -> DataFrame:
     """One view per page row, one visit per entry row, and the time spent."""
-    return _visitor(
-        pages,
-        pv_ct=F.lit(1),
-        sv_ct=F.when(is_entry("page.last_page_id"), 1).otherwise(0),
-        dur_sum=F.coalesce("page.during_time", F.lit(0)),
-    )
+    marked = pages.withColumn("_entry", is_entry("page.last_page_id"))
+    return _visitor(marked, pv_ct="1", sv_ct="_entry", dur_sum="coalesce(page.during_time, 0)")
 
 
 def unique_visits(pages: DataFrame) -> DataFrame:
-    return _visitor(pages, uv_ct=F.lit(1))
+    return _visitor(pages, uv_ct="1")
 
 
 def bounced_visits(pages: DataFrame) -> DataFrame:
-    return _visitor(pages, uj_ct=F.lit(1))
+    return _visitor(pages, uj_ct="1")
 
 
 # Measures of the product subject with the type each is summed in. Orders,
@@ -49,68 +44,60 @@ PRODUCT_SUMS = {
 PRODUCT_FLAGS = ("ordered", "paid", "refunded")
 
 
-def _product(df: DataFrame, sku: Column, rowtime: Column, order_id: Column | None = None, **measures: Column) -> DataFrame:
-    none = F.lit(None).cast("bigint") if order_id is None else order_id
-    flags = {name: F.lit(name in measures).cast("int") for name in PRODUCT_FLAGS}
-    return df.select(
-        sku.cast("bigint").alias("sku_id"),
-        rowtime.alias("rowtime"),
-        none.alias("order_id"),
-        *[measures[name].cast(kind).alias(name) for name, kind in PRODUCT_SUMS.items() if name in measures],
-        *[flags[name].alias(name) for name in PRODUCT_FLAGS if name in measures],
+def _product(df: DataFrame, sku: str, rowtime: Column, order_id: str = "NULL", **measures: str) -> DataFrame:
+    """Rows of one branch; `measures` maps measures and flags to SQL expressions."""
+    kinds = {**PRODUCT_SUMS, **dict.fromkeys(PRODUCT_FLAGS, "INT")}
+    return df.withColumn("rowtime", rowtime).selectExpr(
+        f"CAST({sku} AS BIGINT) AS sku_id", "rowtime", f"CAST({order_id} AS BIGINT) AS order_id",
+        *[f"CAST({value} AS {kinds[name]}) AS {name}" for name, value in measures.items()],
     )
 
 
 def product_clicks(pages: DataFrame) -> DataFrame:
     """Pages that show one product in detail."""
-    shown = pages.filter(F.col("page.page_id") == "good_detail")
-    return _product(
-        shown, F.col("page.item").try_cast("bigint"), F.timestamp_millis("ts"), click_ct=F.lit(1)
-    )
+    shown = pages.filter("page.page_id = 'good_detail'")
+    return _product(shown, "TRY_CAST(page.item AS BIGINT)", F.timestamp_millis("ts"), click_ct="1")
 
 
 def product_displays(pages: DataFrame) -> DataFrame:
     """Displayed items that are products."""
-    displays = pages.select("ts", F.explode("displays").alias("display"))
+    displays = pages.selectExpr("ts", "explode(displays) AS display")
     products = displays.filter(map_value("display", "item_type") == "sku_id")
-    return _product(
-        products, map_value("display", "item").try_cast("bigint"), F.timestamp_millis("ts"), display_ct=F.lit(1)
-    )
+    sku = "TRY_CAST(try_element_at(display, 'item') AS BIGINT)"
+    return _product(products, sku, F.timestamp_millis("ts"), display_ct="1")
 
 
 def product_favors(favors: DataFrame) -> DataFrame:
-    return _product(favors, F.col("sku_id"), to_time("create_time"), favor_ct=F.lit(1))
+    return _product(favors, "sku_id", to_time("create_time"), favor_ct="1")
 
 
 def product_carts(carts: DataFrame) -> DataFrame:
-    return _product(carts, F.col("sku_id"), to_time("create_time"), cart_ct=F.lit(1))
+    return _product(carts, "sku_id", to_time("create_time"), cart_ct="1")
 
 
 def product_orders(wide: DataFrame) -> DataFrame:
     return _product(
-        wide, F.col("sku_id"), to_time("create_time"), F.col("order_id"),
-        order_sku_num=F.col("sku_num"), order_amount=F.col("split_total_amount"), ordered=F.lit(1),
+        wide, "sku_id", to_time("create_time"), "order_id",
+        order_sku_num="sku_num", order_amount="split_total_amount", ordered="1",
     )
 
 
 def product_payments(wide: DataFrame) -> DataFrame:
     return _product(
-        wide, F.col("sku_id"), to_time("callback_time"), F.col("order_id"),
-        payment_amount=F.col("split_total_amount"), paid=F.lit(1),
+        wide, "sku_id", to_time("callback_time"), "order_id", payment_amount="split_total_amount", paid="1"
     )
 
 
 def product_refunds(refunds: DataFrame) -> DataFrame:
     return _product(
-        refunds, F.col("sku_id"), to_time("create_time"), F.col("order_id"),
-        refund_amount=F.col("refund_amount"), refunded=F.lit(1),
+        refunds, "sku_id", to_time("create_time"), "order_id", refund_amount="refund_amount", refunded="1"
     )
 
 
 def product_comments(comments: DataFrame) -> DataFrame:
     return _product(
-        comments, F.col("sku_id"), to_time("create_time"), comment_ct=F.lit(1),
-        good_comment_ct=F.when(F.col("appraise") == GOOD_APPRAISE, 1).otherwise(0),
+        comments, "sku_id", to_time("create_time"), comment_ct="1",
+        good_comment_ct=f"IF(appraise = '{GOOD_APPRAISE}', 1, 0)",
     )
 
 

@@ -17,19 +17,17 @@ WINDOW = "10 seconds"
 def union_measures(branches: list[DataFrame]) -> DataFrame:
     """Union of measure rows; a branch that lacks a measure counts as 0 for it."""
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
-    measures = [name for name in merged.columns if name in PRODUCT_SUMS or name in PRODUCT_FLAGS]
-    filled = [
-        F.coalesce(F.col(name), F.lit(0).cast(merged.schema[name].dataType)).alias(name)
-        if name in measures else F.col(name)
+    kinds = dict(merged.dtypes)
+    return merged.selectExpr(*[
+        f"coalesce({name}, CAST(0 AS {kinds[name]})) AS {name}" if name in PRODUCT_SUMS or name in PRODUCT_FLAGS else name
         for name in merged.columns
-    ]
-    return merged.select(*filled)
+    ])
 
 
 def visitor_stats(measures: DataFrame, size: str = WINDOW, time: str = "rowtime") -> DataFrame:
     """Sum all visitor measures per window and the four visitor dimensions."""
     totals = measures.groupBy(F.window(time, size).alias("w"), *VISITOR_DIMS).agg(
-        *[F.sum(name).alias(name) for name in VISITOR_MEASURES]
+        *[F.expr(f"sum({name}) AS {name}") for name in VISITOR_MEASURES]
     )
     return totals.select(*span_text("w"), *VISITOR_DIMS, *VISITOR_MEASURES)
 
@@ -45,13 +43,13 @@ def product_stats(measures: DataFrame, size: str = WINDOW, time: str = "rowtime"
     sums = [name for name in PRODUCT_SUMS if name in measures.columns]
     flags = [name for name in PRODUCT_FLAGS if name in measures.columns]
     per_order = measures.groupBy(F.window(time, size).alias("w"), "sku_id", "order_id").agg(
-        *[F.sum(name).alias(name) for name in sums], *[F.max(name).alias(name) for name in flags]
+        *[F.expr(f"sum({name}) AS {name}") for name in sums], *[F.expr(f"max({name}) AS {name}") for name in flags]
     )
     counts = {"ordered": "order_ct", "paid": "paid_order_ct", "refunded": "refund_order_ct"}
-    has_id = F.col("order_id").isNotNull()
+    kinds = {name: "BIGINT" if PRODUCT_SUMS[name] == "bigint" else "DECIMAL(26,2)" for name in sums}
     totals = per_order.groupBy("w", "sku_id").agg(
-        *[F.sum(name).cast("decimal(26,2)" if PRODUCT_SUMS[name] != "bigint" else "bigint").alias(name) for name in sums],
-        *[F.sum(F.when(has_id, F.col(flag)).otherwise(0)).cast("bigint").alias(counts[flag]) for flag in flags],
+        *[F.expr(f"CAST(sum({name}) AS {kinds[name]}) AS {name}") for name in sums],
+        *[F.expr(f"CAST(sum(IF(order_id IS NULL, 0, {flag})) AS BIGINT) AS {counts[flag]}") for flag in flags],
     )
     return totals.select(*span_text("w"), "sku_id", *sums, *[counts[flag] for flag in flags])
 
@@ -68,7 +66,7 @@ def province_stats(wide: DataFrame, size: str = WINDOW, time: str = "rowtime") -
         "province_id": "province_id", "province_name": "province_name", "area_code": "province_area_code",
         "iso_code": "province_iso_code", "iso_3166_2": "province_3166_2_code",
     }
-    rows = wide.select(*[F.col(c).alias(name) for name, c in places.items()], "order_id", "split_total_amount", time)
+    rows = wide.selectExpr(*[f"{c} AS {name}" for name, c in places.items()], "order_id", "split_total_amount", time)
     per_order = rows.groupBy(F.window(time, size).alias("w"), *places, "order_id").agg(
         F.sum("split_total_amount").alias("order_amount")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from ..functions import add_computed, age_years, to_time
 from ..schemas import ORDER_WIDE_COLUMNS, PAYMENT_WIDE_COLUMNS
@@ -44,8 +44,8 @@ class Dimensions:
 
 
 def _tagged(df: DataFrame, prefix: str, names: Mapping[str, str], time: str) -> DataFrame:
-    return df.select(
-        *[F.col(source).alias(f"{prefix}{name}") for name, source in names.items()], F.col(time).alias(f"{prefix}time")
+    return df.selectExpr(
+        *[f"`{source}` AS `{prefix}{name}`" for name, source in names.items()], f"`{time}` AS {prefix}time"
     )
 
 
@@ -61,15 +61,14 @@ def order_with_detail(
     order_side = _tagged(orders, "o_", _FROM_ORDER, time)
     detail_side = _tagged(details, "d_", {**_FROM_DETAIL, "order_id": "order_id"}, time)
     joined = interval_join(order_side, detail_side, "o_order_id", "d_order_id", "o_time", "d_time", *bounds, spread)
-    filled: dict[str, Column] = {
-        **{name: F.col(f"o_{name}") for name in _FROM_ORDER},
-        **{name: F.col(f"d_{name}") for name in _FROM_DETAIL},
-        "create_date": F.substring("o_create_time", 1, 10),
-        "create_hour": F.substring("o_create_time", 12, 2),
+    filled = {
+        **{name: f"o_{name}" for name in _FROM_ORDER},
+        **{name: f"d_{name}" for name in _FROM_DETAIL},
+        "create_date": "substring(o_create_time, 1, 10)",
+        "create_hour": "substring(o_create_time, 12, 2)",
     }
-    return joined.select(*[
-        (filled[name] if name in filled else F.lit(None)).cast(kind).alias(name)
-        for name, kind in ORDER_WIDE_COLUMNS.items()
+    return joined.selectExpr(*[
+        f"CAST({filled.get(name, 'NULL')} AS {kind}) AS {name}" for name, kind in ORDER_WIDE_COLUMNS.items()
     ])
 
 
@@ -79,11 +78,9 @@ def product_dimension(dims: Dimensions) -> DataFrame:
     They depend on the product alone, so the snowflake is joined between the
     dimensions, and facts need one lookup in place of four.
     """
-    products = dims.sku.select(
-        F.col("ID").alias("ID"),
-        F.col("SKU_NAME").alias("sku_name"),
-        F.col("PRICE").try_cast("decimal(16,2)").alias("sku_price"),
-        *[F.col(name.upper()).try_cast("bigint").alias(name) for name in ("spu_id", "category3_id", "tm_id")],
+    products = dims.sku.selectExpr(
+        "ID", "SKU_NAME AS sku_name", "TRY_CAST(PRICE AS DECIMAL(16,2)) AS sku_price",
+        *[f"TRY_CAST({name.upper()} AS BIGINT) AS {name}" for name in ("spu_id", "category3_id", "tm_id")],
     )
     products = by_id(products, dims.spu, "spu_id", {"spu_name": "SPU_NAME"})
     products = by_id(products, dims.category3, "category3_id", {"category3_name": "NAME"})
@@ -100,10 +97,8 @@ def enrich_products(df: DataFrame, dims: Dimensions, with_price: bool = False) -
 
 def enrich_user(wide: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
     """Gender, and the age on the day `as_of`."""
-    return by_id(wide, users, "user_id", {
-        "user_gender": "GENDER",
-        "user_age": age_years(F.col("BIRTHDAY").try_cast("date"), as_of),
-    })
+    found = by_id(wide, users, "user_id", {"user_gender": "GENDER", "_birthday": "TRY_CAST(BIRTHDAY AS DATE)"})
+    return found.withColumn("user_age", age_years("_birthday", as_of)).drop("_birthday")
 
 
 def enrich_province(wide: DataFrame, provinces: DataFrame) -> DataFrame:
@@ -138,8 +133,8 @@ def payment_wide(
     pay_side = _tagged(payments, "p_", from_payment, time)
     wide_side = _tagged(wide, "w_", from_wide, time)
     joined = interval_join(pay_side, wide_side, "p_order_id", "w_order_id", "p_time", "w_time", *bounds, spread)
-    return joined.select(*[
-        F.col(f"p_{name}" if name in from_payment else f"w_{name}").alias(name) for name in PAYMENT_WIDE_COLUMNS
+    return joined.selectExpr(*[
+        f"{'p' if name in from_payment else 'w'}_{name} AS {name}" for name in PAYMENT_WIDE_COLUMNS
     ])
 
 
@@ -158,9 +153,8 @@ FILLABLE = (
 
 def merge_wide(first: DataFrame, second: DataFrame, keys: list[str], fillable: tuple[str, ...] = FILLABLE) -> DataFrame:
     """Fill null columns of `first` from the row of `second` with the same keys."""
-    other = second.select(*keys, *[F.col(name).alias(f"_other_{name}") for name in fillable])
-    joined = first.join(other, keys, "left")
-    return joined.select(*[
-        F.coalesce(F.col(name), F.col(f"_other_{name}")).alias(name) if name in fillable else F.col(name)
+    other = second.selectExpr(*keys, *[f"`{name}` AS `_other_{name}`" for name in fillable])
+    return first.join(other, keys, "left").selectExpr(*[
+        f"coalesce(`{name}`, `_other_{name}`) AS `{name}`" if name in fillable else f"`{name}`"
         for name in first.columns
     ])

@@ -7,66 +7,53 @@ data. Amounts are decimals, times are datetime strings, dimensions are strings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.wide import Dimensions
 from ..schemas import MONEY
 
 
 class Tables:
-    """The sample tables of one folder."""
+    """The sample tables of one folder. A table's schema is read once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._schemas: dict[str, object] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(self.path(name)).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(self.path(name))
 
 
-def _text(column: str) -> Column:
-    return F.col(column).cast("string")
+def _stamp(time: str) -> str:
+    return f"date_format({time}, 'yyyy-MM-dd HH:mm:ss')"
 
 
-def _stamp(column: Column | str) -> Column:
-    return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
-
-
-def _pick(column: str, **by_type: str) -> Column:
-    kind = F.col("event_type")
-    parts = [F.when(kind == name, value) for name, value in by_type.items()]
-    return F.coalesce(*parts).alias(column)
+K = "get_json_object(props, '$.k')"
 
 
 def logs(events: DataFrame) -> DataFrame:
     """Behaviour logs: sign-ups enter, views and clicks follow, errors start the app."""
-    k = F.get_json_object("props", "$.k")
-    display = F.array(
-        F.create_map(F.lit("item"), k, F.lit("item_type"), F.lit("sku_id")),
-        F.create_map(F.lit("item"), F.concat(F.lit("a"), k), F.lit("item_type"), F.lit("activity_id")),
-    )
-    return events.select(
-        F.struct(
-            F.concat(F.lit("m"), _text("user_id")).alias("mid"),
-            F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("vc"),
-            F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("ch"),
-            F.concat(F.lit("a"), (F.col("user_id") % 7).cast("string")).alias("ar"),
-            F.when(F.col("event_type").isin("signup", "view"), "1").otherwise("0").alias("is_new"),
-        ).alias("common"),
-        F.struct(
-            _pick("page_id", signup="home", view="good_detail", click="good_list", purchase="trade", error="none"),
-            F.when(F.col("event_type") != "signup", "home").alias("last_page_id"),
-            F.when(F.col("event_type") == "view", k)
-            .when(F.col("event_type") == "click", F.concat(F.lit("Red Ring "), k)).alias("item"),
-            F.round(F.col("value") * 100).cast("bigint").alias("during_time"),
-        ).alias("page"),
-        F.when(F.col("event_type") == "view", display).alias("displays"),
-        F.when(F.col("event_type") == "error", F.create_map(F.lit("entry"), F.lit("icon"), F.lit("loading"), k))
-        .alias("start"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
+    return events.selectExpr(
+        """named_struct('mid', concat('m', user_id), 'vc', concat('v', user_id % 3), 'ch', concat('c', user_id % 5),
+                        'ar', concat('a', user_id % 7),
+                        'is_new', IF(event_type IN ('signup', 'view'), '1', '0')) AS common""",
+        f"""named_struct(
+              'page_id', CASE event_type WHEN 'signup' THEN 'home' WHEN 'view' THEN 'good_detail'
+                                         WHEN 'click' THEN 'good_list' WHEN 'purchase' THEN 'trade'
+                                         WHEN 'error' THEN 'none' END,
+              'last_page_id', IF(event_type <> 'signup', 'home', NULL),
+              'item', CASE event_type WHEN 'view' THEN {K} WHEN 'click' THEN concat('Red Ring ', {K}) END,
+              'during_time', CAST(round(value * 100) AS BIGINT)) AS page""",
+        f"""IF(event_type = 'view', array(map('item', {K}, 'item_type', 'sku_id'),
+                                          map('item', concat('a', {K}), 'item_type', 'activity_id')), NULL) AS displays""",
+        f"IF(event_type = 'error', map('entry', 'icon', 'loading', {K}), NULL) AS `start`",
+        "unix_millis(CAST(ts AS TIMESTAMP)) AS ts",
     )
 
 
@@ -77,31 +64,24 @@ def page_logs(events: DataFrame) -> DataFrame:
 
 def envelopes(events: DataFrame) -> DataFrame:
     """Change envelopes: one database table per event type, operations by turn."""
-    turn = F.col("event_id") % 4
-    after = F.create_map(
-        F.lit("id"), _text("user_id"), F.lit("event"), _text("event_id"), F.lit("value"), _text("value"),
-        F.lit("noise"), F.lit("x"),
-    )
-    return events.select(
-        F.struct(F.lit("shop").alias("db"), F.col("event_type").alias("table")).alias("source"),
-        F.when(turn == 0, "c").when(turn == 1, "r").when(turn == 2, "u").otherwise("d").alias("op"),
-        F.when(turn > 1, F.create_map(F.lit("id"), _text("user_id"))).alias("before"),
-        F.when(turn != 3, after).alias("after"),
-        F.col("event_id").alias("ts_ms"),
+    return events.selectExpr(
+        "named_struct('db', 'shop', 'table', event_type) AS source",
+        "CASE event_id % 4 WHEN 0 THEN 'c' WHEN 1 THEN 'r' WHEN 2 THEN 'u' ELSE 'd' END AS op",
+        "IF(event_id % 4 > 1, map('id', CAST(user_id AS STRING)), NULL) AS before",
+        """IF(event_id % 4 <> 3, map('id', CAST(user_id AS STRING), 'event', CAST(event_id AS STRING),
+                                    'value', CAST(value AS STRING), 'noise', 'x'), NULL) AS after""",
+        "event_id AS ts_ms",
     )
 
 
 def change_rows(events: DataFrame) -> DataFrame:
     """Change rows as they arrive in the raw topic, some first-load rows among them."""
-    data = F.create_map(
-        F.lit("id"), _text("user_id"), F.lit("event"), _text("event_id"), F.lit("noise"), F.lit("x")
-    )
-    return events.select(
-        F.lit("shop").alias("database"),
-        F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("event_type")).alias("table"),
-        F.when(F.col("event_id") % 3 == 0, "bootstrap-insert").when(F.col("event_id") % 3 == 1, "insert")
-        .otherwise("update").alias("type"),
-        F.when(F.col("event_id") % 13 == 0, F.create_map().cast("map<string,string>")).otherwise(data).alias("data"),
+    return events.selectExpr(
+        "'shop' AS database",
+        "IF(event_id % 11 = 0, '', event_type) AS `table`",
+        "CASE event_id % 3 WHEN 0 THEN 'bootstrap-insert' WHEN 1 THEN 'insert' ELSE 'update' END AS type",
+        """IF(event_id % 13 = 0, CAST(map() AS MAP<STRING, STRING>),
+              map('id', CAST(user_id AS STRING), 'event', CAST(event_id AS STRING), 'noise', 'x')) AS data""",
     )
 
 
@@ -130,97 +110,88 @@ def rules(spark: SparkSession) -> DataFrame:
 
 def order_info(orders: DataFrame) -> DataFrame:
     """Orders; five of thirty provinces have no dimension row."""
-    total = F.col("o_totalprice").cast(MONEY)
-    zero = F.lit(0).cast(MONEY)
-    return orders.select(
-        F.col("o_orderkey").alias("id"),
-        (F.col("o_custkey") % 30).alias("province_id"),
-        F.when(F.col("o_orderstatus") == "F", "1004").when(F.col("o_orderstatus") == "P", "1002")
-        .otherwise("1001").alias("order_status"),
-        F.col("o_custkey").alias("user_id"),
-        total.alias("total_amount"),
-        zero.alias("activity_reduce_amount"),
-        zero.alias("coupon_reduce_amount"),
-        total.alias("original_total_amount"),
-        zero.alias("feight_fee"),
-        F.lit(None).cast("string").alias("expire_time"),
-        _stamp("o_orderdate").alias("create_time"),
-        F.lit(None).cast("string").alias("operate_time"),
+    return orders.selectExpr(
+        "o_orderkey AS id",
+        "o_custkey % 30 AS province_id",
+        "CASE o_orderstatus WHEN 'F' THEN '1004' WHEN 'P' THEN '1002' ELSE '1001' END AS order_status",
+        "o_custkey AS user_id",
+        f"CAST(o_totalprice AS {MONEY}) AS total_amount",
+        f"CAST(0 AS {MONEY}) AS activity_reduce_amount",
+        f"CAST(0 AS {MONEY}) AS coupon_reduce_amount",
+        f"CAST(o_totalprice AS {MONEY}) AS original_total_amount",
+        f"CAST(0 AS {MONEY}) AS feight_fee",
+        "CAST(NULL AS STRING) AS expire_time",
+        f"{_stamp('o_orderdate')} AS create_time",
+        "CAST(NULL AS STRING) AS operate_time",
     )
 
 
 def order_detail(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("sku_id"),
-        F.col("l_extendedprice").cast(MONEY).alias("order_price"),
-        F.col("l_quantity").cast("bigint").alias("sku_num"),
-        F.lit(None).cast("string").alias("sku_name"),
-        _stamp("l_shipdate").alias("create_time"),
-        F.col("l_extendedprice").cast(MONEY).alias("split_total_amount"),
-        F.col("l_discount").cast(MONEY).alias("split_activity_amount"),
-        F.col("l_tax").cast(MONEY).alias("split_coupon_amount"),
+    return lineitem.selectExpr(
+        "l_orderkey * 10 + l_linenumber AS id",
+        "l_orderkey AS order_id",
+        "l_partkey AS sku_id",
+        f"CAST(l_extendedprice AS {MONEY}) AS order_price",
+        "CAST(l_quantity AS BIGINT) AS sku_num",
+        "CAST(NULL AS STRING) AS sku_name",
+        f"{_stamp('l_shipdate')} AS create_time",
+        f"CAST(l_extendedprice AS {MONEY}) AS split_total_amount",
+        f"CAST(l_discount AS {MONEY}) AS split_activity_amount",
+        f"CAST(l_tax AS {MONEY}) AS split_coupon_amount",
     )
 
 
 def payment_info(orders: DataFrame) -> DataFrame:
     """Payments of finished orders, up to an hour after the order."""
-    minutes = F.make_dt_interval(mins=(F.col("o_custkey") % 60).cast("int"))
-    return orders.filter("o_orderstatus = 'F'").select(
-        (F.col("o_orderkey") + 1).alias("id"),
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("user_id"),
-        (F.col("o_totalprice").cast(MONEY) + F.lit(1).cast(MONEY)).cast(MONEY).alias("total_amount"),
-        F.col("o_orderpriority").alias("subject"),
-        F.lit("1101").alias("payment_type"),
-        _stamp("o_orderdate").alias("create_time"),
-        _stamp(F.col("o_orderdate") + minutes).alias("callback_time"),
+    called = "o_orderdate + make_dt_interval(0, 0, CAST(o_custkey % 60 AS INT))"
+    return orders.filter("o_orderstatus = 'F'").selectExpr(
+        "o_orderkey + 1 AS id",
+        "o_orderkey AS order_id",
+        "o_custkey AS user_id",
+        f"CAST(CAST(o_totalprice AS {MONEY}) + 1 AS {MONEY}) AS total_amount",
+        "o_orderpriority AS subject",
+        "'1101' AS payment_type",
+        f"{_stamp('o_orderdate')} AS create_time",
+        f"{_stamp(called)} AS callback_time",
     )
 
 
 def dimensions(tables: Tables) -> Dimensions:
     """Six dimensions; some keys are left without a row."""
-    birthday = F.date_add(F.lit("1950-01-01").cast("date"), (F.col("c_custkey") % 20000).cast("int"))
     return Dimensions(
-        user=tables.customer.select(
-            _text("c_custkey").alias("ID"),
-            F.when(F.col("c_custkey") % 2 == 0, "M").otherwise("F").alias("GENDER"),
-            birthday.cast("string").alias("BIRTHDAY"),
+        user=tables.customer.selectExpr(
+            "CAST(c_custkey AS STRING) AS ID", "IF(c_custkey % 2 = 0, 'M', 'F') AS GENDER",
+            "CAST(date_add(DATE '1950-01-01', CAST(c_custkey % 20000 AS INT)) AS STRING) AS BIRTHDAY",
         ),
-        province=tables.nation.select(
-            _text("n_nationkey").alias("ID"), F.col("n_name").alias("NAME"),
-            (F.col("n_nationkey") + 100).cast("string").alias("AREA_CODE"),
-            F.concat(F.lit("N-"), _text("n_nationkey")).alias("ISO_CODE"),
-            F.concat(F.lit("R-"), _text("n_regionkey")).alias("ISO_3166_2"),
+        province=tables.nation.selectExpr(
+            "CAST(n_nationkey AS STRING) AS ID", "n_name AS NAME", "CAST(n_nationkey + 100 AS STRING) AS AREA_CODE",
+            "concat('N-', n_nationkey) AS ISO_CODE", "concat('R-', n_regionkey) AS ISO_3166_2",
         ),
-        sku=tables.part.select(
-            _text("p_partkey").alias("ID"), F.col("p_name").alias("SKU_NAME"), _text("p_size").alias("SPU_ID"),
-            (F.col("p_size") % 7).cast("string").alias("CATEGORY3_ID"),
-            F.substring("p_brand", 7, 2).alias("TM_ID"),
-            F.col("p_retailprice").cast(MONEY).cast("string").alias("PRICE"),
+        sku=tables.part.selectExpr(
+            "CAST(p_partkey AS STRING) AS ID", "p_name AS SKU_NAME", "CAST(p_size AS STRING) AS SPU_ID",
+            "CAST(p_size % 7 AS STRING) AS CATEGORY3_ID", "substring(p_brand, 7, 2) AS TM_ID",
+            f"CAST(CAST(p_retailprice AS {MONEY}) AS STRING) AS PRICE",
         ),
-        spu=tables.supplier.select(_text("s_suppkey").alias("ID"), F.col("s_name").alias("SPU_NAME")),
-        category3=tables.region.select(_text("r_regionkey").alias("ID"), F.col("r_name").alias("NAME")),
-        trademark=tables.nation.select(_text("n_nationkey").alias("ID"), F.col("n_name").alias("TM_NAME")),
+        spu=tables.supplier.selectExpr("CAST(s_suppkey AS STRING) AS ID", "s_name AS SPU_NAME"),
+        category3=tables.region.selectExpr("CAST(r_regionkey AS STRING) AS ID", "r_name AS NAME"),
+        trademark=tables.nation.selectExpr("CAST(n_nationkey AS STRING) AS ID", "n_name AS TM_NAME"),
     )
 
 
 def sku_times(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select(F.col("l_partkey").alias("sku_id"), _stamp("l_shipdate").alias("create_time"))
+    return lineitem.selectExpr("l_partkey AS sku_id", f"{_stamp('l_shipdate')} AS create_time")
 
 
 def refunds(lineitem: DataFrame) -> DataFrame:
-    return lineitem.filter("l_returnflag = 'R'").select(
-        F.col("l_partkey").alias("sku_id"), F.col("l_orderkey").alias("order_id"),
-        F.col("l_extendedprice").cast(MONEY).alias("refund_amount"), _stamp("l_shipdate").alias("create_time"),
+    return lineitem.filter("l_returnflag = 'R'").selectExpr(
+        "l_partkey AS sku_id", "l_orderkey AS order_id", f"CAST(l_extendedprice AS {MONEY}) AS refund_amount",
+        f"{_stamp('l_shipdate')} AS create_time",
     )
 
 
 def comments(lineitem: DataFrame) -> DataFrame:
     """Comments on finished lines, a third of them good."""
-    return lineitem.filter("l_linestatus = 'F'").select(
-        F.col("l_partkey").alias("sku_id"),
-        F.when(F.col("l_linenumber") % 3 == 0, "1201").otherwise("1203").alias("appraise"),
-        _stamp("l_shipdate").alias("create_time"),
+    return lineitem.filter("l_linestatus = 'F'").selectExpr(
+        "l_partkey AS sku_id", "IF(l_linenumber % 3 = 0, '1201', '1203') AS appraise",
+        f"{_stamp('l_shipdate')} AS create_time",
     )
