@@ -32,8 +32,8 @@ def main() -> None:
     seconds: dict[str, float] = {}
     for name in names:
         best = None
-        # The first run warms code generation and file listings; the better one counts.
-        for _ in range(2):
+        # The first runs warm up the JVM; the best one counts.
+        for _ in range(3):
             begin = time.perf_counter()
             catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - begin

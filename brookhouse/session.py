@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -51,3 +53,21 @@ def shared_root(spark: SparkSession) -> str:
 def working_dir(spark: SparkSession, label: str) -> str:
     """A new, never reused folder below the shared root."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def few_local_partitions(spark: SparkSession) -> Iterator[None]:
+    """On a local master, no more shuffle partitions than cores; elsewhere no change.
+
+    Every state partition of a streaming query costs a task and a commit per
+    micro-batch, and streams have no adaptive execution to merge them.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        spark.conf.set(key, str(min(int(before), context.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import working_dir
+from ..session import few_local_partitions, working_dir
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
@@ -21,7 +21,8 @@ def _run(out: DataFrame, folder: str, step: Callable[[DataFrame, int], DataFrame
         step(batch, batch_id).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write)
-    writer.trigger(availableNow=True).start().awaitTermination()
+    with few_local_partitions(out.sparkSession):
+        writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def replay(
