@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -47,47 +48,52 @@ class DimensionStore:
         last = latest_by_key(rows, ["sink_table", "id"], ["seq"])
         last.write.mode("overwrite").partitionBy("sink_table").parquet(folder)
 
-    def _stored(self) -> DataFrame | None:
+    def _read(self, paths: list[str]) -> DataFrame:
+        parts = [self.spark.read.schema(_STORED).option("basePath", path).parquet(path) for path in paths]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _live(self, last_batch: int | None = None, table: str | None = None) -> DataFrame | None:
+        """Current rows, of one table or of all, up to a batch or to the last.
+
+        Base keys are unique, so only the deltas are reduced to one row per key. The
+        base then loses the keys the deltas name, by an anti join against the small
+        side: as long as Spark can broadcast those keys, the base does not shuffle.
+        """
         bases = folders.committed(self.spark, f"{self.root}/base", "upto")
         upto = bases[-1] if bases else -1
-        deltas = [n for n in folders.committed(self.spark, f"{self.root}/delta", "batch") if n > upto]
-        paths = [f"{self.root}/delta/batch={n}" for n in deltas]
-        if bases:
-            paths.append(f"{self.root}/base/upto={upto}")
-        if not paths:
-            return None
-        parts = [self.spark.read.schema(_STORED).option("basePath", path).parquet(path) for path in paths]
-        stored = parts[0]
-        for part in parts[1:]:
-            stored = stored.unionByName(part)
-        return stored
+        batches = folders.committed(self.spark, f"{self.root}/delta", "batch")
+        deltas = [f"{self.root}/delta/batch={n}" for n in batches if n > upto and (last_batch is None or n <= last_batch)]
+        mine = F.lit(True) if table is None else F.col("sink_table") == table
+        base = self._read([f"{self.root}/base/upto={upto}"]).filter(mine) if bases else None
+        if not deltas:
+            return base
+        changed = latest_by_key(self._read(deltas).filter(mine), ["sink_table", "id"], ["batch", "seq"])
+        live = changed.filter(~F.col("deleted"))
+        if base is None:
+            return live
+        keys = self._read(deltas).filter(mine).select("sink_table", "id")
+        return base.join(keys, ["sink_table", "id"], "left_anti").select(*live.columns).unionByName(live)
 
     def compact(self, upto: int) -> None:
         """Fold everything up to a batch into a new base; keys deleted by then are gone."""
         folder = f"{self.root}/base/upto={upto}"
-        stored = None if folders.exists(self.spark, f"{folder}/_SUCCESS") else self._stored()
-        if stored is not None:
-            last = latest_by_key(
-                stored.filter(F.col("batch") <= upto), ["sink_table", "id"], ["batch", "seq"], F.col("deleted")
-            )
-            last.write.mode("overwrite").partitionBy("sink_table").parquet(folder)
+        if folders.exists(self.spark, f"{folder}/_SUCCESS"):
+            return
+        live = self._live(last_batch=upto)
+        if live is not None:
+            live.write.mode("overwrite").partitionBy("sink_table").parquet(folder)
 
     def table(self, name: str, columns: list[str]) -> DataFrame:
         """Current rows of one dimension: string columns in upper case, `ID` the key.
 
         A table that never got a row is empty, with the same columns.
         """
-        stored = self._stored()
-        names = [c.upper() for c in columns]
-        if stored is None:
-            schema = ", ".join(f"`{c}` STRING" for c in ["ID", *[n for n in names if n != "ID"]])
+        others = [c for c in columns if c.lower() != "id"]
+        live = self._live(table=name)
+        if live is None:
+            schema = ", ".join(f"`{c}` STRING" for c in ["ID", *[c.upper() for c in others]])
             return self.spark.createDataFrame([], schema)
-        mine = stored.filter(F.col("sink_table") == name)
-        last = latest_by_key(mine, ["id"], ["batch", "seq"], F.col("deleted"))
-        return last.select(
-            F.col("id").alias("ID"),
-            *[F.try_element_at("data", F.lit(c)).alias(c.upper()) for c in columns if c.upper() != "ID"],
-        )
+        return live.selectExpr("id AS `ID`", *[f"try_element_at(data, '{c}') AS `{c.upper()}`" for c in others])
 
 
 def table_columns(rules: DataFrame) -> DataFrame:

@@ -79,7 +79,9 @@ class FlagDays:
         if not folders.exists(self.spark, f"{new}/_SUCCESS"):
             found = first_flag_days(batch, device, flag, day).select(device, "first_day")
             found = found.filter(F.col(device).isNotNull())
-            fresh = found if known is None else found.join(known.select(device), device, "left_anti")
+            # All seen devices are the big side: an inner join may broadcast the batch's own.
+            seen = None if known is None else known.select(device).join(found.select(device), device)
+            fresh = found if seen is None else found.join(seen, device, "left_anti")
             fresh.write.mode("overwrite").parquet(new)
         base = f"{self.root}/base/upto={batch_id - 1}"
         if known is not None and batch_id % compact_every == 0 and not folders.exists(self.spark, f"{base}/_SUCCESS"):
