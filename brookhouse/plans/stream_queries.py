@@ -7,19 +7,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.keywords import explode_keywords
+from ..functions import to_time
+from ..functions.keywords import explode_keywords, register_keyword_function
 from ..operators import (
     interval_join, lookup, route_changes, stats, to_json_value, valid_changes,
 )
 from ..operators import measures as m
 from ..operators.routing import split_logs
 from ..operators.parse import parse_json
-from ..schemas import KEYWORD_STATS_COLUMNS, LOG_SCHEMA
+from ..operators.wide import enrich_province
+from ..schemas import KEYWORD_STATS_COLUMNS, LOG_SCHEMA, PAGE_MAP_SCHEMA
 from ..session import working_dir
 from ..sources import Topics, land_logs, landed_logs
 from ..streaming import FlagDays, StatsTable, bounces_stream, first_per_day_stream
-from ..streaming.replay import replay, replay_batches, stream_table
+from ..streaming.replay import Played, replay, replay_batches, replay_twice, stream_table
 from . import shop
+from .order_queries import BOUNDS
 from .registry import SQL, query
 from .shop import Tables
 from .visitor_queries import LOGS_SQL, PAGES_SQL, SIX_HOURS, USER_JUMP_SQL
@@ -27,7 +30,9 @@ from .visitor_queries import LOGS_SQL, PAGES_SQL, SIX_HOURS, USER_JUMP_SQL
 # The sample events lie minutes to hours apart.
 LATE = "6 hours"
 
-CLOSING = {"event_type": "close"}
+
+def _events(t: Tables) -> Played:
+    return Played(t.path("events"), "ts", {"event_type": "close"})
 
 
 def _zoned(events: DataFrame, column: str = "ts") -> DataFrame:
@@ -38,7 +43,7 @@ def _zoned(events: DataFrame, column: str = "ts") -> DataFrame:
 @query("stream_unique_visitor", SQL["unique_visitor"])
 def stream_unique_visitor(t: Tables) -> DataFrame:
     """The table is one micro-batch, so the first row to arrive is the first in time."""
-    first = replay(t.spark, t.path("events"), "ts", lambda events: first_per_day_stream(
+    first = replay(t.spark, Played(t.path("events"), "ts"), lambda events: first_per_day_stream(
         _zoned(events).select("event_id", "user_id", "ts", "event_type"), "user_id", "ts", ["ts", "event_id"], LATE,
         F.col("event_type") == "signup",
     ), mode="update")
@@ -47,10 +52,10 @@ def stream_unique_visitor(t: Tables) -> DataFrame:
 
 @query("stream_user_jump", USER_JUMP_SQL)
 def stream_user_jump(t: Tables) -> DataFrame:
-    found = replay(t.spark, t.path("events"), "ts", lambda events: bounces_stream(
+    found = replay(t.spark, _events(t), lambda events: bounces_stream(
         _zoned(events).select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", ["event_id"],
         F.col("event_type") == "signup", SIX_HOURS, LATE,
-    ), CLOSING)
+    ))
     return found.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
@@ -80,7 +85,7 @@ def stream_visitor_windows(t: Tables) -> DataFrame:
         rows = m.page_views(shop.page_logs(events)).withColumn("rowtime", F.timestamp_millis("ts"))
         return stats.visitor_stats(rows.withWatermark("rowtime", LATE), "1 hour")
 
-    return replay(t.spark, t.path("events"), "ts", build, CLOSING)
+    return replay(t.spark, _events(t), build)
 
 
 @query("stream_product_windows", """
@@ -96,8 +101,7 @@ def stream_product_windows(t: Tables) -> DataFrame:
         rows = m.product_refunds(shop.refunds(lines)).withWatermark("rowtime", "3650 days")
         return stats.product_stats(rows, "30 days")
 
-    closing = {"l_returnflag": "R"}
-    out = replay(t.spark, t.path("lineitem"), "l_shipdate", build, closing, "INTERVAL 10000 DAYS")
+    out = replay(t.spark, Played(t.path("lineitem"), "l_shipdate", {"l_returnflag": "R"}), build)
     return out.select("stt", "edt", "sku_id", "refund_amount", "refund_order_ct")
 
 
@@ -115,24 +119,104 @@ def stream_keyword_windows(t: Tables) -> DataFrame:
         words = explode_keywords(found.withWatermark("rowtime", LATE), "fullword")
         return stats.keyword_stats(words, "1 day")
 
-    return replay(t.spark, t.path("events"), "ts", build, {"event_type": "click", "props": '{"k": 0}'})
+    return replay(t.spark, Played(t.path("events"), "ts", {"event_type": "click", "props": '{"k": 0}'}), build)
+
+
+# Two streams of unlike pace: the watermark has to wait for the slower one.
+YEARS = "3650 days"
 
 
 @query("stream_interval_join", SQL["interval_join_two_sided"])
 def stream_interval_join(t: Tables) -> DataFrame:
     """Two streams joined within an interval; the watermarks bound the state."""
 
-    def build(orders: DataFrame) -> DataFrame:
+    def build(orders: DataFrame, lines: DataFrame) -> DataFrame:
         left = _zoned(orders.select("o_orderkey", "o_totalprice", "o_orderdate"), "o_orderdate")
-        lines = stream_table(t.spark, t.path("lineitem"))
-        right = _zoned(lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate"), "l_shipdate")
+        right = lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate")
         joined = interval_join(
-            left.withWatermark("o_orderdate", "3650 days"), right.withWatermark("l_shipdate", "3650 days"),
-            "o_orderkey", "l_orderkey", "o_orderdate", "l_shipdate", -120 * 86400, 120 * 86400,
+            left.withWatermark("o_orderdate", YEARS), _zoned(right, "l_shipdate").withWatermark("l_shipdate", YEARS),
+            "o_orderkey", "l_orderkey", "o_orderdate", "l_shipdate", *BOUNDS, spread=2,
         )
         return joined.select("o_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "o_totalprice")
 
-    return replay(t.spark, t.path("orders"), "o_orderdate", build)
+    tables = [Played(t.path("orders"), "o_orderdate"), Played(t.path("lineitem"), "l_shipdate")]
+    return replay(t.spark, tables, build)
+
+
+@query("stream_payment_join", SQL["interval_join_one_sided"])
+def stream_payment_join(t: Tables) -> DataFrame:
+    """One stream with itself: purchases and the views of the six hours before."""
+
+    def build(events: DataFrame) -> DataFrame:
+        timed = _zoned(events)
+        pays = timed.filter("event_type = 'purchase'").selectExpr(
+            "event_id AS pay_id", "user_id AS payer", "ts AS pay_ts", "value AS pay"
+        )
+        views = timed.filter("event_type = 'view'").selectExpr(
+            "event_id AS order_id", "user_id AS viewer", "ts AS view_ts", "value AS amt"
+        )
+        joined = interval_join(
+            pays.withWatermark("pay_ts", LATE), views.withWatermark("view_ts", LATE), "payer", "viewer", "pay_ts",
+            "view_ts", -SIX_HOURS, 0,
+        )
+        return joined.select("pay_id", "order_id", "pay", "amt")
+
+    return replay(t.spark, Played(t.path("events"), "ts"), build)
+
+
+@query("stream_province_windows", """
+WITH w AS (
+  SELECT time_bucket(INTERVAL '7 days', o_orderdate, TIMESTAMP '1970-01-01') AS s, o_custkey % 30 AS province_id,
+         o_orderkey, CAST(l_extendedprice AS DECIMAL(16,2)) AS amount
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+   AND l_shipdate BETWEEN o_orderdate - INTERVAL 120 DAYS AND o_orderdate + INTERVAL 120 DAYS)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS stt, strftime(s + INTERVAL '7 days', '%Y-%m-%d %H:%M:%S') AS edt, province_id,
+       n_name AS province_name, CAST(sum(amount) AS DECIMAL(26,2)) AS order_amount, count(DISTINCT o_orderkey) AS order_count
+FROM w LEFT JOIN nation ON n_nationkey = province_id GROUP BY s, province_id, n_name""")
+def stream_province_windows(t: Tables) -> DataFrame:
+    """Interval join, dimension lookup and windowed distinct counts in one streaming query."""
+    provinces = shop.dimensions(t).province
+
+    def build(orders: DataFrame, lines: DataFrame) -> DataFrame:
+        left = shop.order_info(orders).withColumn("rowtime", to_time("create_time")).withWatermark("rowtime", YEARS)
+        right = shop.order_detail(lines).withColumn("rowtime", to_time("create_time")).withWatermark("rowtime", YEARS)
+        joined = interval_join(
+            left.selectExpr("id AS o_id", "province_id", "rowtime"),
+            right.selectExpr("order_id", "split_total_amount", "rowtime AS d_time"),
+            "o_id", "order_id", "rowtime", "d_time", *BOUNDS,
+        )
+        return stats.province_stats(enrich_province(joined, provinces), "7 days")
+
+    tables = [
+        Played(t.path("orders"), "o_orderdate", {"o_orderkey": "-1"}),
+        Played(t.path("lineitem"), "l_shipdate", {"l_orderkey": "-2"}),
+    ]
+    out = replay(t.spark, tables, build)
+    return out.select("stt", "edt", "province_id", "province_name", "order_amount", "order_count")
+
+
+@query("stream_keyword_sql", SQL["keyword_search"])
+def stream_keyword_sql(t: Tables) -> DataFrame:
+    """A topic as a streaming SQL view with a computed time and a watermark, and a table function over it."""
+    topics = Topics(t.spark, root=working_dir(t.spark, "topics"))
+    topics.write_batch(to_json_value(shop.page_logs(t.events)), "page", 0)
+    register_keyword_function(t.spark)
+
+    def run() -> DataFrame:
+        topics.view("stream_page_log", "page", PAGE_MAP_SCHEMA, "to_timestamp(from_unixtime(ts div 1000))", LATE, "earliest")
+        return t.spark.sql("""
+            SELECT keyword, count(*) AS ct, 'SEARCH' AS source,
+                   date_format(window.start, 'yyyy-MM-dd HH:mm:ss') AS stt, date_format(window.end, 'yyyy-MM-dd HH:mm:ss') AS edt
+            FROM (SELECT k.keyword, p.rowtime
+                  FROM stream_page_log p, LATERAL ik_analyze(try_element_at(p.page, 'item')) AS k(keyword)
+                  WHERE try_element_at(p.page, 'page_id') = 'good_list' AND try_element_at(p.page, 'item') IS NOT NULL)
+            GROUP BY window(rowtime, '1 day'), keyword""")
+
+    # Spark filters before the watermark, so the closing row has to be a search as well.
+    last = t.events.selectExpr("max(ts) AS ts").selectExpr(
+        "map('page_id', 'good_list', 'item', 'end') AS page", "unix_millis(CAST(ts AS TIMESTAMP)) + 100000000000 AS ts"
+    )
+    return replay_twice(t.spark, run, lambda: topics.write_batch(to_json_value(last), "page", 1))
 
 
 @query("stream_dim_lookup", """
@@ -140,7 +224,7 @@ SELECT event_id, user_id, c_name AS user_name FROM events LEFT JOIN customer ON
 def stream_dim_lookup(t: Tables) -> DataFrame:
     """A stream looks up a stored dimension; events without a match stay."""
     users = t.customer.filter("c_custkey % 2 = 0")
-    out = replay(t.spark, t.path("events"), "ts", lambda events: lookup(
+    out = replay(t.spark, Played(t.path("events"), "ts"), lambda events: lookup(
         events.select("event_id", "user_id"), users, {"user_id": "c_custkey"}, {"user_name": "c_name"}
     ))
     return out.select("event_id", "user_id", "user_name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,37 +26,52 @@ def _run(out: DataFrame, folder: str, step: Callable[[DataFrame, int], DataFrame
         writer.trigger(availableNow=True).start().awaitTermination()
 
 
+@dataclass(frozen=True)
+class Played:
+    """A stored table to play: its event time column, and column values of its closing row."""
+
+    path: str
+    time: str
+    closing: dict[str, str] | None = None
+
+
 def replay(
     spark: SparkSession,
-    path: str,
-    time: str,
-    build: Callable[[DataFrame], DataFrame],
-    closing: dict[str, str] | None = None,
-    horizon: str = "INTERVAL 1000 DAYS",
+    tables: Played | list[Played],
+    build: Callable[..., DataFrame],
     mode: str = "append",
+    horizon: str = "INTERVAL 10000 DAYS",
 ) -> DataFrame:
-    """Rows that the streaming query `build` gives out for the whole table at `path`.
+    """Rows that the streaming query `build(stream, …)` gives out for whole tables.
 
-    A stream never closes its last windows by itself. After the table one closing
-    row is fed in, `horizon` later than the last row, with the column values in
-    `closing`; it moves the watermark past everything before it. It comes in a
-    second run of the same query on the same checkpoint, so it is last however many
-    micro-batches the table takes.
+    A stream never closes its last windows by itself. After the tables one closing
+    row each is fed in, `horizon` later than the table's last row; it moves the
+    watermark past everything before it. It comes in a second run of the same query
+    on the same checkpoint, so it is last however many micro-batches the tables take.
     """
     folder = working_dir(spark, "replay")
-    table = spark.read.parquet(path)
-    end = f"{folder}/end"
-    table.limit(0).write.parquet(end)
-    stream = stream_table(spark, path).unionByName(spark.readStream.schema(table.schema).parquet(end))
-    out = build(stream)
+    tables = [tables] if isinstance(tables, Played) else tables
+    ends = [f"{folder}/end{i}" for i in range(len(tables))]
+    streams = []
+    for played, end in zip(tables, ends):
+        table = spark.read.parquet(played.path)
+        table.limit(0).write.parquet(end)
+        closing = spark.readStream.schema(table.schema).parquet(end)
+        streams.append(stream_table(spark, played.path).unionByName(closing))
+    out = build(*streams)
     _run(out, folder, lambda batch, _: batch, mode)
-    if closing is not None:
-        values = {time: F.col("_last") + F.expr(horizon), **{n: F.lit(v) for n, v in closing.items()}}
-        last = table.agg(F.max(time).alias("_last")).select(*[
-            values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields
-        ])
-        last.write.mode("append").parquet(end)
-        _run(build(stream), folder, lambda batch, _: batch, mode)
+    if any(played.closing is not None for played in tables):
+        for played, end in zip(tables, ends):
+            table = spark.read.parquet(played.path)
+            values = {
+                played.time: F.col("_last") + F.expr(horizon),
+                **{name: F.lit(value) for name, value in (played.closing or {}).items()},
+            }
+            last = table.agg(F.max(played.time).alias("_last")).select(*[
+                values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields
+            ])
+            last.write.mode("append").parquet(end)
+        _run(build(*streams), folder, lambda batch, _: batch, mode)
     return spark.read.parquet(f"{folder}/out").select(*out.columns)
 
 
@@ -69,3 +85,13 @@ def replay_batches(
     folder = working_dir(spark, "replay")
     _run(stream, folder, lambda batch, batch_id: step(batch, batch_id, folder), "append")
     return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+def replay_twice(spark: SparkSession, build: Callable[[], DataFrame], close: Callable[[], None]) -> DataFrame:
+    """Rows of the streaming query `build()`, with its closing row fed by `close` before a second run."""
+    folder = working_dir(spark, "replay")
+    out = build()
+    _run(out, folder, lambda batch, _: batch, "append")
+    close()
+    _run(build(), folder, lambda batch, _: batch, "append")
+    return spark.read.parquet(f"{folder}/out").select(*out.columns)
