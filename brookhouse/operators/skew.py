@@ -52,9 +52,11 @@ def spread_join(facts: DataFrame, grouped: DataFrame, keys: list[str], n: str =
         .withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*content), F.col("pieces")), F.lit(0)))
         .drop("pieces")
     )
+    # The count is asked for here as well, so that this use of `grouped` is like the others.
+    copies = F.when(F.col(n) > 0, F.coalesce("pieces", F.lit(1))).otherwise(1)
     repeated = (
-        grouped.drop(n).join(heavy, keys, "left")
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("pieces", F.lit(1)) - 1)))
-        .drop("pieces")
+        grouped.join(heavy, keys, "left")
+        .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)))
+        .drop("pieces", n)
     )
     return salted.join(repeated, [*keys, "_piece"], "left").drop("_piece")

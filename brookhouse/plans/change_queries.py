@@ -196,8 +196,9 @@ def rules_kept(t: Tables) -> DataFrame:
 
 
 @query("dim_table_columns", """
-SELECT DISTINCT 'dim_' || event_type AS sink_table, p AS position, n AS "column", 'STRING' AS kind, n = 'id' AS is_key, '' AS extension
-FROM events, (VALUES (0, 'id'), (1, 'event')) v(p, n)""")
+WITH t AS (SELECT DISTINCT 'dim_' || event_type AS sink_table FROM events)
+SELECT sink_table, 0 AS position, 'id' AS "column", 'STRING' AS kind, true AS is_key, '' AS extension FROM t
+UNION ALL SELECT sink_table, 1, 'event', 'STRING', false, '' FROM t""")
 def dim_table_columns(t: Tables) -> DataFrame:
     """Column lists of the dimension tables that a rule per event type calls for."""
     rules = t.events.select("event_type").distinct().select(

@@ -124,17 +124,21 @@ paid AS (SELECT p.id AS payment_id, p.subject, p.total_amount AS paid_amount, p.
 """
 
 
-@query("payment_wide", f"""WITH {WIDE_SQL}, {PAYMENT_SQL}
-SELECT payment_id, subject, '1101' AS payment_type, strftime(created, '%Y-%m-%d %H:%M:%S') AS payment_create_time,
-       strftime(called, '%Y-%m-%d %H:%M:%S') AS callback_time, detail_id, order_id, sku_id, payer AS user_id,
-       paid_amount AS total_amount, original_total_amount, split_total_amount, create_time AS order_create_time
-FROM paid""")
+@query("payment_wide", f"""WITH {DIMS_SQL}, {WIDE_SQL}, {PAYMENT_SQL}
+SELECT x.payment_id, x.subject, '1101' AS payment_type, strftime(x.created, '%Y-%m-%d %H:%M:%S') AS payment_create_time,
+       strftime(x.called, '%Y-%m-%d %H:%M:%S') AS callback_time, x.detail_id, x.order_id, x.sku_id, x.order_price, x.sku_num,
+       s.sku_name, x.province_id, x.order_status, x.payer AS user_id, x.paid_amount AS total_amount,
+       CAST(0 AS DECIMAL(16,2)) AS activity_reduce_amount, CAST(0 AS DECIMAL(16,2)) AS coupon_reduce_amount,
+       x.original_total_amount, x.feight_fee, CAST(NULL AS DECIMAL(16,2)) AS split_feight_fee, x.split_activity_amount,
+       x.split_coupon_amount, x.split_total_amount, x.create_time AS order_create_time, p.name AS province_name,
+       p.area_code AS province_area_code, p.iso_code AS province_iso_code, p.iso_3166_2 AS province_3166_2_code,
+       CAST(trunc(date_diff('day', d.birthday, DATE '2024-06-30') / 365.0) AS INTEGER) AS user_age,
+       d.gender AS user_gender, s.spu_id, s.tm_id, s.category3_id, u.s_name AS spu_name, m.n_name AS tm_name,
+       c.r_name AS category3_name
+FROM paid x LEFT JOIN dim_user d ON d.id = x.user_id LEFT JOIN dim_province p ON p.id = x.province_id
+{PRODUCT_NAMES_SQL}""")
 def payment_wide(t: Tables) -> DataFrame:
-    paid = jobs.payment_wide_rows(shop.payment_info(t.orders), _wide(t))
-    return paid.select(
-        "payment_id", "subject", "payment_type", "payment_create_time", "callback_time", "detail_id", "order_id",
-        "sku_id", "user_id", "total_amount", "original_total_amount", "split_total_amount", "order_create_time",
-    )
+    return jobs.payment_wide_rows(shop.payment_info(t.orders), order_wide(t))
 
 
 PROVINCE_SQL = f"""WITH {DIMS_SQL}, {WIDE_SQL},
@@ -266,6 +270,38 @@ def product_comments(t: Tables) -> DataFrame:
     return m.product_comments(shop.comments(t.lineitem)).select("sku_id", "comment_ct", "good_comment_ct")
 
 
+@query("product_favors_carts", """
+SELECT l_partkey AS sku_id, l_shipdate AS t, CAST(1 AS BIGINT) AS favor_ct, CAST(0 AS BIGINT) AS cart_ct
+FROM lineitem WHERE l_returnflag = 'N'
+UNION ALL SELECT l_partkey, l_shipdate, 0, 1 FROM lineitem WHERE l_linestatus = 'O' """)
+def product_favors_carts(t: Tables) -> DataFrame:
+    facts = _product_facts(t)
+    rows = union_measures([m.product_favors(facts.favors), m.product_carts(facts.carts)])
+    return rows.selectExpr("sku_id", "CAST(rowtime AS TIMESTAMP_NTZ) AS t", "favor_ct", "cart_ct")
+
+
+@query("product_orders", f"""WITH {WIDE_SQL}
+SELECT sku_id, o_orderdate AS t, order_id, sku_num AS order_sku_num, split_total_amount AS order_amount FROM wide""")
+def product_orders(t: Tables) -> DataFrame:
+    rows = m.product_orders(_wide(t))
+    return rows.selectExpr("sku_id", "CAST(rowtime AS TIMESTAMP_NTZ) AS t", "order_id", "order_sku_num", "order_amount")
+
+
+@query("product_payments", f"""WITH {WIDE_SQL}, {PAYMENT_SQL}
+SELECT sku_id, called AS t, order_id, split_total_amount AS payment_amount FROM paid""")
+def product_payments(t: Tables) -> DataFrame:
+    rows = m.product_payments(_product_facts(t).payment_wide)
+    return rows.selectExpr("sku_id", "CAST(rowtime AS TIMESTAMP_NTZ) AS t", "order_id", "payment_amount")
+
+
+@query("product_refunds", """
+SELECT l_partkey AS sku_id, l_shipdate AS t, l_orderkey AS order_id, CAST(l_extendedprice AS DECIMAL(16,2)) AS refund_amount
+FROM lineitem WHERE l_returnflag = 'R' """)
+def product_refunds(t: Tables) -> DataFrame:
+    rows = m.product_refunds(shop.refunds(t.lineitem))
+    return rows.selectExpr("sku_id", "CAST(rowtime AS TIMESTAMP_NTZ) AS t", "order_id", "refund_amount")
+
+
 @query("dim_lookup", f"""WITH {DIMS_SQL}
 SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS order_id, l_partkey AS sku_id, s.sku_name, s.spu_id,
        u.s_name AS spu_name, s.tm_id, m.n_name AS tm_name, s.category3_id, c.r_name AS category3_name, s.price AS sku_price

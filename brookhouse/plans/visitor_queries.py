@@ -146,6 +146,22 @@ def visitor_measures(t: Tables) -> DataFrame:
     return m.page_views(shop.page_logs(t.events))
 
 
+@query("visitor_unique_and_bounce_measures", f"""WITH {PAGES_SQL},
+ranked AS (
+  SELECT *, lead(ms) OVER (PARTITION BY mid ORDER BY ms, event_id) AS n,
+         row_number() OVER (PARTITION BY mid, CAST(ts AS DATE), last_page_id IS NULL ORDER BY ms, event_id) AS r FROM pages_)
+SELECT vc, ch, ar, is_new, CAST(1 AS BIGINT) AS uv_ct, CAST(0 AS BIGINT) AS uj_ct, ms AS ts FROM ranked
+WHERE last_page_id IS NULL AND r = 1
+UNION ALL SELECT vc, ch, ar, is_new, 0, 1, ms FROM ranked
+WHERE last_page_id IS NULL AND (n IS NULL OR n >= ms + 21600000)""")
+def visitor_unique_and_bounce_measures(t: Tables) -> DataFrame:
+    pages = shop.page_logs(t.events)
+    rows = m.unique_visits(jobs.unique_visitors(pages)).unionByName(
+        m.bounced_visits(jobs.bounced_visitors(pages, SIX_HOURS))
+    )
+    return rows.select("vc", "ch", "ar", "is_new", "uv_ct", "uj_ct", "ts")
+
+
 VISITOR_STATS_SQL = f"""WITH {PAGES_SQL},
 ranked AS (
   SELECT *, lead(ms) OVER (PARTITION BY mid ORDER BY ms, event_id) AS n,
