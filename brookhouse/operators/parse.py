@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 _BROKEN = "_broken"
 
 
-def _text(value: str) -> Column:
+def solid_text(value: str) -> Column:
     """The string, or something that is surely no JSON where there is none."""
     return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit("?"))
 
@@ -27,7 +27,7 @@ def parse_json(df: DataFrame, schema: str, value: str = "value", keep: tuple[str
     and does not stop the job. The parse sits in a generator, so that neither
     filter below can pull a second copy of it into the plan.
     """
-    record = F.from_json(_text(value), f"{schema}, {_BROKEN} STRING", {"columnNameOfCorruptRecord": _BROKEN})
+    record = F.from_json(solid_text(value), f"{schema}, {_BROKEN} STRING", {"columnNameOfCorruptRecord": _BROKEN})
     parsed = df.select(*keep, F.col(value).alias("_text"), F.inline(F.array(record)))
     return Parsed(
         rows=parsed.filter(F.col(_BROKEN).isNull()).drop("_text", _BROKEN),
@@ -41,7 +41,7 @@ def parse_fields(df: DataFrame, schema: str, value: str = "value") -> Parsed:
     Change rows pass their columns on as text; each field is cast to its type here,
     and a field that does not fit is null.
     """
-    entries = F.from_json(_text(value), "MAP<STRING, STRING>")
+    entries = F.from_json(solid_text(value), "MAP<STRING, STRING>")
     parsed = df.select(F.col(value).alias("_text"), F.explode(F.array(entries)).alias("_map"))
     fields = StructType.fromDDL(schema).fields
     return Parsed(

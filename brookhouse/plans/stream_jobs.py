@@ -1,4 +1,4 @@
-"""The ten jobs on streams. Topics are the only link between them.
+"""The landing and the ten jobs on streams. Topics are the only link between them.
 
 Every function returns a writer that is not started yet: the caller sets the
 trigger and starts it. A job restarted with its checkpoint goes on where it was.
@@ -24,7 +24,7 @@ from ..operators.changes import valid_changes
 from ..operators.visitors import is_entry
 from ..operators.wide import Dimensions, enrich_order_wide, enrich_products, order_with_detail, payment_wide, with_rowtime
 from ..schemas import TOPICS
-from ..sources import DimensionStore, Topics
+from ..sources import DimensionStore, Topics, land_logs
 from ..streaming import FlagDays, StatsTable, bounces_stream, first_per_day_stream
 from .jobs import BOUNCE_SECONDS, ProductFacts, product_measures, with_device
 
@@ -74,6 +74,15 @@ class Warehouse:
         return self.topics.write_stream(to_json_value(df), TOPICS[topic], self.checkpoint(job))
 
 
+def log_landing(house: Warehouse, lines: DataFrame, folder: str) -> DataStreamWriter:
+    """Raw log lines (a stream of strings) to day folders below `folder` and to the raw log topic."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        land_logs(batch, folder, batch_id, house.topics, TOPICS["log"])
+
+    return lines.writeStream.option("checkpointLocation", house.checkpoint("log_landing")).foreachBatch(write)
+
+
 def log_routing(house: Warehouse, days: FlagDays) -> DataStreamWriter:
     """Raw logs to page, start and display topics; broken lines to a reject topic."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import day_text
+from ..operators.parse import solid_text
+from . import folders
 from .topics import Topics
 
 
@@ -13,19 +15,20 @@ def land_logs(lines: DataFrame, folder: str, batch_id: int, topics: Topics | Non
 
     Every line is kept, with its event day and whether it is a JSON object; the day
     is a folder, so a day's lines can be read alone. Good lines also go to `topic`.
-    A repeated batch replaces its first try.
+    A batch that is already there is not written again.
     """
+    target = f"{folder}/batch={batch_id}"
     parsed = lines.select(
         F.col("value"),
-        F.inline(F.array(F.from_json("value", "ts BIGINT, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}))),
+        F.inline(F.array(F.from_json(solid_text("value"), "ts BIGINT, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}))),
     )
     kept = parsed.select(
         "value",
-        (F.col("value").isNotNull() & F.col("_bad").isNull()).alias("good"),
+        F.col("_bad").isNull().alias("good"),
         F.coalesce(day_text("ts"), F.lit("none")).alias("log_day"),
     )
-    target = f"{folder}/batch={batch_id}"
-    kept.write.mode("overwrite").partitionBy("log_day", "good").parquet(target)
+    if not folders.exists(lines.sparkSession, f"{target}/_SUCCESS"):
+        kept.write.mode("overwrite").partitionBy("log_day", "good").parquet(target)
     if topics is not None:
         written = lines.sparkSession.read.schema("value STRING, log_day STRING, good BOOLEAN").parquet(target)
         topics.write_batch(written.filter("good"), topic, batch_id)

@@ -138,13 +138,13 @@ def test_fields_written_as_text(spark):
 
 
 def test_landing(spark, tmp_path):
-    df = spark.createDataFrame([('{"ts": 0}',), ('{"ts": 86400000}',), ("broken",), ('{"x": 1}',)], "value STRING")
+    df = spark.createDataFrame([('{"ts": 0}',), ('{"ts": 86400000}',), ("broken",), (" ",), ('{"x": 1}',)], "value STRING")
     topics = Topics(spark, root=str(tmp_path / "topics"))
     for _ in range(2):  # the second time repeats the batch
         land_logs(df, str(tmp_path / "bronze"), 0, topics)
     got = sorted((r.log_day, r.good, r.value) for r in landed_logs(spark, str(tmp_path / "bronze")).collect())
     assert got == [
-        ("19700101", True, '{"ts": 0}'), ("19700102", True, '{"ts": 86400000}'), ("none", False, "broken"), ("none", True, '{"x": 1}'),
+        ("19700101", True, '{"ts": 0}'), ("19700102", True, '{"ts": 86400000}'), ("none", False, " "), ("none", False, "broken"), ("none", True, '{"x": 1}'),
     ]
     assert topics.table("ods_base_log").count() == 3
 

@@ -13,7 +13,7 @@ from brookhouse.operators import bounces, interval_join
 from brookhouse.plans import jobs, stream_jobs
 from brookhouse.plans.stream_jobs import Warehouse
 from brookhouse.schemas import RULE_COLUMNS, TOPICS
-from brookhouse.sources import DimensionStore, Topics
+from brookhouse.sources import DimensionStore, Topics, landed_logs
 from brookhouse.streaming import FlagDays, StatsTable, bounces_stream, first_per_day_stream
 
 BASE = 1_709_287_200_000  # 2024-03-01 10:00:00
@@ -194,6 +194,18 @@ def test_restart_repeats_nothing(house):
     assert len(house.read(TOPICS["page"])) == pages
 
 
+def test_landing_feeds_the_routing(house):
+    house.feed("raw", [log("1", BASE), "broken"])
+    lines = house.spark.readStream.text(house.topics.path("raw"))
+    house.run(stream_jobs.log_landing(house.house, lines, f"{house.root}/bronze"))
+    house.feed("raw", [log("2", BASE + DAY)])
+    house.run(stream_jobs.log_landing(house.house, lines, f"{house.root}/bronze"))
+    landed = landed_logs(house.spark, f"{house.root}/bronze").groupBy("log_day", "good").count().collect()
+    assert sorted(map(tuple, landed)) == [("20240301", True, 1), ("20240302", True, 1), ("none", False, 1)]
+    house.run(stream_jobs.log_routing(house.house, FlagDays(house.spark, f"{house.root}/days")))
+    assert sorted(p["common"]["mid"] for p in house.read(TOPICS["page"])) == ["1", "2"]
+
+
 def test_flag_days_are_kept_and_folded(spark, tmp_path):
     days = FlagDays(spark, str(tmp_path / "days"))
     seen = {}
