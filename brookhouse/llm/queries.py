@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality
+from . import mixing, packing, quality
 from .common import fold, table
 from .sql import MIX_SQL, QUALITY_SQL
 
@@ -30,9 +30,25 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document in sequences of 1024 ids."""
+    return packing.pack(table(spark, folder, "documents"), **tokenizer_files())
+
+
+def tokenizer_files() -> dict[str, str]:
+    """The public byte-level vocabulary of 50k tokens, as a tokenizer file and as ranks."""
+    import public_tokenizers
+
+    return {
+        "tokenizer": public_tokenizers.path("byte_bpe_50k.json"),
+        "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN,
+    }
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op8_mixing": op8_mixing,
+    "op10_packing": op10_packing,
 }
 
 SQL: dict[str, str] = {
