@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, quality
+from . import langid, mixing, packing, quality
 from .common import fold, table
 from .sql import MIX_SQL, QUALITY_SQL
 
@@ -22,6 +22,16 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in names], digest)
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from those outside fold 1 of 3."""
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    documents = documents.withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+    model = langid.train(documents.filter(~F.col("held_out")))
+    out = langid.identify(documents.drop("lang"), model)
+    return out.select(
+        "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score", "language.bits_per_byte")
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Every copy of a document that the mixture draws, with its place."""
     out = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
@@ -47,6 +57,7 @@ def tokenizer_files() -> dict[str, str]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
     "op8_mixing": op8_mixing,
     "op10_packing": op10_packing,
 }
