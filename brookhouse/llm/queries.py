@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, packing, quality
+from . import extract, langid, mixing, packing, quality
 from .common import fold, table
 from .sql import MIX_SQL, QUALITY_SQL
 
@@ -32,6 +32,13 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score", "language.bits_per_byte")
 
 
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, folder, "pages")
+    out = extract.extract(pages, extract.train(pages))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Every copy of a document that the mixture draws, with its place."""
     out = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
@@ -58,6 +65,7 @@ def tokenizer_files() -> dict[str, str]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
+    "op4_html_extraction": op4_html_extraction,
     "op8_mixing": op8_mixing,
     "op10_packing": op10_packing,
 }
