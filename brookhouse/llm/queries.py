@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extract, langid, mixing, packing, quality
+from . import extract, langid, mixing, packing, quality, toxicity
 from .common import fold, table
 from .sql import MIX_SQL, QUALITY_SQL
 
@@ -47,6 +47,17 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score of every document, learned from the labels outside fold 2 of 4."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = documents.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").filter("toxic is not null").distinct()
+    scorer = toxicity.train(documents.filter(~F.col("held_out")).join(labels, "doc_id"))
+    out = toxicity.score(documents, scorer)
+    return out.select(
+        "doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document in sequences of 1024 ids."""
     return packing.pack(table(spark, folder, "documents"), **tokenizer_files())
@@ -67,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_html_extraction": op4_html_extraction,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 
