@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extract, langid, mixing, packing, quality, toxicity
+from . import extract, langid, mixing, packing, quality, toxicity, vectors
 from .common import fold, table
 from .sql import MIX_SQL, QUALITY_SQL
 
@@ -32,6 +32,11 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score", "language.bits_per_byte")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors with the same label and a cosine of 0.93 or more."""
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, folder, "pages")
@@ -76,6 +81,7 @@ def tokenizer_files() -> dict[str, str]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
