@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extract, langid, mixing, packing, quality, toxicity, vectors
+from . import extract, langid, mixing, packing, quality, suffix_dedup, toxicity, vectors
 from .common import fold, table
 from .sql import MIX_SQL, QUALITY_SQL
 
@@ -44,6 +44,13 @@ def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that occur elsewhere."""
+    out = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "deduped.n_bytes", "deduped.n_removed", "deduped.n_spans", F.sha2("deduped.kept", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Every copy of a document that the mixture draws, with its place."""
     out = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_html_extraction": op4_html_extraction,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
