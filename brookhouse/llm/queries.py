@@ -63,8 +63,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """A toxicity score of every document, learned from the labels outside fold 2 of 4."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
     documents = documents.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
-    labels = table(spark, folder, "labels").select("doc_id", "toxic").filter("toxic is not null").distinct()
-    scorer = toxicity.train(documents.filter(~F.col("held_out")).join(labels, "doc_id"))
+    scorer = toxicity.train(documents.filter(~F.col("held_out")), table(spark, folder, "labels").select("doc_id", "toxic"))
     out = toxicity.score(documents, scorer)
     return out.select(
         "doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))

@@ -168,18 +168,26 @@ def fitted(texts: list[bytes], labels: np.ndarray, most_known: int = 8000, least
     return scorer
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", per_class: int = 1200, train_chars: int = 20_000) -> Scorer:
-    """A scorer from the rows with a text and a label of 0 or 1."""
-    rows = labelled.filter(F.col(label).isin(0, 1) & (F.length(text) > 0)).select(F.col(label).cast("int").alias("y"), F.col(text).alias("text"))
-    slim = rows.select("y", F.xxhash64("text").alias("h")).groupBy("y", "h").count()
+def train(
+    documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+    per_class: int = 1200, train_chars: int = 20_000,
+) -> Scorer:
+    """A scorer from the texts that `labels` marks with 0 or 1.
+
+    Labels meet hashes of texts, not texts. The hashes of the chosen texts, at most per_class per label, come to the driver,
+    and the texts are then picked out by a scan.
+    """
+    hashed = documents.filter(F.length(text) > 0).select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    marks = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
+    slim = hashed.select("key", "h").join(marks, "key").groupBy("y", "h").count()
     ranked = slim.withColumn("k", F.row_number().over(W.partitionBy("y").orderBy("h"))).filter(F.col("k") <= per_class)
-    # Two numbers come to the driver; the texts below them are fetched without a shuffle of all texts.
-    ends = {r["y"]: r["end"] for r in ranked.groupBy("y").agg(F.max("h").alias("end")).collect()}
-    part = rows.filter(F.xxhash64("text") <= F.when(F.col("y") == 1, ends.get(1)).otherwise(ends.get(0)))
-    part = part.groupBy("y", F.xxhash64("text").alias("h")).agg(F.min(F.substring("text", 1, train_chars)).alias("text"))
-    # At most per_class texts of train_chars characters per label.
-    found = sorted(part.collect(), key=lambda r: (r["h"], r["y"]))
-    return fitted([r["text"].encode() for r in found], np.array([r["y"] for r in found], np.int64))
+    chosen = [(r["h"], r["y"]) for r in ranked.collect()]
+    if not chosen:
+        return fitted([], np.zeros(0, np.int64))
+    picked = hashed.filter(F.col("h").isin([h for h, _ in chosen])).groupBy("h")
+    texts = {r["h"]: r["text"].encode() for r in picked.agg(F.min(F.substring("text", 1, train_chars)).alias("text")).collect()}
+    chosen.sort()
+    return fitted([texts[h] for h, _ in chosen], np.array([y for _, y in chosen], np.int64))
 
 
 _ready: dict[int, Scorer] = {}
