@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extract, langid, mixing, packing, quality, suffix_dedup, toxicity, vectors
+from . import extract, langid, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, vectors
 from .common import fold, table
 from .sql import MIX_SQL, QUALITY_SQL
 
@@ -51,6 +51,11 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "deduped.n_bytes", "deduped.n_removed", "deduped.n_spans", F.sha2("deduped.kept", 256).alias("kept_sha256"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return ngram_join.similar_groups(table(spark, folder, "documents"), size=4, num=85, den=100).drop("text_key")
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Every copy of a document that the mixture draws, with its place."""
     out = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
