@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extract, langid, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, vectors
+from . import extract, langid, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, vectors
 from .common import fold, table
 from .sql import MIX_SQL, QUALITY_SQL
 
@@ -44,6 +44,14 @@ def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document after deleting blocks of lines that align with an earlier one."""
+    out = line_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "lines.n_lines", "lines.n_deleted", "lines.words_left", F.length("text").cast("bigint").alias("n_chars"),
+        F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without strings of 400 bytes that occur elsewhere."""
     out = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
@@ -94,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_html_extraction": op4_html_extraction,
+    "op5_line_dedup": op5_line_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_mixing": op8_mixing,
