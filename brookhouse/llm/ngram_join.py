@@ -158,7 +158,10 @@ def _open_groups(queries: DataFrame, member: DataFrame, bodies: DataFrame, size:
 def similar_groups(
     documents: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 4, num: int = 85, den: int = 100,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, text_key), one row per document; text_key is xxhash64 of the text."""
+    """(doc_id, n_shingles, component_id, part, text_key), one row per document.
+
+    `part` numbers the components (null without shingles); text_key is xxhash64 of the text.
+    """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("k"), body.alias("text"))
     signer = Signer(num, den)
@@ -208,11 +211,34 @@ def similar_groups(
     named = lowest.join(parts, lowest["c"] == parts["node"], "left").select("c", "id", F.coalesce("component", "c").alias("p"))
     names = stored(named, "named")
     of_part = names.groupBy("p").agg(F.min("id").alias("component_id"))
-    result = names.join(of_part, "p").select("c", "component_id")
+    result = names.join(of_part, "p").select("c", "component_id", F.col("p").alias("part"))
     out = sets.select("doc_id", "k", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(result, "c", "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.col("k").alias("text_key"))
+        "part", F.col("k").alias("text_key"))
+
+
+def keep_one(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """The rows of `documents` that stay: of each component the one with the smallest id, and all without shingles.
+
+    Of rows with one id the smallest text hash stays, and of equal rows one; a null id is larger than all others.
+    """
+    groups = stored(similar_groups(documents, text, doc_id, **how), "similar")
+    ranked = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("text_key"))
+    first = groups.filter("part is not null").groupBy("part").agg(F.min(ranked).alias("x"))
+    twice = groups.filter("part is not null").groupBy("doc_id", "text_key").agg((F.count("*") > 1).alias("twice"))
+    first = first.select("x.doc_id", "x.text_key").join(
+        twice.select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"), "twice"),
+        F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_key") == F.col("_k"))).select("doc_id", "text_key", "twice")
+    bare = groups.filter("part is null").select("doc_id", "text_key", F.lit(False).alias("twice")).distinct()
+    stay = stored(first.union(bare).toDF("_id", "_key", "_twice"), "stay")
+    key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    own = documents.select(F.struct("*").alias("_row"), F.col(doc_id).cast("bigint").alias("_own"), key.alias("_text"))
+    found = own.join(stay, (F.col("_text") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id")))
+    single = found.filter("not _twice").select("_row")
+    # Only rows that occur more than once are gathered to keep one of them.
+    again = found.filter("_twice").dropDuplicates(["_key", "_id"]).select("_row")
+    return single.union(again).select(*[F.col("_row")[c].alias(c) for c in documents.columns])
 
 
 def _packed(keyed: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
-    return ngram_join.similar_groups(table(spark, folder, "documents"), size=4, num=85, den=100).drop("text_key")
+    return ngram_join.similar_groups(table(spark, folder, "documents"), size=4, num=85, den=100).drop("text_key", "part")
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
