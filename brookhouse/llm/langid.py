@@ -208,9 +208,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_ch
     order = W.partitionBy("lang").orderBy("h")
     slim = rows.groupBy("lang", "h").agg(F.max("n").alias("n")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= MOST)
     slim = slim.withColumn("before", F.sum("n").over(order) - F.col("n")).filter(F.col("before") < sample_chars)
-    ends = slim.groupBy("lang").agg(F.max("h").alias("end"))
-    part = rows.join(ends, "lang").filter(F.col("h") <= F.col("end")).groupBy("lang", "h").agg(
-        F.min(F.substring("text", 1, sample_chars)).alias("text"))
+    # One number per language comes to the driver, as the model will; a scan then finds the texts below it.
+    ends = {r["lang"]: r["end"] for r in slim.groupBy("lang").agg(F.max("h").alias("end")).collect()}
+    if not ends:
+        return Model({})
+    end = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(ends.items()) for x in pair]), F.col("lang"))
+    part = rows.filter(F.col("h") <= end).groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
     samples: dict[str, list[bytes]] = {}
     room: dict[str, int] = {}
     # Fewer than 2 * sample_chars characters per language.
