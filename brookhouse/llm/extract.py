@@ -91,8 +91,13 @@ def disguised(page: list[Block], labels: np.ndarray, extra: list[str], rng: np.r
 
 def train(pages: DataFrame, html: str = "html", sample: int = 400, copies: int = 3, seed: int = 1) -> Labeller | None:
     """A labeller from up to `sample` pages; None if none of them marks its article."""
-    size = F.length(html)
-    rows = pages.filter(size > 0).select(F.xxhash64(html).alias("h"), F.col(html).alias("html")).orderBy("h", "html").limit(sample).collect()
+    hashed = pages.filter(F.length(html) > 0).select(F.xxhash64(html).alias("h"), F.col(html).alias("html"))
+    # Only hashes are ordered; a scan then finds the pages, equal ones once.
+    first = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    if not first:
+        return None
+    picked = hashed.filter(F.col("h") <= first[-1]).groupBy("h").agg(F.min("html").alias("html"))
+    rows = sorted(picked.collect(), key=lambda r: r["h"])
     known = [(p, w) for row in rows if (p := blocks(row["html"])) and (w := weak_labels(p)) is not None]
     if not known:
         return None
