@@ -134,7 +134,7 @@ def _open_groups(queries: DataFrame, member: DataFrame, bodies: DataFrame, size:
     held = member.join(queries.select("g").distinct(), "g", "left_semi").select("c", "g", "block", F.lit(0).alias("ask"))
     cells = stored(asked.union(held), "cells")
     shards = max(1, -(-cells.count() // SHARD_ROWS))
-    cells = cells.withColumn("shard", F.pmod(F.xxhash64("g", "block"), F.lit(shards))).join(bodies, "c")
+    cells = cells.withColumn("shard", F.pmod(F.xxhash64("g", "block"), F.lit(shards))).join(bodies.hint("merge"), "c")
 
     def match(shard: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor()
@@ -183,7 +183,9 @@ def similar_groups(
     signed = sets.select("c", F.explode("sigs").alias("s"))
     shared = signed.groupBy("s").agg(F.min("c").alias("leader"), F.max("c").alias("other")).filter("leader <> other")
     shared = stored(shared.select("s", "leader"), "signatures")
-    inside = stored(signed.join(shared, "s").distinct(), "inside")
+    # Joins with corpus-sized sides are sort-merge joins at every size (the hints), so a trial run on a sample
+    # moves the same data per document as the whole corpus does, instead of broadcasting what only fits there.
+    inside = stored(signed.join(shared.hint("merge"), "s").distinct(), "inside")
 
     group = inside.groupBy("c").agg(F.min("leader").alias("g"))
     sizes = group.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -193,7 +195,7 @@ def similar_groups(
     # The texts that matter, one per class: those of classes in groups, and of the leaders.
     ids = member.select("c").union(member.select("g")).distinct()
     one = sets.join(ids, "c", "left_semi").groupBy("c").agg(F.min("k").alias("k"))
-    bodies = stored(_packed(keyed).join(stored(one, "texts"), "k").dropDuplicates(["c"]).select("c", "z"), "bodies")
+    bodies = stored(_packed(keyed).join(stored(one, "texts").hint("merge"), "k").dropDuplicates(["c"]).select("c", "z"), "bodies")
 
     leaders = member.select(F.col("g").alias("q"), "g").distinct()
     first = stored(_open_groups(leaders, member, bodies, size, num, den), "links")
