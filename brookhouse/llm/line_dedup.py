@@ -116,7 +116,7 @@ def dedup(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
 
     lines = classes.select("k", "f", F.explode(F.array_distinct(F.filter(F.arrays_zip("h", "w"), lambda x: x["w"] > 0)["h"])).alias("line"))
     holders = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("f", "k")).alias("first")).filter("n > 1")
-    shared = stored(lines.join(stored(holders, "holders"), "line"), "lines")
+    shared = stored(lines.join(stored(holders, "holders").hint("merge"), "line"), "lines")
     star = shared.filter(F.col("k") != F.col("first.k")).select(F.col("first.k").alias("a"), F.col("k").alias("b"))
     few = shared.filter(F.col("n").between(3, rare)).select("line", "k", "f")
     early, late = few.toDF("line", "a", "fa"), few.toDF("line", "b", "fb")
@@ -129,14 +129,15 @@ def dedup(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
             out = pd.DataFrame({"k": batch["b"], "gone": found})
             yield out[out["gone"].map(len) > 0]
 
-    both = pairs.join(classes.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(
-        classes.select(F.col("k").alias("b"), F.col("h").alias("hb"), "w"), "b")
+    both = pairs.join(classes.select(F.col("k").alias("a"), F.col("h").alias("ha")).hint("merge"), "a").join(
+        classes.select(F.col("k").alias("b"), F.col("h").alias("hb"), "w").hint("merge"), "b")
     gone = both.select("b", "ha", "hb", "w").mapInPandas(compare, "k bigint, gone array<int>")
     gone = gone.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     copied = classes.filter("last > f").select("k", F.col("f").alias("first"))
     fate = stored(gone.join(copied, "k", "full"), "fate")
 
-    words_of = keyed.join(fate, "k", "left").select("row", "text", F.coalesce(F.col("f") > F.col("first"), F.lit(False)).alias("copy"), "gone")
+    # Sort-merge at every size, as in the pair joins: a trial on a sample then moves as much per document as the corpus.
+    words_of = keyed.join(fate.hint("merge"), "k", "left").select("row", "text", F.coalesce(F.col("f") > F.col("first"), F.lit(False)).alias("copy"), "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
