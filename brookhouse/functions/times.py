@@ -26,10 +26,10 @@ def day_of(ms: Column | str) -> Column:
 def to_time(text: Column | str) -> Column:
     """Datetime string to a timestamp; null where the text is none.
 
-    A cast reads this format several times faster than a pattern does. It also takes
-    shorter forms, which the length rules out.
+    After the seconds a fraction may follow, and a 'T' may stand for the blank. A cast reads this
+    format several times faster than a pattern does. It also takes shorter forms, which the length rules out.
     """
-    return F.when(F.length(_col(text)) == len(DATETIME), _col(text).try_cast("timestamp"))
+    return F.when(F.length(F.trim(_col(text))) >= len(DATETIME), F.trim(_col(text)).try_cast("timestamp"))
 
 
 def epoch_ms(text: Column | str) -> Column:

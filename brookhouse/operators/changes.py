@@ -58,7 +58,8 @@ def current_table(
     named = F.col("data")
     if "before" in changes.columns:
         named = F.when(F.size("data") > 0, F.col("data")).otherwise(F.col("before"))
-    keyed = rows.withColumn("_key", F.try_element_at(named, F.lit(key)))
+    # Rows without a key belong to no row of the table.
+    keyed = rows.withColumn("_key", F.try_element_at(named, F.lit(key))).filter(F.col("_key").isNotNull())
     last = latest_by_key(keyed, ["_key"], sequence, F.col("type") == "delete")
     return last.select(*[
         F.try_element_at("data", F.lit(name)).try_cast(kind).alias(name) for name, kind in columns.items()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def lookup(
-    facts: DataFrame, dimension: DataFrame, on: Mapping[str, str], take: Mapping[str, str], unique: bool = True
+    facts: DataFrame, dimension: DataFrame, on: Mapping[str, str], take: Mapping[str, str], unique: bool = True, few: bool = False
 ) -> DataFrame:
     """Add columns of the matching dimension row; rows without a match stay, with nulls.
 
@@ -21,7 +21,9 @@ def lookup(
     snapshot with unique keys reaches that shuffle directly, so adaptive execution
     can split a hot key or the rows without a key.
 
-    Pass `unique=False` when keys may repeat: one row per key is kept.
+    Pass `unique=False` when keys may repeat: one row per key is kept. Pass `few=True` when the facts
+    are a small batch: the dimension is first reduced to the keys of the batch by an inner join, in
+    which Spark may broadcast those keys, so that a large dimension is scanned but not shuffled.
     """
     keys = [f"_key{i}" for i in range(len(on))]
     picked = dimension.selectExpr(
@@ -29,6 +31,9 @@ def lookup(
         *[f"{value} AS `_dim_{name}`" for name, value in take.items()],
         "true AS _found",
     )
+    if few:
+        asked = facts.selectExpr(*[f"`{fact}` AS {key}" for key, fact in zip(keys, on)]).distinct()
+        picked = picked.join(asked, keys)
     if not unique:
         picked = picked.dropDuplicates(keys)
     condition = F.expr(" AND ".join(f"`{fact}` = {key}" for key, fact in zip(keys, on)))
@@ -39,6 +44,8 @@ def lookup(
     return facts.join(picked, condition, "left").selectExpr(*kept, *added)
 
 
-def by_id(facts: DataFrame, dimension: DataFrame, key: str, take: Mapping[str, str]) -> DataFrame:
+def by_id(
+    facts: DataFrame, dimension: DataFrame, key: str, take: Mapping[str, str], few: bool = False
+) -> DataFrame:
     """Lookup on the numeric key of a dimension that stores all columns as strings."""
-    return lookup(facts, dimension, {key: "TRY_CAST(ID AS BIGINT)"}, take)
+    return lookup(facts, dimension, {key: "TRY_CAST(ID AS BIGINT)"}, take, few=few)

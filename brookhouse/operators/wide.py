@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import add_computed, age_years, to_time
 from ..schemas import ORDER_WIDE_COLUMNS, PAYMENT_WIDE_COLUMNS
@@ -72,46 +72,50 @@ def order_with_detail(
     ])
 
 
-def product_dimension(dims: Dimensions) -> DataFrame:
+def product_dimension(dims: Dimensions, skus: DataFrame | None = None) -> DataFrame:
     """The product dimension with the names of its unit, category and trademark.
 
     They depend on the product alone, so the snowflake is joined between the
-    dimensions, and facts need one lookup in place of four.
+    dimensions, and facts need one lookup in place of four. With `skus`, a few rows with a
+    `sku_id`, only their products are looked up.
     """
-    products = dims.sku.selectExpr(
+    few = skus is not None
+    sku = dims.sku if skus is None else dims.sku.join(
+        skus.select(F.col("sku_id").alias("_sku")).distinct(), F.expr("TRY_CAST(ID AS BIGINT) = _sku"))
+    products = sku.selectExpr(
         "ID", "SKU_NAME AS sku_name", "TRY_CAST(PRICE AS DECIMAL(16,2)) AS sku_price",
         *[f"TRY_CAST({name.upper()} AS BIGINT) AS {name}" for name in ("spu_id", "category3_id", "tm_id")],
     )
-    products = by_id(products, dims.spu, "spu_id", {"spu_name": "SPU_NAME"})
-    products = by_id(products, dims.category3, "category3_id", {"category3_name": "NAME"})
-    return by_id(products, dims.trademark, "tm_id", {"tm_name": "TM_NAME"})
+    products = by_id(products, dims.spu, "spu_id", {"spu_name": "SPU_NAME"}, few)
+    products = by_id(products, dims.category3, "category3_id", {"category3_name": "NAME"}, few)
+    return by_id(products, dims.trademark, "tm_id", {"tm_name": "TM_NAME"}, few)
 
 
-def enrich_products(df: DataFrame, dims: Dimensions, with_price: bool = False) -> DataFrame:
-    """Product, unit, category and trademark of rows with a `sku_id`."""
+def enrich_products(df: DataFrame, dims: Dimensions, with_price: bool = False, few: bool = False) -> DataFrame:
+    """Product, unit, category and trademark of rows with a `sku_id`; `few` as in `lookup`."""
     names = ["sku_name", "spu_id", "category3_id", "tm_id", "spu_name", "category3_name", "tm_name"]
     if with_price:
         names.append("sku_price")
-    return by_id(df, product_dimension(dims), "sku_id", {name: name for name in names})
+    return by_id(df, product_dimension(dims, df if few else None), "sku_id", {name: name for name in names})
 
 
-def enrich_user(wide: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
+def enrich_user(wide: DataFrame, users: DataFrame, as_of: Column, few: bool = False) -> DataFrame:
     """Gender, and the age on the day `as_of`."""
-    found = by_id(wide, users, "user_id", {"user_gender": "GENDER", "_birthday": "TRY_CAST(BIRTHDAY AS DATE)"})
+    found = by_id(wide, users, "user_id", {"user_gender": "GENDER", "_birthday": "TRY_CAST(BIRTHDAY AS DATE)"}, few)
     return found.withColumn("user_age", age_years("_birthday", as_of)).drop("_birthday")
 
 
-def enrich_province(wide: DataFrame, provinces: DataFrame) -> DataFrame:
+def enrich_province(wide: DataFrame, provinces: DataFrame, few: bool = False) -> DataFrame:
     return by_id(wide, provinces, "province_id", {
         "province_name": "NAME", "province_area_code": "AREA_CODE",
         "province_iso_code": "ISO_CODE", "province_3166_2_code": "ISO_3166_2",
-    })
+    }, few)
 
 
-def enrich_order_wide(wide: DataFrame, dims: Dimensions, as_of: Column) -> DataFrame:
-    """Fill all dimension columns of order wide rows."""
-    wide = enrich_province(enrich_user(wide, dims.user, as_of), dims.province)
-    return enrich_products(wide, dims).select(*ORDER_WIDE_COLUMNS)
+def enrich_order_wide(wide: DataFrame, dims: Dimensions, as_of: Column, few: bool = False) -> DataFrame:
+    """Fill all dimension columns of order wide rows; `few` as in `lookup`."""
+    wide = enrich_province(enrich_user(wide, dims.user, as_of, few), dims.province, few)
+    return enrich_products(wide, dims, few=few).select(*ORDER_WIDE_COLUMNS)
 
 
 def payment_wide(

@@ -7,6 +7,7 @@ DataFrames; `stream_jobs` connects the same operators to topics.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -18,7 +19,7 @@ from ..operators import measures as m
 from ..operators import stats
 from ..operators.changes import valid_changes
 from ..operators.parse import parse_json
-from ..operators.routing import Logs, Routed, route_changes, split_logs
+from ..operators.routing import LINE, Logs, Routed, route_changes, split_logs
 from ..operators.visitors import bounces, first_per_day, is_entry, repair_new_flag
 from ..operators.wide import (
     ORDER_DETAIL_BOUNDS, PAYMENT_ORDER_BOUNDS, Dimensions, enrich_order_wide, enrich_products,
@@ -53,8 +54,11 @@ def repair_logs(logs: DataFrame) -> DataFrame:
 
 
 def log_routing(lines: DataFrame) -> RoutedLogs:
-    """Raw log strings to page, start and display logs, with the new-visitor flag repaired."""
-    parsed = parse_json(lines, LOG_SCHEMA)
+    """Raw log strings to page, start and display logs, with the new-visitor flag repaired.
+
+    Page and start logs carry the whole text of their row in `LINE`; `page_text` and `start_text` write it.
+    """
+    parsed = parse_json(lines, LOG_SCHEMA, line=LINE)
     # Only page logs carry the flag on, so only they take the way of the repair.
     plain = split_logs(parsed.rows)
     return RoutedLogs(plain._replace(page=split_logs(repair_logs(parsed.rows)).page), parsed.rejects)
@@ -124,8 +128,9 @@ class ProductFacts:
     comments: DataFrame
 
 
-def product_measures(facts: ProductFacts) -> DataFrame:
-    return stats.union_measures([
+def product_measures(facts: ProductFacts, each: Callable[[DataFrame], DataFrame] = lambda branch: branch) -> DataFrame:
+    """All branches of the product subject in one table; `each` is applied to every branch first."""
+    return stats.union_measures([each(branch) for branch in (
         m.product_clicks(facts.pages),
         m.product_displays(facts.pages),
         m.product_favors(facts.favors),
@@ -134,7 +139,7 @@ def product_measures(facts: ProductFacts) -> DataFrame:
         m.product_payments(facts.payment_wide),
         m.product_refunds(facts.refunds),
         m.product_comments(facts.comments),
-    ])
+    )])
 
 
 def product_statistics(facts: ProductFacts, dims: Dimensions, size: str = stats.WINDOW) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,7 +20,7 @@ from ..functions.keywords import register_keyword_function
 from ..operators import measures as m
 from ..operators import stats
 from ..operators.parse import parse_fields, parse_json, to_json_value
-from ..operators.routing import route_changes, split_logs
+from ..operators.routing import LINE, display_text, page_text, route_changes, split_logs, start_text
 from ..operators.changes import valid_changes
 from ..operators.visitors import is_entry
 from ..operators.wide import Dimensions, enrich_order_wide, enrich_products, order_with_detail, payment_wide, with_rowtime
@@ -35,6 +36,11 @@ DELAY = "3 seconds"
 SPREAD = 4
 
 
+# Event times that a fact needs to take part.
+FACT_TIMES = {name: ("create_time",) for name in ("order", "detail", "favor", "cart", "refund", "comment")}
+FACT_TIMES["payment"] = ("callback_time",)
+
+
 @dataclass(frozen=True)
 class Warehouse:
     """Topics, dimension store and checkpoint folder the jobs share."""
@@ -46,12 +52,13 @@ class Warehouse:
     def checkpoint(self, job: str) -> str:
         return f"{self.checkpoints}/{job}"
 
-    def rows(self, topic: str, schema: str) -> DataFrame:
-        return parse_json(self.topics.stream(TOPICS[topic]), schema).rows
+    def rows(self, topic: str, schema: str, line: str | None = None) -> DataFrame:
+        """Rows of a topic; `rejected_rows` keeps the lines that are none."""
+        return parse_json(self.topics.stream(TOPICS[topic]), schema, line=line).rows
 
     def facts(self, topic: str, schema: str) -> DataFrame:
         """Rows of a topic that the change router fills; their columns arrive as text."""
-        return parse_fields(self.topics.routed_stream(TOPICS[topic]), schema).rows
+        return parse_fields(self.topics.routed_stream(TOPICS[topic]), schema, times=FACT_TIMES[topic]).rows
 
     def dimensions(self) -> Dimensions:
         """The dimensions as they are now."""
@@ -70,6 +77,15 @@ class Warehouse:
         writer = df.writeStream.outputMode(mode).option("checkpointLocation", self.checkpoint(job))
         return writer.foreachBatch(write)
 
+    def emit_lines(self, lines: DataFrame, topic: str, job: str, mode: str) -> DataStreamWriter:
+        """Write ready texts per micro-batch."""
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            self.topics.write_batch(batch, TOPICS[topic], batch_id)
+
+        writer = lines.writeStream.outputMode(mode).option("checkpointLocation", self.checkpoint(job))
+        return writer.foreachBatch(write)
+
     def emit(self, df: DataFrame, topic: str, job: str) -> DataStreamWriter:
         return self.topics.write_stream(to_json_value(df), TOPICS[topic], self.checkpoint(job))
 
@@ -84,10 +100,10 @@ def log_landing(house: Warehouse, lines: DataFrame, folder: str) -> DataStreamWr
 
 
 def log_routing(house: Warehouse, days: FlagDays) -> DataStreamWriter:
-    """Raw logs to page, start and display topics; broken lines to a reject topic."""
+    """Raw logs to page, start and display topics, whole as they came; broken lines to a reject topic."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_json(batch, schemas.LOG_SCHEMA)
+        parsed = parse_json(batch, schemas.LOG_SCHEMA, line=LINE)
         # The batch is read by the repair and by three outputs: keep it parsed, on disk
         # where memory is short.
         rows = parsed.rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -97,9 +113,9 @@ def log_routing(house: Warehouse, days: FlagDays) -> DataStreamWriter:
             fixed = days.repair(flat, batch_id, "_mid", "_flag", day_of("ts"))
             fixed = fixed.withColumn("common", put_field("common", "is_new", F.col("_flag"))).drop("_mid", "_flag")
             topics = house.topics
-            topics.write_batch(to_json_value(split_logs(fixed).page), TOPICS["page"], batch_id)
-            topics.write_batch(plain.start.select(F.to_json("start").alias("value")), TOPICS["start"], batch_id)
-            topics.write_batch(plain.display.select(F.to_json("display").alias("value")), TOPICS["display"], batch_id)
+            topics.write_batch(page_text(split_logs(fixed).page), TOPICS["page"], batch_id)
+            topics.write_batch(start_text(plain.start), TOPICS["start"], batch_id)
+            topics.write_batch(display_text(plain.page), TOPICS["display"], batch_id)
             topics.write_batch(parsed.rejects, TOPICS["log"] + "_rejects", batch_id)
         finally:
             rows.unpersist()
@@ -111,15 +127,21 @@ def log_routing(house: Warehouse, days: FlagDays) -> DataStreamWriter:
 def database_routing(house: Warehouse, rules: Callable[[], DataFrame], compact_every: int = 50) -> DataStreamWriter:
     """Change rows to dimension tables and fact topics.
 
-    `rules` is called for every micro-batch, before its rows are routed. Where rows
-    carry a `ts`, it orders the changes of one key inside a batch.
+    `rules` is called for every micro-batch, before its rows are routed. Changes of one key
+    inside a batch follow their `ts`, and their order of arrival where it is equal or missing. Broken lines
+    go to a reject topic, rows without a rule to an unmatched topic.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_json(batch, schemas.CHANGE_SCHEMA + ", ts BIGINT").rows.persist(StorageLevel.MEMORY_AND_DISK)
+        read = batch.withColumn("_row", F.monotonically_increasing_id())
+        both = parse_json(read, schemas.CHANGE_SCHEMA + ", ts BIGINT", keep=("arrived", "_row"))
+        parsed = both.rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             routed = route_changes(valid_changes(parsed), rules())
-            house.store.apply(routed.dims, batch_id, sequence="ts")
+            house.store.apply(routed.dims, batch_id, sequence=["ts", "arrived", "_row"])
+            house.topics.write_batch(both.rejects, TOPICS["changes"] + "_rejects", batch_id)
+            house.topics.write_batch(
+                to_json_value(routed.unmatched.drop("arrived", "_row")), TOPICS["changes"] + "_unmatched", batch_id)
             facts = routed.facts.select("sink_table", F.to_json("data").alias("value"))
             house.topics.write_routed(facts, batch_id)
         finally:
@@ -127,24 +149,44 @@ def database_routing(house: Warehouse, rules: Callable[[], DataFrame], compact_e
         if batch_id and batch_id % compact_every == 0:
             house.store.compact(batch_id)
 
-    lines = house.topics.stream(TOPICS["changes"])
+    lines = house.topics.stream(TOPICS["changes"], placed=True)
     return lines.writeStream.option("checkpointLocation", house.checkpoint("database_routing")).foreachBatch(write)
 
 
+def rejected_rows(house: Warehouse, topic: str, schema: str, routed: bool = False) -> DataStreamWriter:
+    """Lines of a topic that the jobs reading it leave out, to the topic's reject topic.
+
+    Jobs with state have one output, so their rejects come from a query of their own. `routed` topics
+    are those the change router fills.
+    """
+    if routed:
+        found = parse_fields(house.topics.routed_stream(TOPICS[topic]), schema, times=FACT_TIMES[topic]).rejects
+    else:
+        found = parse_json(house.topics.stream(TOPICS[topic]), schema).rejects
+    name = TOPICS[topic] + "_rejects"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        house.topics.write_batch(batch, name, batch_id)
+
+    return found.writeStream.option("checkpointLocation", house.checkpoint(f"rejected_{topic}")).foreachBatch(write)
+
+
 def unique_visitors(house: Warehouse, delay: str = DELAY) -> DataStreamWriter:
-    pages = house.rows("page", schemas.LOG_SCHEMA)
+    """First entry pages of a device and day, whole as they came."""
+    pages = house.rows("page", schemas.LOG_SCHEMA, LINE)
     timed = with_device(pages).withColumn("_time", F.timestamp_millis("ts"))
     first = first_per_day_stream(timed, "_mid", "_time", ["ts", "_tie"], delay, is_entry("page.last_page_id"))
-    return house.emit_batches(
-        first.select(*pages.columns), "unique_visitor", "unique_visitors", lambda batch: batch, "update"
-    )
+    lines = first.select(F.col(LINE).alias("value"))
+    return house.emit_lines(lines, "unique_visitor", "unique_visitors", "update")
 
 
 def bounced_visitors(house: Warehouse, timeout_seconds: int = BOUNCE_SECONDS, delay: str = DELAY) -> DataStreamWriter:
-    pages = house.rows("page", schemas.LOG_SCHEMA)
+    """Bounced entry pages, whole as they came."""
+    pages = house.rows("page", schemas.LOG_SCHEMA, LINE)
     timed = with_device(pages).withColumn("_time", F.timestamp_millis("ts"))
     found = bounces_stream(timed, "_mid", "_time", ["_tie"], is_entry("page.last_page_id"), timeout_seconds, delay)
-    return house.emit(found.select(*pages.columns), "bounce", "bounced_visitors")
+    lines = found.select(F.col(LINE).alias("value"))
+    return house.topics.write_stream(lines, TOPICS["bounce"], house.checkpoint("bounced_visitors"))
 
 
 def _timed(df: DataFrame, column: str, delay: str) -> DataFrame:
@@ -158,7 +200,7 @@ def order_wide(house: Warehouse, as_of: Column | None = None, delay: str = DELAY
     day = F.current_date() if as_of is None else as_of
     return house.emit_batches(
         order_with_detail(orders, details, spread=SPREAD), "order_wide", "order_wide",
-        lambda batch: enrich_order_wide(batch, house.dimensions(), day),
+        lambda batch: enrich_order_wide(batch, house.dimensions(), day, few=True),
     )
 
 
@@ -173,17 +215,19 @@ def visitor_statistics(
 ) -> DataStreamWriter:
     """Visitor statistics from the page, unique-visitor and bounce topics.
 
-    Bounces appear up to twice the timeout plus `late` seconds after their event
-    time; the watermark waits that long, so none of them is dropped.
+    Each topic has a watermark of its own, and windows close behind the slowest of the three, so a topic that
+    runs behind the pages loses nothing. Bounces appear up to twice the timeout plus `late` seconds after their event
+    time, which every watermark waits for.
     """
-    rows = (
-        m.page_views(house.rows("page", schemas.LOG_SCHEMA))
-        .unionByName(m.unique_visits(house.rows("unique_visitor", schemas.LOG_SCHEMA)))
-        .unionByName(m.bounced_visits(house.rows("bounce", schemas.LOG_SCHEMA)))
-    )
-    timed = rows.withColumn("rowtime", F.timestamp_millis("ts"))
-    timed = timed.withWatermark("rowtime", f"{2 * timeout_seconds + late} seconds")
-    return table.write_stream(stats.visitor_stats(timed), house.checkpoint("visitor_statistics"))
+    branches = [
+        m.page_views(house.rows("page", schemas.LOG_SCHEMA)),
+        m.unique_visits(house.rows("unique_visitor", schemas.LOG_SCHEMA)),
+        m.bounced_visits(house.rows("bounce", schemas.LOG_SCHEMA)),
+    ]
+    delay = f"{2 * timeout_seconds + late} seconds"
+    timed = [b.withColumn("rowtime", F.timestamp_millis("ts")).withWatermark("rowtime", delay) for b in branches]
+    rows = reduce(DataFrame.unionByName, timed)
+    return table.write_stream(stats.visitor_stats(rows), house.checkpoint("visitor_statistics"))
 
 
 def product_statistics(house: Warehouse, table: StatsTable, delay: str = DELAY) -> DataStreamWriter:
@@ -197,10 +241,11 @@ def product_statistics(house: Warehouse, table: StatsTable, delay: str = DELAY)
         refunds=house.facts("refund", schemas.REFUND_SCHEMA),
         comments=house.facts("comment", schemas.COMMENT_SCHEMA),
     )
-    timed = product_measures(facts).withWatermark("rowtime", delay)
+    # A watermark per branch, as in the visitor statistics: order and payment rows trail the pages.
+    timed = product_measures(facts, lambda branch: branch.withWatermark("rowtime", delay))
     return table.write_stream(
         stats.product_stats(timed), house.checkpoint("product_statistics"),
-        lambda batch: enrich_products(batch, house.dimensions(), with_price=True),
+        lambda batch: enrich_products(batch, house.dimensions(), with_price=True, few=True),
     )
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import day_of, map_value
+from ..functions import day_of, epoch_ms, map_value
 from ..operators import (
     bounces, explode_displays, first_per_day, parse_json, repair_new_flag, split_logs, to_json_value,
 )
 from ..operators import measures as m
+from ..operators.routing import page_text
 from ..schemas import LOG_SCHEMA
 from . import jobs, shop
 from .registry import query
@@ -72,6 +73,56 @@ def display_explode(t: Tables) -> DataFrame:
     return shown.select(*[map_value("display", name).alias(name) for name in ("item", "item_type", "page_id", "ts")])
 
 
+def _raw_line() -> Column:
+    """A behaviour log as an app sends it: with fields that no job knows, in every part of the row."""
+    return F.to_json(F.expr("""named_struct(
+        'common', named_struct('mid', concat('m', user_id), 'is_new', IF(event_type IN ('signup', 'view'), '1', '0'), 'os', concat('o', user_id % 2)),
+        'page', named_struct('page_id', event_type, 'item_type', 'sku', 'rank', event_id % 10),
+        'err', event_id % 100, 'ts', unix_millis(CAST(ts AS TIMESTAMP)))"""))
+
+
+@query("log_router_whole_row", """
+SELECT mid, CASE WHEN is_new = '1' AND d <> min(CASE WHEN is_new = '1' THEN d END) OVER (PARTITION BY mid) THEN '0' ELSE is_new END AS is_new,
+       os, item_type, rank, err, ts
+FROM (SELECT 'm' || user_id AS mid, CASE WHEN event_type IN ('signup', 'view') THEN '1' ELSE '0' END AS is_new, CAST(ts AS DATE) AS d,
+             'o' || (user_id % 2) AS os, 'sku' AS item_type, event_id % 10 AS rank, event_id % 100 AS err, epoch_us(ts) // 1000 AS ts FROM events) x""")
+def log_router_whole_row(t: Tables) -> DataFrame:
+    """Page rows keep fields that the job does not know, whether or not their flag is repaired."""
+    pages = page_text(jobs.log_routing(t.events.select(_raw_line().alias("value"))).logs.page)
+    field = lambda path: F.get_json_object("value", path)
+    return pages.select(
+        field("$.common.mid").alias("mid"), field("$.common.is_new").alias("is_new"), field("$.common.os").alias("os"),
+        field("$.page.item_type").alias("item_type"), field("$.page.rank").cast("bigint").alias("rank"),
+        field("$.err").cast("bigint").alias("err"), field("$.ts").cast("bigint").alias("ts"),
+    )
+
+
+@query("poison_lines", """
+SELECT CASE event_id % 6 WHEN 1 THEN 'json' WHEN 2 THEN 'time' WHEN 3 THEN 'number' ELSE 'row' END AS outcome, count(*) AS ct
+FROM events GROUP BY ALL""")
+def poison_lines(t: Tables) -> DataFrame:
+    """Broken, out-of-range and non-numeric lines are set aside by reason; quoted numbers pass; every line is accounted for."""
+    good = "unix_millis(CAST(ts AS TIMESTAMP))"
+    line = F.expr(f"""CASE event_id % 6 WHEN 1 THEN '{{broken' WHEN 2 THEN '{{"ts": 9223372036854775807, "page": {{"page_id": "home"}}}}'
+        WHEN 3 THEN '{{"ts": 1, "page": {{"during_time": "long"}}}}' WHEN 4 THEN concat('{{"ts": "', {good}, '", "page": {{"during_time": "12"}}}}')
+        ELSE concat('{{"ts": ', {good}, ', "common": {{"mid": "', user_id, '", "is_new": "1"}}}}') END""")
+    routed = jobs.log_routing(t.events.select(line.alias("value")))
+    rows = routed.logs.page.select(F.lit("row").alias("outcome"))
+    return rows.unionByName(routed.rejects.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("ct"))
+
+
+@query("datetime_forms", """
+SELECT event_id, epoch_us(date_trunc('second', ts)) // 1000 + CASE WHEN event_id % 4 = 2 THEN 120 ELSE 0 END AS ms FROM events WHERE event_id % 4 <> 3
+UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 4 = 3""")
+def datetime_forms(t: Tables) -> DataFrame:
+    """Datetime texts with a 'T', with a fraction, and cut short."""
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    kind = F.col("event_id") % 4
+    form = F.when(kind == 1, F.replace(text, F.lit(" "), F.lit("T"))).when(kind == 2, F.concat(text, F.lit(".12"))).when(
+        kind == 3, F.substring(text, 1, 16)).otherwise(text)
+    return t.events.select("event_id", epoch_ms(form).alias("ms"))
+
+
 @query("json_rejects", """
 SELECT reason, count(*) AS ct FROM (
   SELECT CASE WHEN event_id % 7 = 0 THEN 'reject' ELSE 'row' END AS reason FROM events) x GROUP BY reason""")

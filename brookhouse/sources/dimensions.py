@@ -29,11 +29,15 @@ class DimensionStore:
     spark: SparkSession
     root: str
 
-    def apply(self, dims: DataFrame, batch_id: int, apply_deletes: bool = True, sequence: str | None = None) -> None:
+    def apply(self, dims: DataFrame, batch_id: int, apply_deletes: bool = True, *, sequence: str | list[str]) -> None:
         """Append one batch of routed dimension rows `(type, data, sink_table, sink_pk)`.
 
-        Rows of one key are reduced to the last by `sequence` before they are written.
+        Rows of one key are reduced to the last by the columns of `sequence`, which must tell their
+        order of arrival: the first column decides, the next ones among equals.
         """
+        if not sequence:
+            raise ValueError("changes of one key need a sequence")
+        order = [sequence] if isinstance(sequence, str) else list(sequence)
         folder = f"{self.root}/delta/batch={batch_id}"
         if folders.exists(self.spark, f"{folder}/_SUCCESS"):
             return
@@ -42,10 +46,12 @@ class DimensionStore:
             "data",
             (F.lit(apply_deletes) & (F.col("type") == "delete")).alias("deleted"),
             F.lit(batch_id).cast("bigint").alias("batch"),
-            (F.col(sequence) if sequence else F.lit(0)).cast("bigint").alias("seq"),
-            "sink_table",
+            # A batch holds one row of a key, so `seq` need not tell more apart.
+            F.lit(0).cast("bigint").alias("seq"),
+            "sink_table", *[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)],
         ).filter(F.col("id").isNotNull())
-        last = latest_by_key(rows, ["sink_table", "id"], ["seq"])
+        places = [f"_order{i}" for i in range(len(order))]
+        last = latest_by_key(rows, ["sink_table", "id"], places).drop(*places)
         last.write.mode("overwrite").partitionBy("sink_table").parquet(folder)
 
     def _read(self, paths: list[str]) -> DataFrame:

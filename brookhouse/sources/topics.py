@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamReader, DataStreamWriter
 
 from ..operators.parse import parse_json
 from . import folders
@@ -30,7 +30,8 @@ class Topics:
 
     def source_options(self, topic: str, start: str = "earliest") -> dict[str, str]:
         return {
-            "kafka.bootstrap.servers": str(self.servers), "subscribe": topic, "startingOffsets": start, **self.options,
+            "kafka.bootstrap.servers": str(self.servers), "subscribe": topic, "startingOffsets": start,
+            "maxOffsetsPerTrigger": "10000000", **self.options,
         }
 
     def sink_options(self, topic: str | None = None) -> dict[str, str]:
@@ -38,24 +39,34 @@ class Topics:
         named = {"topic": topic} if topic else {}
         return {"kafka.bootstrap.servers": str(self.servers), **named, **self.options}
 
-    def _kafka_values(self, reader, topic: str, start: str) -> DataFrame:
+    def _kafka_values(self, reader, topic: str, start: str, *more: Column) -> DataFrame:
         raw = reader.format("kafka").options(**self.source_options(topic, start)).load()
-        return raw.select(F.col("value").cast("string").alias("value"))
+        return raw.select(F.col("value").cast("string").alias("value"), *more)
 
-    def stream(self, topic: str, start: str = "earliest") -> DataFrame:
-        """Endless rows of one string column `value`; a restart goes on from the checkpoint."""
+    def _files(self) -> DataStreamReader:
+        """Files of a micro-batch are limited by default: that paces a backlog and drops nothing."""
+        return self.spark.readStream.schema("value STRING").options(**{"maxFilesPerTrigger": "1000", **self.options})
+
+    def stream(self, topic: str, start: str = "earliest", placed: bool = False) -> DataFrame:
+        """Endless rows of one string column `value`; a restart goes on from the checkpoint.
+
+        With `placed`, a column `arrived` tells the order of arrival as far as the source knows it: Kafka
+        partition and offset, or time and name of the file. Rows of one file follow in reading order.
+        """
         if self.servers:
-            return self._kafka_values(self.spark.readStream, topic, start)
+            place = [F.struct(F.col("timestamp").alias("at"), F.format_string("%08d", "partition").alias("of"), F.col("offset").alias("n")).alias("arrived")]
+            return self._kafka_values(self.spark.readStream, topic, start, *(place if placed else []))
         folders.make(self.spark, self.path(topic))
-        reader = self.spark.readStream.schema("value STRING").options(**self.options)
-        return reader.text(self.path(topic)).select("value")
+        place = [F.struct(
+            F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("of"), F.col("_metadata.file_block_start").alias("n"),
+        ).alias("arrived")]
+        return self._files().text(self.path(topic)).select("value", *(place if placed else []))
 
     def routed_stream(self, topic: str, start: str = "earliest") -> DataFrame:
         """The same for a topic that `write_routed` fills."""
         if self.servers:
             return self._kafka_values(self.spark.readStream, topic, start)
-        reader = self.spark.readStream.schema("value STRING").options(**self.options)
-        return reader.text(f"{self.path('routed')}/*/topic={topic}").select("value")
+        return self._files().text(f"{self.path('routed')}/*/topic={topic}").select("value")
 
     def table(self, topic: str) -> DataFrame:
         """The rows a topic holds now."""

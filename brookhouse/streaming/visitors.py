@@ -18,16 +18,16 @@ def first_per_day_stream(
     Among the rows of one micro-batch the first by `order` is taken. To be run in
     update mode: a group changes in its first micro-batch, where the times of its
     first and its last batch are equal, and only then its row comes out. Rows of a
-    busy device are combined before they are shuffled, and the state of a day is
-    dropped when the watermark passes its end.
+    busy device are combined before they are shuffled. Days are those of the session's time zone; the
+    state of a day is dropped when a row comes that is two days and the delay after its begin.
     """
     rows = df if entry is None else df.filter(entry)
     placed = (
-        rows.withColumn("_clock", F.col(time).cast("timestamp"))
-        .withWatermark("_clock", delay)
+        rows.withColumn("_day", F.date_trunc("day", F.col(time).cast("timestamp")))
+        .withWatermark("_day", f"1 day {delay}")
         .withColumn("_batch", F.current_timestamp())
     )
-    seen = placed.groupBy(device, F.window("_clock", "1 day").alias("_day")).agg(
+    seen = placed.groupBy(device, "_day").agg(
         F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"),
         F.min("_batch").alias("_first"),
         F.max("_batch").alias("_last"),
