@@ -30,8 +30,7 @@ class Topics:
 
     def source_options(self, topic: str, start: str = "earliest") -> dict[str, str]:
         return {
-            "kafka.bootstrap.servers": str(self.servers), "subscribe": topic, "startingOffsets": start,
-            "maxOffsetsPerTrigger": "10000000", **self.options,
+            "kafka.bootstrap.servers": str(self.servers), "subscribe": topic, "startingOffsets": start, **self.options,
         }
 
     def sink_options(self, topic: str | None = None) -> dict[str, str]:
@@ -43,8 +42,12 @@ class Topics:
         raw = reader.format("kafka").options(**self.source_options(topic, start)).load()
         return raw.select(F.col("value").cast("string").alias("value"), *more)
 
+    def _paced(self) -> DataStreamReader:
+        """Offsets of a micro-batch are limited by default: that paces a backlog and drops nothing."""
+        return self.spark.readStream.option("maxOffsetsPerTrigger", "10000000")
+
     def _files(self) -> DataStreamReader:
-        """Files of a micro-batch are limited by default: that paces a backlog and drops nothing."""
+        """The same for files."""
         return self.spark.readStream.schema("value STRING").options(**{"maxFilesPerTrigger": "1000", **self.options})
 
     def stream(self, topic: str, start: str = "earliest", placed: bool = False) -> DataFrame:
@@ -55,7 +58,7 @@ class Topics:
         """
         if self.servers:
             place = [F.struct(F.col("timestamp").alias("at"), F.format_string("%08d", "partition").alias("of"), F.col("offset").alias("n")).alias("arrived")]
-            return self._kafka_values(self.spark.readStream, topic, start, *(place if placed else []))
+            return self._kafka_values(self._paced(), topic, start, *(place if placed else []))
         folders.make(self.spark, self.path(topic))
         place = [F.struct(
             F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("of"), F.col("_metadata.file_block_start").alias("n"),
@@ -65,7 +68,7 @@ class Topics:
     def routed_stream(self, topic: str, start: str = "earliest") -> DataFrame:
         """The same for a topic that `write_routed` fills."""
         if self.servers:
-            return self._kafka_values(self.spark.readStream, topic, start)
+            return self._kafka_values(self._paced(), topic, start)
         return self._files().text(f"{self.path('routed')}/*/topic={topic}").select("value")
 
     def table(self, topic: str) -> DataFrame:
