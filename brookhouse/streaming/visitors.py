@@ -19,12 +19,13 @@ def first_per_day_stream(
     update mode: a group changes in its first micro-batch, where the times of its
     first and its last batch are equal, and only then its row comes out. Rows of a
     busy device are combined before they are shuffled. Days are those of the session's time zone; the
-    state of a day is dropped when a row comes that is two days and the delay after its begin.
+    state of a day is dropped when a row of the second day after it comes.
     """
     rows = df if entry is None else df.filter(entry)
     placed = (
-        rows.withColumn("_day", F.date_trunc("day", F.col(time).cast("timestamp")))
-        .withWatermark("_day", f"1 day {delay}")
+        # A day is named by its end, and the day before must outlive a day of up to 25 hours.
+        rows.withColumn("_day", F.date_add(F.to_date(F.col(time).cast("timestamp")), 1).cast("timestamp"))
+        .withWatermark("_day", f"25 hours {delay}")
         .withColumn("_batch", F.current_timestamp())
     )
     seen = placed.groupBy(device, "_day").agg(
