@@ -227,3 +227,56 @@ def test_keep_one(odd, empty):
     # Of 1, 2, 2, 3 and a null id the first stays; texts without words all stay.
     assert Counter(r.doc_id for r in kept) == Counter([1, 4, 5, 6, None, 7, 8, 9, 9, 10, 11, 12])
     assert ngram_join.keep_one(empty).count() == 0
+
+
+def all_earlier(rows, min_words=8):
+    """Lines left after a patience diff with every earlier document, by an aligner of its own."""
+    def match(a, b, words):
+        if not a or not b:
+            return []
+        if a[0] == b[0]:
+            return [(0, 0)] + [(i + 1, j + 1) for i, j in match(a[1:], b[1:], words[1:])]
+        if a[-1] == b[-1]:
+            return match(a[:-1], b[:-1], words[:-1]) + [(len(a) - 1, len(b) - 1)]
+        both = [(a.index(x), j) for j, x in enumerate(b) if words[j] and a.count(x) == 1 and b.count(x) == 1]
+        best = []
+        for n, (i, _) in enumerate(both):
+            # Of equally long chains the latest.
+            best.append(max((best[m] for m in reversed(range(n)) if both[m][0] < i), key=len, default=[]) + [both[n]])
+        chain = max(reversed(best), key=len, default=[])
+        out = []
+        for (i, j), (i2, j2) in zip([(0, 0), *chain], [*chain, (len(a), len(b))], strict=True) if chain else ():
+            out += [(i + x, j + y) for x, y in match(a[i:i2], b[j:j2], words[j:j2])]
+        return out
+
+    out = []
+    for n, text in enumerate(rows):
+        b, gone = text.split("\n"), set()
+        words = [len(WORD.findall(x)) for x in b]
+        for a in rows[:n]:
+            run = []
+            for i, j in [*match(a.split("\n"), b, words), (-9, -9)]:
+                if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
+                    gone |= {y for _, y in run} if sum(words[y] for _, y in run) >= min_words else set()
+                    run = []
+                run.append((i, j))
+        out.append("\n".join(x for i, x in enumerate(b) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("rare", [8, 2])
+def test_lines_with_all_earlier_documents(spark, rare):
+    """Frequent lines whose first holder has them in another order, twice, or without the rest of a passage."""
+    rng = np.random.default_rng(8)
+    long = [f"common line {i} with more than eight words in it" for i in range(4)]
+    short = ["share this", "", "read more here", "next page"]
+    rows = []
+    for n in range(60):
+        own = [f"own {n} {i} of few words" for i in range(3)]
+        lines = [*own, *(long[i] for i in rng.choice(4, 3)), *(short[i] for i in rng.choice(4, 4))]
+        rows.append("\n".join(lines[i] for i in rng.permutation(len(lines))))
+    rows += ["\n".join([f"head {n}", "read more here", "a passage of four words", "next page", f"tail {n}"]) for n in range(20)]
+    rows += ["\n".join([f"own {n}", "a passage of four words", f"other {n}", "read more here"]) for n in range(20, 24)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in line_dedup.dedup(frame, rare=rare).collect()}
+    assert [got[i] for i in range(len(rows))] == all_earlier(rows)
