@@ -15,7 +15,8 @@ ranks its own tails, and the offsets of the tasks come from a grouped count, so
 all documents share is still ranked in parallel.
 
 The ids are those of the tokenizer file. They are made by the same vocabulary's rank file, which gives the same
-ids (tests compare both) in a quarter of the time; without a rank file the tokenizer file does the work.
+ids (tests compare both) in a quarter of the time; without a rank file the tokenizer file does the work. Texts that hold
+the literal of an added token of the tokenizer file, such as <|endoftext|>, are always encoded by the file itself.
 
 Defined results: a null or empty text is the end id alone; equal rows are packed one by one; a null id stays
 null; other columns are not read; an empty table gives an empty result.
@@ -46,9 +47,16 @@ _encoders: dict[tuple, Callable[[str], list[int]]] = {}
 
 
 def encoder(tokenizer: str, ranks: str | None = None, pattern: str | None = None) -> Callable[[str], list[int]]:
-    """Text to ids; kept per process. Texts that look like special tokens are ordinary text."""
+    """Text to ids as the tokenizer file gives them without special tokens added around; kept per process."""
     key = (tokenizer, ranks, pattern)
     if key not in _encoders:
+        from tokenizers import Tokenizer
+
+        loaded = Tokenizer.from_file(tokenizer)
+
+        def whole(text: str) -> list[int]:
+            return loaded.encode(text, add_special_tokens=False).ids
+
         if ranks and pattern:
             import base64
 
@@ -56,14 +64,12 @@ def encoder(tokenizer: str, ranks: str | None = None, pattern: str | None = None
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            _encoders[key] = tiktoken.Encoding(
-                ranks, pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            ordinary = tiktoken.Encoding(ranks, pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            # The file cuts these literals out of a text before it splits words; the ranks do not know them.
+            added = [token.content for token in loaded.get_added_tokens_decoder().values()]
+            _encoders[key] = lambda text: whole(text) if any(x in text for x in added) else ordinary(text)
         else:
-            from tokenizers import Tokenizer
-
-            loaded = Tokenizer.from_file(tokenizer)
-            loaded.encode_special_tokens = True
-            _encoders[key] = lambda text: loaded.encode(text, add_special_tokens=False).ids
+            _encoders[key] = whole
     return _encoders[key]
 
 

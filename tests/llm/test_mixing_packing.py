@@ -89,6 +89,23 @@ def test_rank_file_gives_the_same_ids(sample, odd):
     assert all(slow(t) == fast(t) for t in texts)
 
 
+def test_ids_are_those_of_the_untouched_tokenizer_file(spark, sample):
+    """Literals of added tokens get their own id, in both encoders and in packed pieces."""
+    from tokenizers import Tokenizer
+
+    files = tokenizer_files()
+    plain = Tokenizer.from_file(files["tokenizer"])
+    literals = [t.content for t in plain.get_added_tokens_decoder().values()]
+    texts = [f"a {x} b" for x in literals] + [f"{x}{x}\n {x}  c" for x in literals] + ["a <|endoftext|> b", "<|endoftext|", "<|endoftext|>", ""]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [64, 220, 50256, 275] in want
+    for encode in (packing.encoder(files["tokenizer"]), packing.encoder(**files)):
+        assert [encode(t) for t in texts] == want
+        assert all(encode(r.text) == plain.encode(r.text, add_special_tokens=False).ids for r in sample.collect())
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **files).collect()
+    assert {p.doc_id: p.doc_tokens for p in pieces} == {i: len(w) + 1 for i, w in enumerate(want)}
+
+
 def test_plan_is_exact():
     rng = np.random.default_rng(4)
     for histogram in (rng.integers(0, 40, 128), np.where(np.arange(128) == 90, 5000, 0), np.zeros(128, int), np.where(np.arange(128) % 2 == 0, 3, 0)):
