@@ -128,7 +128,7 @@ def _roots(n: int, links: list[tuple[int, int]]) -> np.ndarray:
 
 
 def _open_groups(queries: DataFrame, member: DataFrame, bodies: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between queries (q, g) and members (c, g, block, blocks), as a spanning forest per block."""
+    """Links (a, b, g) between queries (q, g) and members (c, g, block, blocks), as a spanning forest per block."""
     asked = queries.join(member.groupBy("g").agg(F.max("blocks").alias("blocks")), "g")
     asked = asked.select(F.col("q").alias("c"), "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("ask"))
     held = member.join(queries.select("g").distinct(), "g", "left_semi").select("c", "g", "block", F.lit(0).alias("ask"))
@@ -138,8 +138,8 @@ def _open_groups(queries: DataFrame, member: DataFrame, bodies: DataFrame, size:
 
     def match(shard: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor()
-        out_a, out_b = [], []
-        for _, cell in shard.groupby(["g", "block"], sort=False):
+        out_a, out_b, out_g = [], [], []
+        for (g, _), cell in shard.groupby(["g", "block"], sort=False):
             ids, where = np.unique(cell["c"].to_numpy(), return_inverse=True)
             text: dict[int, bytes] = dict(zip(where, cell["z"], strict=True))
             tokens = [shingles(unpack.decompress(text[i]), size) for i in range(len(ids))]
@@ -149,10 +149,11 @@ def _open_groups(queries: DataFrame, member: DataFrame, bodies: DataFrame, size:
             moved = np.flatnonzero(root != np.arange(len(ids)))
             out_a.append(ids[moved])
             out_b.append(ids[root[moved]])
+            out_g.append(np.full(len(moved), g, np.int64))
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": join(out_a), "b": join(out_b)})
+        return pd.DataFrame({"a": join(out_a), "b": join(out_b), "g": join(out_g)})
 
-    return cells.groupBy("shard").applyInPandas(match, "a bigint, b bigint")
+    return cells.groupBy("shard").applyInPandas(match, "a bigint, b bigint, g bigint")
 
 
 def similar_groups(
@@ -200,15 +201,16 @@ def similar_groups(
     leaders = member.select(F.col("g").alias("q"), "g").distinct()
     first = stored(_open_groups(leaders, member, bodies, size, num, den), "links")
     # Within a block a leader is the only query, so each of its rows is a link with the leader.
-    settled = first.select("a").union(first.select("b")).distinct()
-    loose = member.join(settled, member["c"] == settled["a"], "left_anti").filter("c <> g").select(F.col("c").alias("q"), "g")
+    # It settles them in its own group only: a leader can be a member elsewhere, where its leader does not link with it.
+    settled = first.select("a", "g").union(first.select("b", "g")).distinct().toDF("c", "g")
+    loose = member.join(settled, ["c", "g"], "left_anti").filter("c <> g").select(F.col("c").alias("q"), "g")
     of_signature = inside.join(member.select("c", "g"), "c")
     around = of_signature.select("s", F.col("g").alias("h")).distinct()
     across = of_signature.join(around, "s").filter("h < g").select(F.col("c").alias("q"), F.col("h").alias("g"))
     queries = stored(loose.union(across).distinct(), "queries")
     second = _open_groups(queries, member, bodies, size, num, den)
 
-    parts = components(first.union(second), "a", "b")
+    parts = components(first.union(second).select("a", "b"), "a", "b")
     lowest = sets.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("id"))
     named = lowest.join(parts, lowest["c"] == parts["node"], "left").select("c", "id", F.coalesce("component", "c").alias("p"))
     names = stored(named, "named")

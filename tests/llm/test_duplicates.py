@@ -280,3 +280,11 @@ def test_lines_with_all_earlier_documents(spark, rare):
     frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.text for r in line_dedup.dedup(frame, rare=rare).collect()}
     assert [got[i] for i in range(len(rows))] == all_earlier(rows)
+
+
+def test_shingles_growing_versions(spark):
+    """Versions that grow across a level: the third is a leader of the fourth and a member where its own leader does not link with it."""
+    rows = [
+        (40 * c + i, " ".join(f"c{c}w{x}" for x in range(n))) for c in range(40) for i, n in enumerate((21, 24, 28, 32))]
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), size=1).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(shingle_truth(rows, 1, 85, 100))
