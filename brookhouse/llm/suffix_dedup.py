@@ -202,7 +202,8 @@ def _sorted_part(context: DataFrame, keyed: DataFrame, reach: int, gram: int, gr
                 rights += [data[p + gram:p + gram + reach] for p in a]
             yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(cs, pa.int64()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], ["g", "c", "l", "r"])
 
-    sides = packed(keyed).join(wanted, ["k", "k2"]).select("z", "a", "g", "c").mapInArrow(fetch, "g bigint, c bigint, l binary, r binary")
+    # One of all exact copies, most of them dropped before the shuffle: each context comes to its bucket once.
+    sides = packed(keyed).dropDuplicates(["k", "k2"]).join(wanted, ["k", "k2"]).select("z", "a", "g", "c").mapInArrow(fetch, "g bigint, c bigint, l binary, r binary")
 
     sizes = context.groupBy("g").agg(F.count("*").alias("n"))
     large = stored(sizes.filter(F.col("n") > group_limit).select("g"), "large")

@@ -288,3 +288,24 @@ def test_shingles_growing_versions(spark):
         (40 * c + i, " ".join(f"c{c}w{x}" for x in range(n))) for c in range(40) for i, n in enumerate((21, 24, 28, 32))]
     got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), size=1).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(shingle_truth(rows, 1, 85, 100))
+
+
+def test_suffixes_of_copies_are_sorted_once(spark, monkeypatch):
+    """Many exact copies and a near copy: a bucket gets each context once."""
+    from pyspark.sql import GroupedData
+
+    seen, apply = [], GroupedData.applyInPandas
+
+    def spy(self, *how):
+        if "bucket" in self._df.columns:
+            seen.append((self._df.count(), self._df.select("g", "c").distinct().count()))
+        return apply(self, *how)
+
+    for kind in {GroupedData, *GroupedData.__subclasses__()}:
+        monkeypatch.setattr(kind, "applyInPandas", spy)
+    text = " ".join(f"w{i * 7919 % 1009}" for i in range(300))
+    texts = [text] * 40 + [text[:700] + " changed " + text[700:]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = Counter((i, *t) for i, t in enumerate(suffix_truth(texts, 400)))
+    assert suffix_found(frame) == want
+    assert seen and all(n == different > 0 for n, different in seen)
