@@ -16,8 +16,8 @@ the groups whose bound reaches the threshold, and only there its exact similarit
    shares a signature (of a pair of groups, the one with the larger number asks).
 6. Links become components.
 
-Groups are cut into blocks of at most BLOCK members with a union each, so no task holds a whole hot group. A cell of queries
-and a block yields a spanning forest of its links, not its links. Members linked to their leader never
+Groups are cut into blocks of at most BLOCK members with a union each, so no task holds a whole hot group; the queries of a group are cut likewise. A cell of a
+block of queries and a block of members yields a spanning forest of its links, not its links. Members linked to their leader never
 query their own group, so a group of thousands of near copies costs one look per member, not one per pair.
 
 Equality of tokens, sets and parts is that of 64-bit hashes. Defined results: null, empty and word-less texts have no
@@ -129,17 +129,20 @@ def _roots(n: int, links: list[tuple[int, int]]) -> np.ndarray:
 
 def _open_groups(queries: DataFrame, member: DataFrame, bodies: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links (a, b, g) between queries (q, g) and members (c, g, block, blocks), as a spanning forest per block."""
-    asked = queries.join(member.groupBy("g").agg(F.max("blocks").alias("blocks")), "g")
-    asked = asked.select(F.col("q").alias("c"), "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("ask"))
-    held = member.join(queries.select("g").distinct(), "g", "left_semi").select("c", "g", "block", F.lit(0).alias("ask"))
+    # Queries are cut into blocks as well, so a cell holds at most about two blocks of texts.
+    turns = queries.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns"))
+    asked = queries.join(member.groupBy("g").agg(F.max("blocks").alias("blocks")), "g").join(turns, "g")
+    asked = asked.withColumn("turn", F.pmod(F.xxhash64("q"), F.col("turns")).cast("int"))
+    asked = asked.select(F.col("q").alias("c"), "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "turn", F.lit(1).alias("ask"))
+    held = member.join(turns, "g").select("c", "g", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(0).alias("ask"))
     cells = stored(asked.union(held), "cells")
     shards = max(1, -(-cells.count() // SHARD_ROWS))
-    cells = cells.withColumn("shard", F.pmod(F.xxhash64("g", "block"), F.lit(shards))).join(bodies.hint("merge"), "c")
+    cells = cells.withColumn("shard", F.pmod(F.xxhash64("g", "block", "turn"), F.lit(shards))).join(bodies.hint("merge"), "c")
 
     def match(shard: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor()
         out_a, out_b, out_g = [], [], []
-        for (g, _), cell in shard.groupby(["g", "block"], sort=False):
+        for (g, _, _), cell in shard.groupby(["g", "block", "turn"], sort=False):
             ids, where = np.unique(cell["c"].to_numpy(), return_inverse=True)
             text: dict[int, bytes] = dict(zip(where, cell["z"], strict=True))
             tokens = [shingles(unpack.decompress(text[i]), size) for i in range(len(ids))]

@@ -309,3 +309,23 @@ def test_suffixes_of_copies_are_sorted_once(spark, monkeypatch):
     want = Counter((i, *t) for i, t in enumerate(suffix_truth(texts, 400)))
     assert suffix_found(frame) == want
     assert seen and all(n == different > 0 for n, different in seen)
+
+
+def test_shingle_cells_are_bounded(spark, monkeypatch):
+    """Pages of one template that do not link with each other: no cell holds more than about two blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    cells, keep = [], ngram_join.stored
+
+    def spy(frame, label):
+        out = keep(frame, label)
+        if label == "cells":
+            cells.append(out)
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", spy)
+    rows = [(i, " ".join([*(f"t{x}" for x in range(30)), *(f"own{i}w{x}" for x in range(5))])) for i in range(160)]
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), size=1).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(shingle_truth(rows, 1, 85, 100))
+    # Blocks are dealt by hash, so they are uneven.
+    sizes = [r["count"] for c in cells for r in c.groupBy(*[n for n in c.columns if n not in ("c", "ask")]).count().collect()]
+    assert len(sizes) > 50 and max(sizes) <= 6 * 8
