@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extract, langid, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, vectors
+from . import bpe, extract, langid, line_dedup, merkle, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, vectors
 from .common import fold, table
 from .sql import MIX_SQL, QUALITY_SQL
 
@@ -87,6 +87,34 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), **tokenizer_files())
 
 
+def op12_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the ids of every document and of the bytes they decode to."""
+    import public_tokenizers
+
+    files = {"ranks": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), **files)
+    out = bpe.decode(encoded.drop("text"), **files)
+    ids = F.array_join(F.col("tokens").cast("array<string>"), ",").cast("binary")
+    return out.select(
+        "doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """A Merkle manifest of the documents, and what every witness proves of the row, tampered with in one of seven."""
+    documents = table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = F.coalesce(F.try_add(F.col("n_chars"), F.lit(1)), F.col("n_chars"))
+    tampered = merkle.leaf(*[more if c == "n_chars" else F.col(c) for c in fields])
+    hit = F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 7) == 0)
+    documents = documents.select(*fields, F.when(hit, tampered).alias("changed"))
+    proven = merkle.manifest(documents, "lang", "doc_id", fields, carry=["doc_id", "changed"])
+    out = merkle.fold(proven.withColumn("now", F.coalesce("changed", "leaf")), "now")
+    return out.select(
+        "doc_id", *[F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")], F.lower(F.hex("proof")).alias("proof_sha256"),
+        F.lower(F.hex("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 def tokenizer_files() -> dict[str, str]:
     """The public byte-level vocabulary of 50k tokens, as a tokenizer file and as ranks."""
     import public_tokenizers
@@ -108,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op12_bpe_codec": op12_bpe_codec,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
