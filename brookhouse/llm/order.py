@@ -29,20 +29,21 @@ def _segmented(values: np.ndarray, begins: np.ndarray, number: np.ndarray, carry
 
 def in_order(
     frame: DataFrame, group: str, order: list[Column], label: str, add: tuple[str, ...] = (), xor: tuple[str, ...] = (),
-    ranges: list[Column] | None = None,
+    ranges: list[Column] | None = None, drop: tuple[str, ...] = (),
 ) -> DataFrame:
     """The rows of `frame` with their place `pos` (0, 1, …) in their group, ascending by `order`, written in the shared folder.
 
     `add` and `xor` name bigint columns whose running sums and xors, the row itself included, come back as `run_<name>`.
     `group` is a column without nulls. `ranges` may name short expressions, in the same order, to cut the table by.
+    Columns in `drop` are only ordered by.
 
     The table is cut into ranges of (group, order), so a large group spreads over many tasks. Each task counts its own
     rows; what a group has in earlier ranges is added afterwards. Only the first group of a range can have
     such rows, so the table of offsets has at most one row per range, which bounds the broadcast.
     """
-    kept = frame.columns
+    kept = [c for c in frame.columns if c not in drop]
     cut = ranges if ranges is not None else order
-    parted = frame.repartitionByRange(F.col(group), *cut).sortWithinPartitions(F.col(group), *order)
+    parted = frame.repartitionByRange(F.col(group), *cut).sortWithinPartitions(F.col(group), *order).select(*kept)
     names = ["pos", *[f"run_{c}" for c in (*add, *xor)]]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +70,7 @@ def in_order(
                 [*[batch.column(c) for c in kept], *[pa.array(m) for m in made], pa.array(np.full(n, part)), pa.array(first + segment == 1)],
                 [*kept, *names, "part", "first"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parted.schema.fields)
     counts = ", ".join(f"{c} bigint" for c in names)
     rows = stored(parted.mapInArrow(number, f"{fields}, {counts}, part bigint, first boolean"), label)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, extract, langid, line_dedup, merkle, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, vectors
+from . import bpe, extract, langid, line_dedup, merkle, mixing, ngram_join, packing, prefix_trie, quality, suffix_dedup, toxicity, vectors
 from .common import fold, table
 from .sql import MIX_SQL, QUALITY_SQL
 
@@ -87,6 +87,11 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), **tokenizer_files())
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def op12_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids of every document and of the bytes they decode to."""
     import public_tokenizers
@@ -136,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
     "op12_bpe_codec": op12_bpe_codec,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
