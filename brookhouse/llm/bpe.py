@@ -9,8 +9,8 @@ stands is that token. Else its bytes are merged pair by pair, always the leftmos
 * live tokens are linked to their neighbours; a merge removes the right one and updates the leaves of three places, each in
   logarithmic time. A match of n bytes takes O(n log n), however long it is.
 
-Many short matches are merged side by side, a tree each, as rows of numpy arrays. Matches repeat, so each process keeps the
-ids of short ones, up to a bound, and starts anew beyond it.
+Many short matches are merged side by side, a tree each, as rows of numpy arrays. Matches repeat, so each process keeps their
+ids, up to a bound, and starts anew beyond it.
 
 Defined results: a null or empty text has no ids (an empty array) and decodes to no bytes; an id that is null or not in the vocabulary raises
 an error on decoding; bytes that are not UTF-8 are read as U+FFFD; null ids, equal rows and other columns come back untouched (a column with the
@@ -22,20 +22,21 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterator
-from itertools import chain, groupby
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 NO_RANK = 1 << 60
-# A process remembers the ids of about so many matches of at most SHORT bytes.
-REMEMBERED = 400_000
+# A process remembers the ids of about so many matches of so many bytes in all; those of at most SHORT bytes are merged side by side.
+REMEMBERED = 300_000
+REMEMBERED_BYTES = 32 << 20
 SHORT = 128
-# Texts of about so many characters are split, and matches merged, at a time.
-CHUNK_CHARS = 1 << 20
+# Texts of about so many bytes are split, and matches merged, at a time.
+CHUNK_BYTES = 1 << 20
 AT_ONCE = 8192
 
 
@@ -114,8 +115,8 @@ class Pairs:
         return np.where(hit, self.merged[at], NO_RANK)
 
 
-def merge_many(pieces: list[bytes], byte_ids: np.ndarray, pairs: Pairs) -> list[list[int]]:
-    """The ids of many short matches, one segment tree each: every round merges one pair in each of them."""
+def merge_many(pieces: list[bytes], byte_ids: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of many short matches end to end, how many each has): a segment tree each, and every round merges one pair in each."""
     n = np.array([len(p) for p in pieces])
     size = 1 << int(n.max() - 1).bit_length()
     width = size + 1
@@ -169,94 +170,153 @@ def merge_many(pieces: list[bytes], byte_ids: np.ndarray, pairs: Pairs) -> list[
                 node >>= 1
                 low = tree + 2 * node
                 least[tree + node] = np.minimum(least[low], least[low + 1])
-    ids = token[inside].tolist()
-    ends = np.cumsum(inside.reshape(rows, width).sum(1)).tolist()
-    return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return token[inside], inside.reshape(rows, width).sum(1)
+
+
+class Numbers(dict):
+    """Numbers texts in the order in which they are first asked for; `new` gathers them."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
 
 
 class Codec:
-    """Texts to ids and ids to bytes; the ids of short matches are remembered up to a bound."""
+    """Texts to ids and ids to bytes; the ids of matches are remembered up to a bound."""
 
     def __init__(self, ranks: str, pattern: str):
         with open(ranks, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.pairs = Pairs(self.ranks)
         self.matches = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-
-    def _learn(self, missing: set[str]) -> dict[str, list[int]]:
-        """Remember the ids of matches not known yet; those of long ones are only given back."""
-        data = sorted(((p.encode(), p) for p in missing), key=lambda pair: len(pair[0]))
-        sizes = np.array([len(b) for b, _ in data])
-        at = 0
+        self._forget()
+
+    @functools.cached_property
+    def pairs(self) -> Pairs:
+        return Pairs(self.ranks)
+
+    @functools.cached_property
+    def byte_ids(self) -> np.ndarray:
+        return np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def _forget(self) -> None:
+        self.numbers, self.held = Numbers(), 0
+        # The ids of match i stand in ids[ends[i]:ends[i + 1]].
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self) -> None:
+        """Merge the matches met for the first time."""
+        data = [p.encode() for p in self.numbers.new]
+        self.numbers.new = []
+        # A match that is a token as it stands is not merged.
+        whole = np.array([self.ranks.get(b, -1) for b in data], np.int32)
+        sizes = np.array([len(b) for b in data])
+        self.held += int(sizes.sum())
+        counts = np.ones(len(data), np.int64)
+        order = np.argsort(sizes, kind="stable")
+        order = order[whole[order] < 0]
+        parts, at = [whole[whole >= 0]], 0
+        places = [np.flatnonzero(whole >= 0)]
         for size in (4, 8, 16, 32, 64, SHORT):
-            end = int(np.searchsorted(sizes, size, "right"))
+            end = int(np.searchsorted(sizes[order], size, "right"))
             for begin in range(at, end, AT_ONCE):
-                part = data[begin:min(end, begin + AT_ONCE)]
-                # A match that is a token as it stands is not merged.
-                whole = [self.ranks.get(b) for b, _ in part]
-                merged = [b for (b, _), w in zip(part, whole, strict=True) if w is None]
-                ids = iter(merge_many(merged, self.byte_ids, self.pairs) if merged else ())
-                self.known.update((p, next(ids) if w is None else [w]) for (_, p), w in zip(part, whole, strict=True))
+                some = order[begin:min(end, begin + AT_ONCE)]
+                ids, counts[some] = merge_many([data[i] for i in some], self.byte_ids, self.pairs)
+                parts.append(ids.astype(np.int32))
+                places.append(some)
             at = end
-        return {p: merge(b, self.ranks) for b, p in data[at:]}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [self.matches(t) for t in texts]
-        wanted = set(chain.from_iterable(split))
-        missing = wanted - self.known.keys()
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known, missing = {}, wanted
-        long = self._learn(missing)
-        ids_of = self.known | long if long else self.known
-        return [list(chain.from_iterable(map(ids_of.__getitem__, s))) for s in split]
+        for i in order[at:]:
+            ids = np.array(merge(data[i], self.ranks), np.int32)
+            counts[i] = len(ids)
+            parts.append(ids)
+            places.append(np.array([i]))
+        # The parts hold matches by size; back to the order in which they were met.
+        place = np.concatenate(places)
+        made = _gathered(np.concatenate(parts), np.concatenate([[0], np.cumsum(counts[place])]), np.argsort(place))
+        self.ids = np.concatenate([self.ids, made])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, how many each has)."""
+        if len(self.numbers) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self._forget()
+        split = [np.fromiter(map(self.numbers.__getitem__, m), np.int32, len(m)) for m in map(self.matches, texts)]
+        if self.numbers.new:
+            self._learn()
+        matches = np.concatenate([np.zeros(0, np.int32), *split])
+        counts = np.concatenate([[0], np.cumsum((self.ends[1:] - self.ends[:-1])[matches])])
+        bounds = counts[np.concatenate([[0], np.cumsum([len(m) for m in split], dtype=np.int64)])]
+        return _gathered(self.ids, self.ends, matches), bounds[1:] - bounds[:-1]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def _gathered(values: np.ndarray, ends: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The stretches values[ends[i]:ends[i + 1]] of all wanted i, end to end."""
+    counts = ends[wanted + 1] - ends[wanted]
+    shift = ends[wanted] - (np.cumsum(counts) - counts)
+    return values[np.repeat(shift, counts) + np.arange(int(counts.sum()))]
+
+
 @functools.lru_cache(maxsize=4)
 def codec(ranks: str, pattern: str) -> Codec:
     """The codec of a rank file, once per process."""
     return Codec(ranks, pattern)
 
 
-def _fields(frame: DataFrame, without: str) -> tuple[list[str], str]:
-    fields = [f for f in frame.schema.fields if f.name != without]
+def _fields(frame: DataFrame, without: str, keep: list[str] | None) -> tuple[list[str], str]:
+    fields = [f for f in frame.schema.fields if f.name != without and (keep is None or f.name in keep)]
     return [f.name for f in fields], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
 
-def encode(frame: DataFrame, ranks: str, pattern: str, text: str = "text", into: str = "tokens") -> DataFrame:
-    """The rows of `frame` with the ids of `text` as an array `into`. `ranks` is a file that every worker can open."""
-    kept, schema = _fields(frame, into)
+def encode(
+    frame: DataFrame, ranks: str, pattern: str, text: str = "text", into: str = "tokens", keep: list[str] | None = None,
+) -> DataFrame:
+    """The rows of `frame` with the ids of `text` as an array `into`.
+
+    `ranks` is a file that every worker can open; `keep` names the columns to return, all by default.
+    """
+    kept, schema = _fields(frame, into, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = codec(ranks, pattern)
         for batch in batches:
-            texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(text).cast(pa.binary()).to_pylist()]
-            chunk = np.cumsum([len(t) for t in texts]) // CHUNK_CHARS
-            ids = [
-                np.array(found, np.int32)
-                for _, group in groupby(zip(chunk, texts, strict=True), itemgetter(0))
-                for found in codes.encode([t for _, t in group])
-            ]
-            ends = np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)]).astype(np.int32)
-            made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], made], [*kept, into])
+            for begin, size in _chunks(batch.column(text)):
+                rows = batch.slice(begin, size)
+                texts = [(t or b"").decode("utf-8", "replace") for t in rows.column(text).cast(pa.binary()).to_pylist()]
+                ids, counts = codes.encode(texts)
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], made], [*kept, into])
+
+    return frame.mapInArrow(run, ", ".join(filter(None, [schema, f"`{into}` array<int>"])))
+
 
-    return frame.mapInArrow(run, f"{schema}, `{into}` array<int>")
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of pieces of a batch of about CHUNK_BYTES each, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    number = np.cumsum(sizes) // CHUNK_BYTES
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(number)), bool), number[1:] != number[:-1]]))
+    yield from zip(begin.tolist(), np.diff([*begin, len(number)]).tolist(), strict=True)
 
 
-def decode(frame: DataFrame, ranks: str, pattern: str, tokens: str = "tokens", into: str = "decoded") -> DataFrame:
+def decode(
+    frame: DataFrame, ranks: str, pattern: str, tokens: str = "tokens", into: str = "decoded", keep: list[str] | None = None,
+) -> DataFrame:
     """The rows of `frame` with the bytes that the ids in `tokens` stand for, as a binary column `into`."""
-    kept, schema = _fields(frame, into)
+    kept, schema = _fields(frame, into, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = codec(ranks, pattern)
         for batch in batches:
-            made = pa.array([codes.decode(ids or ()) for ids in batch.column(tokens).to_pylist()], pa.binary())
+            # Row by row: the ids of one text at a time become Python numbers.
+            made = pa.array([codes.decode(ids.as_py() or ()) for ids in batch.column(tokens)], pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], made], [*kept, into])
 
-    return frame.mapInArrow(run, f"{schema}, `{into}` binary")
+    return frame.mapInArrow(run, ", ".join(filter(None, [schema, f"`{into}` binary"])))

@@ -97,8 +97,7 @@ def op12_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     files = {"ranks": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), **files)
-    out = bpe.decode(encoded.drop("text"), **files)
+    out = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), **files, keep=["doc_id"]), **files)
     ids = F.array_join(F.col("tokens").cast("array<string>"), ",").cast("binary")
     return out.select(
         "doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
