@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, extract, langid, line_dedup, merkle, mixing, ngram_join, packing, prefix_trie, quality, suffix_dedup, toxicity, vectors
 from .common import fold, table
-from .sql import MIX_SQL, QUALITY_SQL
+from .sql import MERKLE_SQL, MIX_SQL, QUALITY_SQL, TRIE_SQL
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,4 +148,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_quality_rules": QUALITY_SQL,
     "op8_mixing": MIX_SQL,
+    "op11_conversation_prefix_trie": TRIE_SQL,
+    "op13_merkle_manifest": MERKLE_SQL,
 }

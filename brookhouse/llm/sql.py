@@ -114,3 +114,101 @@ SELECT doc_id, source, n AS n_tokens, round(weight, 9) AS weight, epoch::BIGINT
   {_hash("'7'", "epoch::VARCHAR", "s", "b::VARCHAR")} AS block_order, h AS doc_order
 FROM drawn, generate_series(0, copies - 1) AS g(epoch)
 """
+
+# crc32 of ASCII texts: a table of 256 remainders, then one step per character.
+_CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs
+)"""
+
+
+def _crc(text: str) -> str:
+    return (f"xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT), "
+            "lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+TRIE_SQL = rf"""
+WITH {_CRC_TABLE}, turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc("conv_id::VARCHAR")} % 6 AS head
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS own, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.head
+  UNION ALL
+  SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.head
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth FROM rebuilt
+), paths AS (
+  SELECT conv_id, depth, length(text) AS n, string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
+    OVER (PARTITION BY conv_id ORDER BY depth) AS name FROM numbered
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), linked AS (
+  SELECT *, lag(name) OVER (PARTITION BY conv_id ORDER BY depth) AS up,
+    depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM paths
+), nodes AS (
+  SELECT name, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM linked GROUP BY name, depth
+), children AS (
+  SELECT up AS name, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up
+), sums AS (
+  SELECT p.name, count(*) FILTER (c.name IS NULL) AS n_leaves, sum((v.n_convs - 1) * v.n) AS saved
+  FROM nodes v LEFT JOIN children c USING (name) JOIN paths p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.name
+)
+SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n_convs::BIGINT AS n_convs,
+  coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, v.ends_sha256
+FROM nodes v JOIN sums USING (name) LEFT JOIN children USING (name) LEFT JOIN nodes u ON u.name = v.up
+"""
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf(changed: dict[str, str]) -> str:
+    texts = [f"({changed.get(c, c)})::VARCHAR" for c in _FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({t})) || ':' || {t}, '-')" for t in texts) + ")"
+
+
+MERKLE_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE}, leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '-') AS tree, {_leaf({})} AS leaf,
+    CASE WHEN {_crc("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf({"n_chars": "n_chars + 1"})} ELSE {_leaf({})} END AS now
+  FROM documents, crc_table
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos FROM leaves
+), levels AS (
+  SELECT tree, 0 AS level, list(leaf ORDER BY pos) AS l FROM placed GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, list_transform(range(0, len(l), 2), lambda i: sha256(l[i + 1] || coalesce(l[i + 2], '')))
+  FROM levels WHERE len(l) > 1
+), subroots AS (
+  SELECT tree, l[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS turn FROM levels WHERE len(l) = 1
+), tops AS (
+  SELECT 1000 AS level, list(subroot ORDER BY turn) AS l FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(l), 2), lambda i: sha256(l[i + 1] || coalesce(l[i + 2], '')))
+  FROM tops WHERE len(l) > 1
+), steps AS (
+  SELECT r, level, l[xor(pos >> level, 1) + 1] AS sibling, (pos >> level) & 1 AS turned
+  FROM placed JOIN levels USING (tree) WHERE len(l) > 1
+  UNION ALL
+  SELECT r, level, l[xor(turn >> (level - 1000), 1) + 1], (turn >> (level - 1000)) & 1
+  FROM placed JOIN subroots USING (tree), tops WHERE len(l) > 1
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY level) AS step FROM steps
+), folded AS (
+  SELECT r, 0 AS step, now AS h FROM placed
+  UNION ALL
+  SELECT f.r, n.step, sha256(CASE WHEN turned = 1 THEN coalesce(sibling, '') || h ELSE h || coalesce(sibling, '') END)
+  FROM folded f JOIN numbered n ON n.r = f.r AND n.step = f.step + 1
+), done AS (
+  SELECT r, arg_max(h, step) AS folded_root FROM folded GROUP BY r
+), proofs AS (
+  SELECT r, string_agg(sibling, '' ORDER BY step) AS joined FROM numbered GROUP BY r
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(joined, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN subroots USING (tree) JOIN done USING (r) LEFT JOIN proofs USING (r),
+  (SELECT l[1] AS root FROM tops WHERE len(l) = 1)
+"""
