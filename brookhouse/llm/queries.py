@@ -56,7 +56,8 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without strings of 400 bytes that occur elsewhere."""
     out = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select(
-        "doc_id", "deduped.n_bytes", "deduped.n_removed", "deduped.n_spans", F.sha2("deduped.kept", 256).alias("kept_sha256"))
+        "doc_id", "deduped.n_bytes", "deduped.n_removed", "deduped.n_spans", F.sha2("deduped.kept", 256).alias("kept_sha256"),
+        "deduped.n_chars")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

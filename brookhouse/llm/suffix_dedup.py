@@ -41,6 +41,8 @@ BUCKET_ROWS = 20_000
 SAMPLE = 4000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+# Bytes of UTF-8 that continue a code point.
+_INSIDE = bytes(range(0x80, 0xC0))
 
 
 def multikey_quicksort(tokens: np.ndarray) -> np.ndarray:
@@ -108,7 +110,10 @@ def _unsigned(values: pd.Series) -> np.ndarray:
 
 
 def remove_repeats(documents: DataFrame, text: str = "text", length: int = 400, gram: int = 100, group_limit: int = 100_000) -> DataFrame:
-    """The rows of `documents` with a struct `deduped` of n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
+    """The rows of `documents` with a struct `deduped` of n_bytes, n_removed, n_spans, kept (the remaining bytes) and n_chars.
+
+    n_chars counts the code points of the remaining bytes by their first byte.
+    """
     reach = length - gram
     kept = [f.name for f in documents.schema.fields if f.name != "deduped"]
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -160,14 +165,16 @@ def remove_repeats(documents: DataFrame, text: str = "text", length: int = 400,
                         at = max(at, b)
                 out.append(data[at:])
                 left = b"".join(out)
-                rows.append((n, n - len(left), spans, left))
-            made = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)] if rows else [
-                pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary())], ["n_bytes", "n_removed", "n_spans", "kept"])
+                rows.append((n, n - len(left), spans, left, len(left.translate(None, _INSIDE))))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            made = pa.StructArray.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_bytes", "n_removed", "n_spans", "kept", "n_chars"])
             yield pa.RecordBatch.from_arrays([batch.column("row"), made], ["row", "deduped"])
 
     joined = packed(keyed, "row").join(covered, ["k", "k2"], "left").select("row", "z", "lo", "hi")
     row_type = keyed.schema["row"].dataType.simpleString()
-    done = joined.mapInArrow(cut, f"row {row_type}, deduped struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>")
+    done = joined.mapInArrow(cut, f"row {row_type}, deduped struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary,n_chars:bigint>")
     return done.select(*[F.col("row")[c].alias(c) for c in kept], "deduped")
 
 

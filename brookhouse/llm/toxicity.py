@@ -9,7 +9,7 @@ scored, whole, in chunks of bounded size.
 Labels belong to texts, not to windows. For training, a toxic text gives the windows around its words that
 speak most for the label (log odds over the training texts), other texts give their windows with the highest such
 words and some at random. Training takes up to `per_class` texts per label, in the order of a hash of their
-content and cut after `train_chars` characters (documented bounds: the model is a classifier).
+content, each whole and of at most `longest` characters (documented bounds: the model is a classifier).
 
 Defined results: null texts and texts without a word score 0; equal texts score alike; without labels of both
 kinds all texts score the share of label 1 (0 if there is none); rows with a null label teach nothing; a
@@ -22,8 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
+from .common import stored
 from .gru import CHUNK, Network, Vocabulary, windows, word_hashes
 
 SIZE, STRIDE = 48, 36
@@ -170,22 +171,33 @@ def fitted(texts: list[bytes], labels: np.ndarray, most_known: int = 8000, least
 
 def train(
     documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    per_class: int = 1200, train_chars: int = 20_000,
+    per_class: int = 1200, longest: int = 20_000,
 ) -> Scorer:
     """A scorer from the texts that `labels` marks with 0 or 1.
 
-    Labels meet hashes of texts, not texts. The hashes of the chosen texts, at most per_class per label, come to the driver,
-    and the texts are then picked out by a scan.
+    Only whole texts teach, as a label holds for a whole text; those of more than `longest` characters are left out of the sample.
+    Labels meet hashes of texts, not texts. Hashes are uniform, so the per_class smallest of a label lie below a bound that its
+    number of texts gives; what lies below it, about twice as many as needed, comes to the driver, and no task ranks a whole
+    label. The chosen texts are then picked out by a scan.
     """
-    hashed = documents.filter(F.length(text) > 0).select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    fit = documents.filter(F.length(text).between(1, longest))
+    hashed = fit.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     marks = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
-    slim = hashed.select("key", "h").join(marks, "key").groupBy("y", "h").count()
-    ranked = slim.withColumn("k", F.row_number().over(W.partitionBy("y").orderBy("h"))).filter(F.col("k") <= per_class)
-    chosen = [(r["h"], r["y"]) for r in ranked.collect()]
+    slim = stored(hashed.select("key", "h").join(marks, "key").select("y", "h").distinct(), "labelled")
+    chosen = []
+    for row in slim.groupBy("y").count().collect():
+        share = min(1.0, 2 * per_class / row["count"])
+        while True:
+            end = int(-2**63 + share * 2**64) if share < 1 else 2**63 - 1
+            found = sorted(r["h"] for r in slim.filter((F.col("y") == row["y"]) & (F.col("h") <= end)).collect())
+            if len(found) >= min(per_class, row["count"]):
+                break
+            share = min(1.0, 2 * share)
+        chosen += [(h, row["y"]) for h in found[:per_class]]
     if not chosen:
         return fitted([], np.zeros(0, np.int64))
-    picked = hashed.filter(F.col("h").isin([h for h, _ in chosen])).groupBy("h")
-    texts = {r["h"]: r["text"].encode() for r in picked.agg(F.min(F.substring("text", 1, train_chars)).alias("text")).collect()}
+    picked = hashed.filter(F.col("h").isin([h for h, _ in chosen])).groupBy("h").agg(F.min("text").alias("text"))
+    texts = {r["h"]: r["text"].encode() for r in picked.collect()}
     chosen.sort()
     return fitted([texts[h] for h, _ in chosen], np.array([y for _, y in chosen], np.int64))
 

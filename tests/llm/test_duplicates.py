@@ -81,45 +81,6 @@ def test_vector_query(spark):
     assert [got[r.vec_id] for r in rows] == vector_truth([(r.vec_id, r.label, r.embedding) for r in rows], 0.93)
 
 
-def line_truth(rows, min_words=8, rare=8):
-    last = 2 ** 63 - 1
-    first = {}
-    for key, text in rows:
-        t = text or ""
-        first[t] = min(first.get(t, last), last if key is None else key)
-    lines = {t: t.split("\n") for t in first}
-    count = lambda x: len(WORD.findall(x))
-    holders = defaultdict(list)
-    for t in sorted(first, key=lambda t: first[t]):
-        for x in set(lines[t]):
-            if count(x):
-                holders[x].append(t)
-    out = []
-    for key, text in rows:
-        t = text or ""
-        partners = set()
-        for x in set(lines[t]):
-            h = holders[x]
-            if h and h[0] != t:
-                partners.add(h[0])
-            if len(h) <= rare:
-                partners |= {o for o in h if first[o] < first[t]}
-        words = [count(x) for x in lines[t]]
-        gone = set()
-        for p in partners:
-            run = []
-            for pair in [*line_dedup.align(lines[p], lines[t], words), (-9, -9)]:
-                if not run or pair != (run[-1][0] + 1, run[-1][1] + 1):
-                    if sum(words[j] for _, j in run) >= min_words:
-                        gone |= {j for _, j in run}
-                    run = []
-                run.append(pair)
-        if (last if key is None else key) > first[t] and sum(words) >= min_words:
-            gone = set(range(len(words)))
-        out.append((key, "\n".join(x for i, x in enumerate(lines[t]) if i not in gone) if gone else text, len(gone)))
-    return Counter(out)
-
-
 def test_align():
     a = "a b c d e f".split()
     assert line_dedup.align(a, "x b c y e f".split(), [1] * 6) == [(1, 1), (2, 2), (4, 4), (5, 5)]
@@ -127,12 +88,6 @@ def test_align():
     assert line_dedup.align([], a, [1] * 6) == [] and line_dedup.align(a, a, [1] * 6) == [(i, i) for i in range(6)]
 
 
-def test_lines(sample, odd):
-    for frame in (sample, odd):
-        got = Counter((r.doc_id, r.text, r.lines.n_deleted) for r in line_dedup.dedup(clashing(frame, "row", "k", "f", "lines")).collect())
-        assert got == line_truth([(r.doc_id, r.text) for r in frame.collect()])
-
-
 def test_lines_empty(empty):
     assert line_dedup.dedup(empty).count() == 0
 
@@ -264,6 +219,43 @@ def all_earlier(rows, min_words=8):
     return out
 
 
+def line_truth(rows, min_words=8):
+    """The whole rule: each text loses what aligns with any earlier one; later rows of a text lose it whole."""
+    last = 2 ** 63 - 1
+    first = {}
+    for key, text in rows:
+        t = text or ""
+        first[t] = min(first.get(t, last), last if key is None else key)
+    order = sorted(first, key=lambda t: first[t])
+    lines = {t: t.split("\n") for t in order}
+    words = {t: [len(WORD.findall(x)) for x in lines[t]] for t in order}
+    spoken = {t: {x for x, n in zip(lines[t], words[t], strict=True) if n} for t in order}
+    gone = {}
+    for n, t in enumerate(order):
+        gone[t] = set()
+        for p in order[:n]:
+            run = []
+            for pair in [*(line_dedup.align(lines[p], lines[t], words[t]) if spoken[p] & spoken[t] else ()), (-9, -9)]:
+                if run and pair != (run[-1][0] + 1, run[-1][1] + 1):
+                    if sum(words[t][j] for _, j in run) >= min_words:
+                        gone[t] |= {j for _, j in run}
+                    run = []
+                run.append(pair)
+    out = []
+    for key, text in rows:
+        t = text or ""
+        later = (last if key is None else key) > first[t] and sum(words[t]) >= min_words
+        drop = set(range(len(lines[t]))) if later else gone[t]
+        out.append((key, "\n".join(x for i, x in enumerate(lines[t]) if i not in drop) if drop else text, len(drop)))
+    return Counter(out)
+
+
+def test_lines(sample, odd):
+    for frame in (sample, odd):
+        got = Counter((r.doc_id, r.text, r.lines.n_deleted) for r in line_dedup.dedup(clashing(frame, "row", "k", "f", "lines")).collect())
+        assert got == line_truth([(r.doc_id, r.text) for r in frame.collect()])
+
+
 @pytest.mark.parametrize("rare", [8, 2])
 def test_lines_with_all_earlier_documents(spark, rare):
     """Frequent lines whose first holder has them in another order, twice, or without the rest of a passage."""

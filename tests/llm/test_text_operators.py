@@ -17,7 +17,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SMALL = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op8_mixing"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op8_mixing", "op11_conversation_prefix_trie", "op13_merkle_manifest"])
 def test_matches_sql(spark, name):
     assert differences(spark, FOLDER, entry.queries()[name], entry.oracle_sql()[name]) is None
 
@@ -202,3 +202,29 @@ def test_toxicity_odd(spark, odd):
     rows = toxicity.score(odd, toxicity.train(odd, labels)).collect()
     assert len(rows) == odd.count() and all(0 <= r.toxicity <= 1 for r in rows)
     assert all(r.toxicity == 0 for r in rows if not (r.text or "").strip())
+
+
+def test_quotes_outside_of_values_lose_no_text():
+    def texts(page):
+        return [b.text for b in blocks(page)]
+
+    assert texts("<p title=it's>First part.</p><p>Second don't stop.</p><p>Third.</p>") == ["First part.", "Second don't stop.", "Third."]
+    assert texts("<p title=it's>two") == ["two"]
+    assert texts("""<p a="x>y" b='q>r' c>in</p>out<br/>x""") == ["in", "out", "x"]
+    assert texts("""<div =x ' " y=>t</div>""") == ["t"]
+    assert texts("""<a href=x"y>z">k</a>""") == ["""z">k"""]
+    assert texts("""<p a = "b" c="d"e>one</p ">two""") == ["one", "two"]
+    assert texts("a < b and <3 > 2 <b>x</b> don't") == ["a < b and <3 > 2 x don't"]
+    assert texts("<p " + "a='" * 50_000) == []
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    """Held-out figures on the sample; a text beyond the bound teaches nothing."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    rows = entry.queries()["op9_toxicity"](spark, SMALL).collect()
+    held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
+    found = sum(p for y, p in held if y)
+    false = sum(p for y, p in held if not y)
+    assert found >= 0.6 * sum(y for y, _ in held) and false <= 0.05 * len(held)
+    long = spark.createDataFrame([(1, "fine words " * 3000 + "vile", 1), (2, "fine words", 0)], "doc_id long, text string, toxic int")
+    assert toxicity.train(long, long.select("doc_id", "toxic")).prior == 0.0
