@@ -91,21 +91,24 @@ def parse_json(
 def parse_fields(df: DataFrame, schema: str, value: str = "value", times: tuple[str, ...] = ()) -> Parsed:
     """Like `parse_json` for flat objects whose numbers may be written as strings.
 
-    Change rows pass their columns on as text; each field is cast to its type here,
-    and a field that does not fit is null. `times` names datetime texts that must be readable.
+    Change rows pass their columns on as text; each field is cast to its type here. A missing or null
+    field is null; text where a number is due makes the row a reject (`number`), as do datetime texts named in
+    `times` that cannot be read (`time`) and lines that are no JSON object (`json`).
     """
     from ..functions import to_time
 
     entries = F.from_json(solid_text(value), "MAP<STRING, STRING>")
     parsed = df.select(F.col(value).alias("_text"), F.explode(F.array(entries)).alias("_map"))
     fields = StructType.fromDDL(schema).fields
-    unread = reduce(
-        Column.__or__, [to_time(F.try_element_at("_map", F.lit(c))).isNull() for c in times], F.lit(False))
-    reason = F.when(F.col("_map").isNull(), "json").when(unread, "time")
+    raw = {f.name: F.try_element_at("_map", F.lit(f.name)) for f in fields}
+    wrong = [raw[f.name].isNotNull() & raw[f.name].try_cast(f.dataType).isNull() for f in fields if isinstance(f.dataType, NumericType)]
+    unread = [to_time(F.try_element_at("_map", F.lit(c))).isNull() for c in times]
+    some = lambda tests: reduce(Column.__or__, tests, F.lit(False))
+    reason = F.when(F.col("_map").isNull(), "json").when(some(wrong), "number").when(some(unread), "time")
     judged = parsed.select("_text", F.inline(F.array(F.struct("_map", reason.alias("_reason")))))
     return Parsed(
         rows=judged.filter(F.col("_reason").isNull()).select(*[
-            F.try_element_at("_map", F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in fields
+            raw[f.name].try_cast(f.dataType).alias(f.name) for f in fields
         ]),
         rejects=judged.filter(F.col("_reason").isNotNull()).select(F.col("_text").alias(value), F.col("_reason").alias("reason")),
     )

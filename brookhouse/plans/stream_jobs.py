@@ -19,14 +19,14 @@ from ..functions import day_of, put_field
 from ..functions.keywords import register_keyword_function
 from ..operators import measures as m
 from ..operators import stats
-from ..operators.parse import parse_fields, parse_json, to_json_value
+from ..operators.parse import in_time, parse_fields, parse_json, to_json_value
 from ..operators.routing import LINE, display_text, page_text, route_changes, split_logs, start_text
 from ..operators.changes import valid_changes
 from ..operators.visitors import is_entry
 from ..operators.wide import Dimensions, enrich_order_wide, enrich_products, order_with_detail, payment_wide, with_rowtime
 from ..schemas import TOPICS
 from ..sources import DimensionStore, Topics, land_logs
-from ..streaming import FlagDays, StatsTable, bounces_stream, first_per_day_stream
+from ..streaming import FlagDays, StatsTable, bounces_stream, first_per_day_stream, repair_new_flag_stream
 from .jobs import BOUNCE_SECONDS, ProductFacts, product_measures, with_device
 
 # Fixed lateness allowed to event times.
@@ -124,6 +124,34 @@ def log_routing(house: Warehouse, days: FlagDays) -> DataStreamWriter:
     return lines.writeStream.option("checkpointLocation", house.checkpoint("log_routing")).foreachBatch(write)
 
 
+def log_routing_by_state(house: Warehouse) -> DataStreamWriter:
+    """The same with the first flagged days in keyed state: a micro-batch costs what its own devices cost.
+
+    The state sees a line, its device, flag and day; each line is parsed whole afterwards, so broken ones reach the reject topic.
+    """
+    lines = house.topics.stream(TOPICS["log"])
+    field = lambda path: F.get_json_object("value", path)
+    slim = lines.select("value", field("$.common.mid").alias("mid"), field("$.common.is_new").alias("flag"),
+                        field("$.ts").try_cast("bigint").alias("ms"))
+    fixed = repair_new_flag_stream(slim, "mid", "flag", F.when(in_time("ms"), day_of("ms"))).select("value", "flag")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parsed = parse_json(batch, schemas.LOG_SCHEMA, keep=("flag",), line=LINE)
+        rows = parsed.rows.withColumn("common", put_field("common", "is_new", F.col("flag"))).drop("flag")
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            logs = split_logs(rows)
+            topics = house.topics
+            topics.write_batch(page_text(logs.page), TOPICS["page"], batch_id)
+            topics.write_batch(start_text(logs.start), TOPICS["start"], batch_id)
+            topics.write_batch(display_text(logs.page), TOPICS["display"], batch_id)
+            topics.write_batch(parsed.rejects.select("value", "reason"), TOPICS["log"] + "_rejects", batch_id)
+        finally:
+            rows.unpersist()
+
+    return fixed.writeStream.option("checkpointLocation", house.checkpoint("log_routing")).foreachBatch(write)
+
+
 def database_routing(house: Warehouse, rules: Callable[[], DataFrame], compact_every: int = 50) -> DataStreamWriter:
     """Change rows to dimension tables and fact topics.
 
@@ -211,7 +239,7 @@ def payment_wide_rows(house: Warehouse, delay: str = DELAY) -> DataStreamWriter:
 
 
 def visitor_statistics(
-    house: Warehouse, table: StatsTable, timeout_seconds: int = BOUNCE_SECONDS, late: int = 3
+    house: Warehouse, table: StatsTable, timeout_seconds: int = BOUNCE_SECONDS, late: int = 3, size: str = stats.WINDOW
 ) -> DataStreamWriter:
     """Visitor statistics from the page, unique-visitor and bounce topics.
 
@@ -227,10 +255,12 @@ def visitor_statistics(
     delay = f"{2 * timeout_seconds + late} seconds"
     timed = [b.withColumn("rowtime", F.timestamp_millis("ts")).withWatermark("rowtime", delay) for b in branches]
     rows = reduce(DataFrame.unionByName, timed)
-    return table.write_stream(stats.visitor_stats(rows), house.checkpoint("visitor_statistics"))
+    return table.write_stream(stats.visitor_stats(rows, size), house.checkpoint("visitor_statistics"))
 
 
-def product_statistics(house: Warehouse, table: StatsTable, delay: str = DELAY) -> DataStreamWriter:
+def product_statistics(
+    house: Warehouse, table: StatsTable, delay: str = DELAY, size: str = stats.WINDOW
+) -> DataStreamWriter:
     paid_schema = f"sku_id BIGINT, order_id BIGINT, split_total_amount {schemas.MONEY}, callback_time STRING"
     facts = ProductFacts(
         pages=house.rows("page", schemas.LOG_SCHEMA),
@@ -244,7 +274,7 @@ def product_statistics(house: Warehouse, table: StatsTable, delay: str = DELAY)
     # A watermark per branch, as in the visitor statistics: order and payment rows trail the pages.
     timed = product_measures(facts, lambda branch: branch.withWatermark("rowtime", delay))
     return table.write_stream(
-        stats.product_stats(timed), house.checkpoint("product_statistics"),
+        stats.product_stats(timed, size), house.checkpoint("product_statistics"),
         lambda batch: enrich_products(batch, house.dimensions(), with_price=True, few=True),
     )
 

@@ -21,6 +21,20 @@ def make(spark: SparkSession, path: str) -> None:
     system.mkdirs(target)
 
 
+def publish(spark: SparkSession, staged: str, path: str) -> bool:
+    """Move a finished folder to its place in one step; False where another attempt has done so before.
+
+    Readers see all files of the folder or none, as a rename is a single step of the file system.
+    """
+    target, system = _path(spark, path)
+    if system.exists(target):
+        return False
+    system.mkdirs(target.getParent())
+    if not system.rename(_path(spark, staged)[0], target):
+        raise OSError(f"cannot move {staged} to {path}")
+    return True
+
+
 def committed(spark: SparkSession, path: str, prefix: str) -> list[int]:
     """Numbers n of the finished writes below `path`, each in a folder `<prefix>=<n>`."""
     target, system = _path(spark, path)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamReader, DataStreamWriter
 
 from ..operators.parse import parse_json
@@ -17,7 +18,7 @@ class Topics:
 
     With `servers` set they are Kafka topics (the connector package must be on the
     session's classpath); otherwise each topic is a folder of text files below
-    `root`, one JSON string per line, which gives exactly-once output.
+    `root`, one JSON string per line. Folder output is exactly once: a batch appears as a whole or not at all, once.
     """
 
     spark: SparkSession
@@ -97,13 +98,11 @@ class Topics:
         return writer.format("text").option("path", self.path(topic))
 
     def write_batch(self, df: DataFrame, topic: str, batch_id: int) -> None:
-        """Append a micro-batch; in folders a batch that is already there is not written again."""
+        """Append a micro-batch, in folders as a whole and only once."""
         if self.servers:
             df.select("value").write.format("kafka").options(**self.sink_options(topic)).save()
             return
-        folder = f"{self.path(topic)}/batch={batch_id}"
-        if not folders.exists(self.spark, f"{folder}/_SUCCESS"):
-            df.select("value").write.mode("overwrite").text(folder)
+        self._commit(df.select("value").write, f"{self.path(topic)}/batch={batch_id}")
 
     def write_routed(self, df: DataFrame, batch_id: int, destination: str = "sink_table") -> None:
         """Append each row's `value` to the topic its `destination` column names.
@@ -115,9 +114,19 @@ class Topics:
         if self.servers:
             rows.write.format("kafka").options(**self.sink_options()).save()
             return
-        folder = f"{self.path('routed')}/batch={batch_id}"
-        if not folders.exists(self.spark, f"{folder}/_SUCCESS"):
-            rows.write.mode("overwrite").partitionBy("topic").text(folder)
+        self._commit(rows.write.partitionBy("topic"), f"{self.path('routed')}/batch={batch_id}")
+
+    def _commit(self, writer: DataFrameWriter, folder: str) -> None:
+        """Write a batch where no reader looks, then move it to its place in one step.
+
+        An attempt that dies between two files leaves nothing a reader could see, and a batch
+        that is in its place is not written again.
+        """
+        if folders.exists(self.spark, folder):
+            return
+        staged = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        writer.text(staged)
+        folders.publish(self.spark, staged, folder)
 
     def routed_table(self, topic: str) -> DataFrame:
         """Rows of a routed topic; the scan touches only that topic's folders."""

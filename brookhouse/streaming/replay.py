@@ -17,6 +17,31 @@ def stream_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def sliced(spark: SparkSession, path: str, by: str, slices: int, folder: str) -> DataFrame:
+    """A stored table as a stream of `slices` micro-batches, in the order of `by`.
+
+    `by` is an expression that gives each row the number of its slice, 0 to slices - 1. A slice is one file, written after
+    the one before it; the stream takes one file at a time.
+    """
+    table = spark.read.parquet(path)
+    for number in range(slices):
+        table.filter(F.expr(by) == number).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def time_slices(time: str, ends: list) -> str:
+    """A slice number by time: how many of the given times (text or number literals) are at or before it."""
+    return " + ".join([f"CAST({time} >= {end} AS INT)" for end in ends]) or "0"
+
+
+def cut_times(spark: SparkSession, path: str, time: str, slices: int) -> list[str]:
+    """Times that cut a table into about equal slices, as literals."""
+    shares = [i / slices for i in range(1, slices)]
+    cuts = spark.read.parquet(path).select(F.unix_micros(F.col(time).cast("timestamp")).alias("t"))
+    found = cuts.agg(F.percentile_approx("t", shares).alias("cuts")).first()["cuts"] or []
+    return [f"CAST(timestamp_micros({c}) AS TIMESTAMP_NTZ)" for c in found]
+
+
 def _run(out: DataFrame, folder: str, step: Callable[[DataFrame, int], DataFrame], mode: str) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
         step(batch, batch_id).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
@@ -28,11 +53,13 @@ def _run(out: DataFrame, folder: str, step: Callable[[DataFrame, int], DataFrame
 
 @dataclass(frozen=True)
 class Played:
-    """A stored table to play: its event time column, and column values of its closing row."""
+    """A stored table to play: its event time column, column values of its closing row, and how many
+    micro-batches, cut by time, it is played in. Tables of unlike pace have unlike numbers of them."""
 
     path: str
     time: str
     closing: dict[str, str] | None = None
+    slices: int = 1
 
 
 def replay(
@@ -41,15 +68,17 @@ def replay(
     build: Callable[..., DataFrame],
     mode: str = "append",
     horizon: str = "INTERVAL 10000 DAYS",
+    folder: str | None = None,
 ) -> DataFrame:
     """Rows that the streaming query `build(stream, …)` gives out for whole tables.
 
     A stream never closes its last windows by itself. After the tables one closing
     row each is fed in, `horizon` later than the table's last row; it moves the
     watermark past everything before it. It comes in a second run of the same query
-    on the same checkpoint, so it is last however many micro-batches the tables take.
+    on the same checkpoint, so it is last however many micro-batches the tables take. `folder` is where the query
+    keeps its checkpoint and output, a new one by default.
     """
-    folder = working_dir(spark, "replay")
+    folder = folder or working_dir(spark, "replay")
     tables = [tables] if isinstance(tables, Played) else tables
     ends = [f"{folder}/end{i}" for i in range(len(tables))]
     streams = []
@@ -57,7 +86,12 @@ def replay(
         table = spark.read.parquet(played.path)
         table.limit(0).write.parquet(end)
         closing = spark.readStream.schema(table.schema).parquet(end)
-        streams.append(stream_table(spark, played.path).unionByName(closing))
+        if played.slices > 1:
+            by = time_slices(played.time, cut_times(spark, played.path, played.time, played.slices))
+            opened = sliced(spark, played.path, by, played.slices, end.replace("/end", "/slices"))
+        else:
+            opened = stream_table(spark, played.path)
+        streams.append(opened.unionByName(closing))
     out = build(*streams)
     _run(out, folder, lambda batch, _: batch, mode)
     if any(played.closing is not None for played in tables):
@@ -75,6 +109,11 @@ def replay(
     return spark.read.parquet(f"{folder}/out").select(*out.columns)
 
 
+def state_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows in the state store of a query that `replay` ran in `folder`."""
+    return spark.read.format("statestore").load(f"{folder}/checkpoint")
+
+
 def replay_batches(
     spark: SparkSession, stream: DataFrame, step: Callable[[DataFrame, int, str], DataFrame]
 ) -> DataFrame:
