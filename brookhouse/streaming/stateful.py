@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 class _FirstDay(StatefulProcessor):
     """Rows of one device, their day in the last column, get their flag reset on days other than the first flagged one."""
 
-    def __init__(self, flag: int, ttl_ms: int | None):
+    def __init__(self, flag: str, ttl_ms: int | None):
         self.flag, self.ttl_ms = flag, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -35,10 +35,8 @@ class _FirstDay(StatefulProcessor):
             if days:
                 self.first.update((first,))
         for part in rows:
-            # Columns go by place: Spark renames those that begin with an underscore.
             day, out = part.iloc[:, -1], part.iloc[:, :-1].copy()
-            name = out.columns[self.flag]
-            out[name] = out[name].where(day.isna() | (day == first), "0")
+            out[self.flag] = out[self.flag].where(day.isna() | (day == first), "0")
             yield out
 
     def close(self) -> None:
@@ -52,12 +50,16 @@ def repair_new_flag_stream(df: DataFrame, device: str, flag: str, day: Column, f
     Flagged rows with a device meet its state, one date per device; all others pass by it. With `forget_after`, a device whose state was
     not set within that time (of the clock) is forgotten and counts as new again. To be run in append mode.
     """
-    flagged = F.coalesce((F.col(flag) == "1") & F.col(device).isNotNull(), F.lit(False))
+    flagged = F.coalesce((F.col(f"`{flag}`") == "1") & F.col(f"`{device}`").isNotNull(), F.lit(False))
     ttl = None if forget_after is None else int(forget_after.total_seconds() * 1000)
-    fixed = df.filter(flagged).withColumn("first_day_of", day).groupBy(device).transformWithStateInPandas(
-        statefulProcessor=_FirstDay(df.columns.index(flag), ttl), outputStructType=df.schema, outputMode="Append",
+    # Columns go by place: any name will do, also one that Spark would change on the way to Python.
+    placed = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
+    name = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    rows = df.filter(flagged).select(*placed, day.alias("day"))
+    fixed = rows.groupBy(name[device]).transformWithStateInPandas(
+        statefulProcessor=_FirstDay(name[flag], ttl), outputStructType=StructType(rows.schema.fields[:-1]), outputMode="Append",
         timeMode="None" if ttl is None else "ProcessingTime")
-    return fixed.unionByName(df.filter(~flagged))
+    return fixed.toDF(*df.columns).unionByName(df.filter(~flagged))
 
 
 class _Quiet(StatefulProcessor):
