@@ -8,7 +8,8 @@ from ..functions import map_value
 from ..operators import (
     current_rules, current_table, latest_by_key, normalise_changes, parse_json, to_json_value, valid_changes,
 )
-from ..schemas import ENVELOPE_SCHEMA
+from ..operators.routing import route_changes
+from ..schemas import ENVELOPE_SCHEMA, RULE_COLUMNS
 from ..session import working_dir
 from ..sources import DimensionStore, table_columns, with_snapshot
 from . import jobs, shop
@@ -212,12 +213,12 @@ def dim_table_columns(t: Tables) -> DataFrame:
 
 @query("dim_upsert", """
 SELECT CAST(user_id AS VARCHAR) AS "ID", CAST(event_id AS VARCHAR) AS "EVENT" FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events
-  WHERE event_type IN ('signup', 'error')) x WHERE r = 1 AND event_type = 'signup'""")
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events) x
+WHERE r = 1 AND event_type <> 'error'""")
 def dim_upsert(t: Tables) -> DataFrame:
     """Two batches of upserts and deletes in a dimension store, folded in between, and read back."""
     store = DimensionStore(t.spark, working_dir(t.spark, "dims"))
-    changes = t.events.filter("event_type IN ('signup', 'error')").select(
+    changes = t.events.select(
         F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("type"),
         F.create_map(
             F.lit("id"), F.col("user_id").cast("string"), F.lit("event"), F.col("event_id").cast("string")
@@ -229,3 +230,34 @@ def dim_upsert(t: Tables) -> DataFrame:
     store.compact(0)
     store.apply(changes.filter(~early), 1, sequence="seq")
     return store.table("dim_user", ["id", "event"])
+
+
+# Two dimension tables by rule: one plain, one with a key and types of its own; a third rule is no table.
+TABLE_RULES = (
+    ("signup", "insert", "hbase", "dim_signup", "id,event", None, None),
+    ("purchase", "insert", "hbase", "dim_purchase", "event,id,value", "event", "id BIGINT, value DECIMAL(16,2)"),
+    ("view", "insert", "kafka", "dwd_view", "id", None, None),
+)
+
+
+@query("dim_table_from_rules", """
+SELECT 'dim_signup' AS tab, CAST(user_id AS VARCHAR) AS key, CAST(max(event_id) AS VARCHAR) AS event, CAST(NULL AS BIGINT) AS id, CAST(NULL AS DECIMAL(16,2)) AS value
+FROM events WHERE event_type = 'signup' GROUP BY user_id
+UNION ALL
+SELECT 'dim_purchase', CAST(event_id AS VARCHAR), NULL, user_id, CASE WHEN event_id % 5 <> 0 THEN CAST(value AS DECIMAL(16,2)) END FROM events WHERE event_type = 'purchase'""")
+def dim_table_from_rules(t: Tables) -> DataFrame:
+    """Tables come out of the rules, with keys and types: no code names their columns."""
+    rules = t.spark.createDataFrame(list(TABLE_RULES), ", ".join(f"{c} string" for c in RULE_COLUMNS))
+    amount = F.col("value").cast("decimal(16,2)").cast("string")
+    data = F.create_map(
+        F.lit("id"), F.col("user_id").cast("string"), F.lit("event"), F.col("event_id").cast("string"),
+        F.lit("value"), F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(amount), F.lit("noise"), F.lit("x"))
+    changes = t.events.select(F.lit("shop").alias("database"), F.col("event_type").alias("table"), F.lit("insert").alias("type"), data.alias("data"), F.col("event_id").alias("seq"))
+    store = DimensionStore(t.spark, working_dir(t.spark, "dims"))
+    store.apply(route_changes(changes, rules).dims, 0, sequence="seq")
+    found = store.tables(rules)
+    none = lambda kind: F.lit(None).cast(kind)
+    return found["dim_signup"].select(
+        F.lit("dim_signup").alias("tab"), F.col("id").alias("key"), "event", none("bigint").alias("id"), none("decimal(16,2)").alias("value"),
+    ).unionByName(found["dim_purchase"].select(
+        F.lit("dim_purchase").alias("tab"), F.col("event").alias("key"), none("string").alias("event"), "id", "value"))

@@ -25,7 +25,7 @@ from ..operators.changes import valid_changes
 from ..operators.visitors import is_entry
 from ..operators.wide import Dimensions, enrich_order_wide, enrich_products, order_with_detail, payment_wide, with_rowtime
 from ..schemas import TOPICS
-from ..sources import DimensionStore, Topics, land_logs
+from ..sources import DimensionStore, RuleLog, Topics, WaitingRows, land_logs
 from ..streaming import FlagDays, StatsTable, bounces_stream, first_per_day_stream, repair_new_flag_stream
 from .jobs import BOUNCE_SECONDS, ProductFacts, product_measures, with_device
 
@@ -152,12 +152,26 @@ def log_routing_by_state(house: Warehouse) -> DataStreamWriter:
     return fixed.writeStream.option("checkpointLocation", house.checkpoint("log_routing")).foreachBatch(write)
 
 
-def database_routing(house: Warehouse, rules: Callable[[], DataFrame], compact_every: int = 50) -> DataStreamWriter:
+def rule_updates(house: Warehouse, log: RuleLog, topic: str) -> DataStreamWriter:
+    """Changes of the rule table, as they come from a topic of change rows, to versions of the rules."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        changes = valid_changes(parse_json(batch, schemas.CHANGE_SCHEMA + ", ts BIGINT").rows)
+        fields = [F.try_element_at("data", F.lit(c)).alias(c) for c in schemas.RULE_COLUMNS]
+        log.append(changes.select(*fields, "type", F.coalesce("ts", F.lit(0)).alias("seq")), batch_id)
+
+    lines = house.topics.stream(topic)
+    return lines.writeStream.option("checkpointLocation", house.checkpoint("rule_updates")).foreachBatch(write)
+
+
+def database_routing(
+    house: Warehouse, rules: Callable[[], DataFrame] | WaitingRows, compact_every: int = 50
+) -> DataStreamWriter:
     """Change rows to dimension tables and fact topics.
 
-    `rules` is called for every micro-batch, before its rows are routed. Changes of one key
-    inside a batch follow their `ts`, and their order of arrival where it is equal or missing. Broken lines
-    go to a reject topic, rows without a rule to an unmatched topic.
+    `rules` is called for every micro-batch, before its rows are routed; rows without a rule then go to an unmatched topic.
+    With `WaitingRows` the rules come from their log, and rows without one wait for the version that serves them. Changes of one key
+    inside a batch follow their `ts`, and their order of arrival where it is equal or missing. Broken lines go to a reject topic.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -165,11 +179,14 @@ def database_routing(house: Warehouse, rules: Callable[[], DataFrame], compact_e
         both = parse_json(read, schemas.CHANGE_SCHEMA + ", ts BIGINT", keep=("arrived", "_row"))
         parsed = both.rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            routed = route_changes(valid_changes(parsed), rules())
+            waits = isinstance(rules, WaitingRows)
+            valid = valid_changes(parsed)
+            routed = rules.route(valid, batch_id) if waits else route_changes(valid, rules())
             house.store.apply(routed.dims, batch_id, sequence=["ts", "arrived", "_row"])
             house.topics.write_batch(both.rejects, TOPICS["changes"] + "_rejects", batch_id)
-            house.topics.write_batch(
-                to_json_value(routed.unmatched.drop("arrived", "_row")), TOPICS["changes"] + "_unmatched", batch_id)
+            if not waits:
+                house.topics.write_batch(
+                    to_json_value(routed.unmatched.drop("arrived", "_row")), TOPICS["changes"] + "_unmatched", batch_id)
             facts = routed.facts.select("sink_table", F.to_json("data").alias("value"))
             house.topics.write_routed(facts, batch_id)
         finally:

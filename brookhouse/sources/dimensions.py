@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructType
 
 from ..functions import split_names
 from ..operators.changes import latest_by_key
@@ -20,10 +22,11 @@ class DimensionStore:
     """All dimension tables below one folder of the shared file system.
 
     A batch of changes is only appended (`delta/batch=<n>`; a repeated batch finds it
-    written). `compact` folds base and deltas into a new base (`base/upto=<n>`).
-    Readers take the newest finished base and the finished deltas after it, so a
-    folder that is being read is never written again. Both are partitioned by
-    `sink_table`: a lookup reads its own table only.
+    written). `compact` folds base and deltas into a new base (`base/upto=<n>`), in the job or beside it.
+    Every batch leaves a manifest (`manifest/batch=<n>`) that names the deltas not folded yet, and every fold a mark
+    (`folds/upto=<n>`). Readers list both folders and open the last manifest: the same few calls however many
+    batches there are. A folder that is being read is never written again; `vacuum` removes those no
+    reader asks for any more. Data is partitioned by `sink_table`: a lookup reads its own table only.
     """
 
     spark: SparkSession
@@ -38,8 +41,8 @@ class DimensionStore:
         if not sequence:
             raise ValueError("changes of one key need a sequence")
         order = [sequence] if isinstance(sequence, str) else list(sequence)
-        folder = f"{self.root}/delta/batch={batch_id}"
-        if folders.exists(self.spark, f"{folder}/_SUCCESS"):
+        folder, manifest = f"{self.root}/delta/batch={batch_id}", f"{self.root}/manifest/batch={batch_id}"
+        if folders.exists(self.spark, manifest):
             return
         rows = dims.select(
             F.try_element_at("data", F.col("sink_pk")).alias("id"),
@@ -52,7 +55,18 @@ class DimensionStore:
         ).filter(F.col("id").isNotNull())
         places = [f"_order{i}" for i in range(len(order))]
         last = latest_by_key(rows, ["sink_table", "id"], places).drop(*places)
+        # No reader looks at a folder before a manifest names it.
         last.write.mode("overwrite").partitionBy("sink_table").parquet(folder)
+        _, deltas = self._live_folders(batch_id - 1)
+        folders.write_text(self.spark, manifest, json.dumps([*deltas, batch_id]))
+
+    def _live_folders(self, last_batch: int | None = None) -> tuple[int, list[int]]:
+        """(number of the newest base or -1, numbers of the deltas after it), up to a batch or to the last."""
+        within = lambda found: [n for n in found if last_batch is None or n <= last_batch]
+        base = max(within(folders.numbers(self.spark, f"{self.root}/folds", "upto")), default=-1)
+        manifests = within(folders.numbers(self.spark, f"{self.root}/manifest", "batch"))
+        deltas = json.loads(folders.read_text(self.spark, f"{self.root}/manifest/batch={manifests[-1]}")) if manifests else []
+        return base, [n for n in deltas if n > base]
 
     def _read(self, paths: list[str]) -> DataFrame:
         parts = [self.spark.read.schema(_STORED).option("basePath", path).parquet(path) for path in paths]
@@ -65,12 +79,10 @@ class DimensionStore:
         base then loses the keys the deltas name, by an anti join against the small
         side: as long as Spark can broadcast those keys, the base does not shuffle.
         """
-        bases = folders.committed(self.spark, f"{self.root}/base", "upto")
-        upto = bases[-1] if bases else -1
-        batches = folders.committed(self.spark, f"{self.root}/delta", "batch")
-        deltas = [f"{self.root}/delta/batch={n}" for n in batches if n > upto and (last_batch is None or n <= last_batch)]
+        upto, numbers = self._live_folders(last_batch)
+        deltas = [f"{self.root}/delta/batch={n}" for n in numbers]
         mine = F.lit(True) if table is None else F.col("sink_table") == table
-        base = self._read([f"{self.root}/base/upto={upto}"]).filter(mine) if bases else None
+        base = self._read([f"{self.root}/base/upto={upto}"]).filter(mine) if upto >= 0 else None
         if not deltas:
             return base
         changed = latest_by_key(self._read(deltas).filter(mine), ["sink_table", "id"], ["batch", "seq"])
@@ -82,12 +94,28 @@ class DimensionStore:
 
     def compact(self, upto: int) -> None:
         """Fold everything up to a batch into a new base; keys deleted by then are gone."""
-        folder = f"{self.root}/base/upto={upto}"
-        if folders.exists(self.spark, f"{folder}/_SUCCESS"):
+        mark = f"{self.root}/folds/upto={upto}"
+        if folders.exists(self.spark, mark):
             return
         live = self._live(last_batch=upto)
         if live is not None:
-            live.write.mode("overwrite").partitionBy("sink_table").parquet(folder)
+            live.write.mode("overwrite").partitionBy("sink_table").parquet(f"{self.root}/base/upto={upto}")
+            folders.write_text(self.spark, mark, "")
+
+    def vacuum(self) -> None:
+        """Remove what the last two folds have replaced: readers that began before the last fold still find theirs."""
+        folds = folders.numbers(self.spark, f"{self.root}/folds", "upto")
+        if len(folds) < 2:
+            return
+        keep = folds[-2]
+        last = max(folders.numbers(self.spark, f"{self.root}/manifest", "batch"), default=-1)
+        old = {"folds/upto": lambda n: n < keep, "base/upto": lambda n: n < keep, "delta/batch": lambda n: n <= keep,
+               "manifest/batch": lambda n: n < min(keep, last)}
+        for name, gone in old.items():
+            folder, prefix = name.split("/")
+            for n in folders.numbers(self.spark, f"{self.root}/{folder}", prefix):
+                if gone(n):
+                    folders.remove(self.spark, f"{self.root}/{folder}/{prefix}={n}")
 
     def table(self, name: str, columns: list[str]) -> DataFrame:
         """Current rows of one dimension: string columns in upper case, `ID` the key.
@@ -102,6 +130,30 @@ class DimensionStore:
         return live.selectExpr("id AS `ID`", *[f"try_element_at(data, '{c}') AS `{c.upper()}`" for c in others])
 
 
+    def tables(self, rules: DataFrame) -> dict[str, DataFrame]:
+        """Every dimension table the rules call for, by name: a table per rule, made without code of its own.
+
+        Columns are those of the rule, under their own names. The key column comes first and is text. A column is text as
+        well unless `sink_extend` gives its type, as in `price DECIMAL(16,2), level INT`; a value that does not fit is null.
+        """
+        found: dict[str, list] = {}
+        # Rules are configuration: a row per column of a table.
+        for row in table_columns(rules).collect():
+            found.setdefault(row["sink_table"], []).append(row)
+        made = {}
+        for name, columns in found.items():
+            columns.sort(key=lambda row: row["position"])
+            key = next((row["column"] for row in columns if row["is_key"]), "id")
+            kinds = {f.name: f.dataType for f in StructType.fromDDL(columns[0]["extension"]).fields} if columns[0]["extension"] else {}
+            others = list(dict.fromkeys(row["column"] for row in columns if row["column"] != key))
+            live = self._live(table=name)
+            if live is None:
+                live = self.spark.createDataFrame([], _STORED)
+            made[name] = live.select(F.col("id").alias(key), *[
+                F.try_element_at("data", F.lit(c)).try_cast(kinds.get(c, StringType())).alias(c) for c in others])
+        return made
+
+
 def table_columns(rules: DataFrame) -> DataFrame:
     """Columns of the dimension tables the rules call for, as rows.
 
