@@ -16,7 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from .. import schemas
 from ..functions import day_of, put_field
-from ..functions.keywords import register_keyword_function
+from ..functions.keywords import Tokenizer, register_keyword_function
 from ..operators import measures as m
 from ..operators import stats
 from ..operators.parse import in_time, parse_fields, parse_json, to_json_value
@@ -301,21 +301,27 @@ SELECT keyword, count(*) AS ct, 'SEARCH' AS source,
        date_format(window.start, 'yyyy-MM-dd HH:mm:ss') AS stt,
        date_format(window.end, 'yyyy-MM-dd HH:mm:ss') AS edt
 FROM (SELECT k.keyword, p.rowtime
-      FROM page_log p, LATERAL ik_analyze(try_element_at(p.page, 'item')) AS k(keyword)
-      WHERE try_element_at(p.page, 'page_id') = 'good_list' AND try_element_at(p.page, 'item') IS NOT NULL)
-GROUP BY window(rowtime, '10 seconds'), keyword
+      FROM page_log p, LATERAL {function}(try_element_at(p.page, 'item')) AS k(keyword)
+      WHERE try_element_at(p.page, 'page_id') = :page_id AND try_element_at(p.page, 'item') IS NOT NULL)
+GROUP BY window(rowtime, :size), keyword
 """
 
 
-def keyword_statistics(house: Warehouse, table: StatsTable, delay: str = DELAY, start: str = "latest") -> DataStreamWriter:
-    """Keyword statistics as SQL over a streaming view and a table function."""
+def keyword_statistics(
+    house: Warehouse, table: StatsTable, delay: str = DELAY, start: str = "latest", size: str = stats.WINDOW,
+    page_id: str = "good_list", tokenizer: Tokenizer | None = None,
+) -> DataStreamWriter:
+    """Keyword statistics as SQL over a streaming view and a table function, a user's `tokenizer` if given."""
     spark = house.topics.spark
-    register_keyword_function(spark)
+    # A session cannot turn a Python table function back into a SQL one, so each kind has a name of its own.
+    function = "ik_analyze" if tokenizer is None else "ik_analyze_own"
+    register_keyword_function(spark, function, tokenizer)
     house.topics.view(
         "page_log", TOPICS["page"], schemas.PAGE_MAP_SCHEMA,
         "to_timestamp(from_unixtime(ts div 1000, 'yyyy-MM-dd HH:mm:ss'))", delay, start,
     )
-    return table.write_stream(spark.sql(KEYWORD_SQL), house.checkpoint("keyword_statistics"))
+    found = spark.sql(KEYWORD_SQL.replace("{function}", function), args={"page_id": page_id, "size": size})
+    return table.write_stream(found, house.checkpoint("keyword_statistics"))
 
 
 def province_statistics(house: Warehouse, table: StatsTable, delay: str = DELAY) -> DataStreamWriter:

@@ -137,11 +137,12 @@ def value_functions(t: Tables) -> DataFrame:
 
 
 @query("json_put", """
-SELECT event_id, 'm' || user_id AS mid, '0' AS is_new FROM events WHERE event_type = 'signup'""")
+SELECT event_id, 'm' || user_id AS mid, CASE WHEN event_type = 'signup' THEN '0' ELSE '1' END AS is_new FROM events""")
 def json_put(t: Tables) -> DataFrame:
-    """A field overwritten inside a nested record."""
-    rows = t.events.filter("event_type = 'signup'").select(
-        "event_id", F.struct(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("mid"), F.lit("1").alias("is_new")).alias("common")
+    """A field overwritten inside a nested record, in some rows with its own value."""
+    rows = t.events.select(
+        "event_id", "event_type", F.struct(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("mid"), F.lit("1").alias("is_new")).alias("common")
     )
-    fixed = rows.withColumn("common", put_field("common", "is_new", F.lit("0")))
+    value = F.when(F.col("event_type") == "signup", "0").otherwise(F.col("common.is_new"))
+    fixed = rows.withColumn("common", put_field("common", "is_new", value))
     return fixed.select("event_id", "common.mid", "common.is_new")
