@@ -47,19 +47,24 @@ def latest_by_key(
     return last if deleted is None else last.filter(~F.coalesce(deleted, F.lit(False)))
 
 
-def current_table(
-    changes: DataFrame, database: str, table: str, columns: dict[str, str], key: str, sequence: list[str]
-) -> DataFrame:
-    """Mirror of one source table: typed current rows with changes and deletes applied.
+def changes_of(changes: DataFrame, database: str, table: str, key: str) -> DataFrame:
+    """The changes of one source table that name a key, with the key as `_key`.
 
-    A delete must still name its key, in `data` or in a `before` map column.
+    A delete must still name it, in `data` or in a `before` map column.
     """
     rows = changes.filter((F.col("database") == database) & (F.col("table") == table))
     named = F.col("data")
     if "before" in changes.columns:
         named = F.when(F.size("data") > 0, F.col("data")).otherwise(F.col("before"))
     # Rows without a key belong to no row of the table.
-    keyed = rows.withColumn("_key", F.try_element_at(named, F.lit(key))).filter(F.col("_key").isNotNull())
+    return rows.withColumn("_key", F.try_element_at(named, F.lit(key))).filter(F.col("_key").isNotNull())
+
+
+def current_table(
+    changes: DataFrame, database: str, table: str, columns: dict[str, str], key: str, sequence: list[str]
+) -> DataFrame:
+    """Mirror of one source table: typed current rows with changes and deletes applied, as `changes_of` finds them."""
+    keyed = changes_of(changes, database, table, key)
     last = latest_by_key(keyed, ["_key"], sequence, F.col("type") == "delete")
     return last.select(*[
         F.try_element_at("data", F.lit(name)).try_cast(kind).alias(name) for name, kind in columns.items()

@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import Protocol
 
 from pyspark.sql import DataFrame, functions as F
 
 
+class Near(Protocol):
+    """A dimension that gives the rows of some keys without a scan of all."""
+
+    def near(self, keys: DataFrame) -> DataFrame: ...
+
+
+def rows_near(dimension: DataFrame | Near, facts: DataFrame, key: str) -> DataFrame:
+    """The dimension's rows, at least those that `facts` ask for by `key`."""
+    return dimension if isinstance(dimension, DataFrame) else dimension.near(facts.select(f"`{key}`"))
+
+
 def lookup(
     facts: DataFrame, dimension: DataFrame, on: Mapping[str, str], take: Mapping[str, str], unique: bool = True, few: bool = False
 ) -> DataFrame:
@@ -45,7 +57,7 @@ def lookup(
 
 
 def by_id(
-    facts: DataFrame, dimension: DataFrame, key: str, take: Mapping[str, str], few: bool = False
+    facts: DataFrame, dimension: DataFrame | Near, key: str, take: Mapping[str, str], few: bool = False
 ) -> DataFrame:
     """Lookup on the numeric key of a dimension that stores all columns as strings."""
-    return lookup(facts, dimension, {key: "TRY_CAST(ID AS BIGINT)"}, take, few=few)
+    return lookup(facts, rows_near(dimension, facts, key), {key: "TRY_CAST(ID AS BIGINT)"}, take, few=few)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import add_computed, age_years, to_time
 from ..schemas import ORDER_WIDE_COLUMNS, PAYMENT_WIDE_COLUMNS
 from .intervals import interval_join
-from .lookups import by_id
+from .lookups import Near, by_id, rows_near
 
 # Fixed bounds of the two joins, in seconds.
 ORDER_DETAIL_BOUNDS = (-5, 5)
@@ -33,11 +33,14 @@ _FROM_DETAIL = {
 
 @dataclass(frozen=True)
 class Dimensions:
-    """The six dimension snapshots, all columns strings, key column `ID`."""
+    """The six dimension snapshots, all columns strings, key column `ID`.
 
-    user: DataFrame
+    Those that grow with the business may be given by key instead; the product then needs `few`.
+    """
+
+    user: DataFrame | Near
     province: DataFrame
-    sku: DataFrame
+    sku: DataFrame | Near
     spu: DataFrame
     category3: DataFrame
     trademark: DataFrame
@@ -80,7 +83,7 @@ def product_dimension(dims: Dimensions, skus: DataFrame | None = None) -> DataFr
     `sku_id`, only their products are looked up.
     """
     few = skus is not None
-    sku = dims.sku if skus is None else dims.sku.join(
+    sku = dims.sku if skus is None else rows_near(dims.sku, skus, "sku_id").join(
         skus.select(F.col("sku_id").alias("_sku")).distinct(), F.expr("TRY_CAST(ID AS BIGINT) = _sku"))
     products = sku.selectExpr(
         "ID", "SKU_NAME AS sku_name", "TRY_CAST(PRICE AS DECIMAL(16,2)) AS sku_price",
@@ -99,7 +102,7 @@ def enrich_products(df: DataFrame, dims: Dimensions, with_price: bool = False, f
     return by_id(df, product_dimension(dims, df if few else None), "sku_id", {name: name for name in names})
 
 
-def enrich_user(wide: DataFrame, users: DataFrame, as_of: Column, few: bool = False) -> DataFrame:
+def enrich_user(wide: DataFrame, users: DataFrame | Near, as_of: Column, few: bool = False) -> DataFrame:
     """Gender, and the age on the day `as_of`."""
     found = by_id(wide, users, "user_id", {"user_gender": "GENDER", "_birthday": "TRY_CAST(BIRTHDAY AS DATE)"}, few)
     return found.withColumn("user_age", age_years("_birthday", as_of)).drop("_birthday")

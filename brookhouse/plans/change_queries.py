@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import map_value
 from ..operators import (
-    current_rules, current_table, latest_by_key, normalise_changes, parse_json, to_json_value, valid_changes,
+    by_id, current_rules, current_table, latest_by_key, normalise_changes, parse_json, to_json_value, valid_changes,
 )
 from ..operators.routing import route_changes
 from ..schemas import ENVELOPE_SCHEMA, RULE_COLUMNS
 from ..session import working_dir
-from ..sources import DimensionStore, table_columns, with_snapshot
+from ..sources import DimensionStore, StoredDimension, table_columns, with_snapshot
 from . import jobs, shop
 from .registry import query
 from .shop import Tables
@@ -232,6 +232,24 @@ def dim_upsert(t: Tables) -> DataFrame:
     return store.table("dim_user", ["id", "event"])
 
 
+@query("dim_lookup_by_key", """
+SELECT o_orderkey AS order_id, CASE WHEN c_custkey % 9 <> 0 THEN CASE WHEN c_custkey % 10 = 0 THEN upper(c_mktsegment) ELSE c_mktsegment END END AS segment
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
+def dim_lookup_by_key(t: Tables) -> DataFrame:
+    """A folded dimension with changes since, of which a lookup reads the buckets of its keys only."""
+    store = DimensionStore(t.spark, working_dir(t.spark, "dims"))
+    row = lambda kind, segment: t.customer.select(
+        F.lit(kind).alias("type"), F.create_map(F.lit("id"), F.col("c_custkey").cast("string"), F.lit("segment"), segment).alias("data"),
+        F.lit("dim_customer").alias("sink_table"), F.lit("id").alias("sink_pk"), F.col("c_custkey").alias("seq"))
+    store.apply(row("insert", F.col("c_mktsegment")), 0, sequence="seq")
+    store.compact(0)
+    store.apply(row("update", F.upper("c_mktsegment")).filter("seq % 10 = 0"), 1, sequence="seq")
+    store.apply(row("delete", F.col("c_mktsegment")).filter("seq % 9 = 0"), 2, sequence="seq")
+    facts = t.orders.select(F.col("o_orderkey").alias("order_id"), "o_custkey")
+    customers = StoredDimension(store, "dim_customer", ["id", "segment"])
+    return by_id(facts, customers, "o_custkey", {"segment": "SEGMENT"}, few=True).select("order_id", "segment")
+
+
 # Two dimension tables by rule: one plain, one with a key and types of its own; a third rule is no table.
 TABLE_RULES = (
     ("signup", "insert", "hbase", "dim_signup", "id,event", None, None),

@@ -6,8 +6,10 @@ trigger and starts it. A job restarted with its checkpoint goes on where it was.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
+from datetime import timedelta
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -21,12 +23,14 @@ from ..operators import measures as m
 from ..operators import stats
 from ..operators.parse import in_time, parse_fields, parse_json, to_json_value
 from ..operators.routing import LINE, display_text, page_text, route_changes, split_logs, start_text
-from ..operators.changes import valid_changes
+from ..operators.changes import normalise_changes, valid_changes
 from ..operators.visitors import is_entry
 from ..operators.wide import Dimensions, enrich_order_wide, enrich_products, order_with_detail, payment_wide, with_rowtime
 from ..schemas import TOPICS
-from ..sources import DimensionStore, RuleLog, Topics, WaitingRows, land_logs
-from ..streaming import FlagDays, StatsTable, bounces_stream, first_per_day_stream, repair_new_flag_stream
+from ..sources import DimensionStore, RuleLog, StoredDimension, Topics, WaitingRows, land_logs
+from ..streaming import (
+    FlagDays, StatsTable, bounces_stream, first_per_day_stream, mirrored_stream, repair_new_flag_stream, weighted_totals,
+)
 from .jobs import BOUNCE_SECONDS, ProductFacts, product_measures, with_device
 
 # Fixed lateness allowed to event times.
@@ -41,6 +45,16 @@ FACT_TIMES = {name: ("create_time",) for name in ("order", "detail", "favor", "c
 FACT_TIMES["payment"] = ("callback_time",)
 
 
+@contextmanager
+def kept(batch: DataFrame) -> Iterator[DataFrame]:
+    """A micro-batch that is read more than once: in memory, on disk where memory is short."""
+    rows = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 @dataclass(frozen=True)
 class Warehouse:
     """Topics, dimension store and checkpoint folder the jobs share."""
@@ -66,13 +80,19 @@ class Warehouse:
             role: self.store.table(name, columns) for role, (name, columns) in schemas.DIMENSION_TABLES.items()
         })
 
+    def dimensions_by_key(self) -> Dimensions:
+        """The same for micro-batches: of users and products, which grow, only the buckets of the keys asked for."""
+        named = {role: StoredDimension(self.store, *schemas.DIMENSION_TABLES[role]) for role in ("user", "sku")}
+        return replace(self.dimensions(), **named)
+
     def emit_batches(
         self, df: DataFrame, topic: str, job: str, step: Callable[[DataFrame], DataFrame], mode: str = "append"
     ) -> DataStreamWriter:
         """Write what `step` makes of each micro-batch, so that it sees the dimensions of that moment."""
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            self.topics.write_batch(to_json_value(step(batch)), TOPICS[topic], batch_id)
+            with kept(batch) as rows:
+                self.topics.write_batch(to_json_value(step(rows)), TOPICS[topic], batch_id)
 
         writer = df.writeStream.outputMode(mode).option("checkpointLocation", self.checkpoint(job))
         return writer.foreachBatch(write)
@@ -216,6 +236,31 @@ def rejected_rows(house: Warehouse, topic: str, schema: str, routed: bool = Fals
     return found.writeStream.option("checkpointLocation", house.checkpoint(f"rejected_{topic}")).foreachBatch(write)
 
 
+def mirrored_table(
+    house: Warehouse, source: str, topic: str, database: str, table: str, columns: dict[str, str], key: str,
+    forget_deleted: timedelta | None = None,
+) -> DataStreamWriter:
+    """The rows of a source table as they come and go, with weights, from a topic of change envelopes to another topic."""
+    envelopes = parse_json(house.topics.stream(source), schemas.ENVELOPE_SCHEMA).rows
+    changes = normalise_changes(envelopes, keep=("before", "ts_ms"))
+    rows = to_json_value(mirrored_stream(changes, database, table, columns, key, ["ts_ms"], forget_deleted))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        house.topics.write_batch(batch, topic, batch_id)
+
+    return rows.writeStream.outputMode("append").option("checkpointLocation", house.checkpoint(f"mirror_{topic}")).foreachBatch(write)
+
+
+def mirrored_totals(
+    house: Warehouse, topic: str, schema: str, by: dict[str, str], sums: dict[str, str], totals: StatsTable
+) -> DataStreamWriter:
+    """Totals over the rows that a mirrored table has now; `totals.latest` reads them."""
+    rows = parse_json(house.topics.stream(topic), schema).rows
+    found = weighted_totals(rows, by, sums)
+    writer = found.writeStream.outputMode("update").option("checkpointLocation", house.checkpoint(f"totals_{topic}"))
+    return writer.foreachBatch(totals.write)
+
+
 def unique_visitors(house: Warehouse, delay: str = DELAY) -> DataStreamWriter:
     """First entry pages of a device and day, whole as they came."""
     pages = house.rows("page", schemas.LOG_SCHEMA, LINE)
@@ -245,7 +290,7 @@ def order_wide(house: Warehouse, as_of: Column | None = None, delay: str = DELAY
     day = F.current_date() if as_of is None else as_of
     return house.emit_batches(
         order_with_detail(orders, details, spread=SPREAD), "order_wide", "order_wide",
-        lambda batch: enrich_order_wide(batch, house.dimensions(), day, few=True),
+        lambda batch: enrich_order_wide(batch, house.dimensions_by_key(), day, few=True),
     )
 
 
@@ -290,10 +335,13 @@ def product_statistics(
     )
     # A watermark per branch, as in the visitor statistics: order and payment rows trail the pages.
     timed = product_measures(facts, lambda branch: branch.withWatermark("rowtime", delay))
-    return table.write_stream(
-        stats.product_stats(timed, size), house.checkpoint("product_statistics"),
-        lambda batch: enrich_products(batch, house.dimensions(), with_price=True, few=True),
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        with kept(batch) as rows:
+            table.write(enrich_products(rows, house.dimensions_by_key(), with_price=True, few=True), batch_id)
+
+    writer = stats.product_stats(timed, size).writeStream.outputMode("append")
+    return writer.option("checkpointLocation", house.checkpoint("product_statistics")).foreachBatch(write)
 
 
 KEYWORD_SQL = """

@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..functions import split_names
@@ -17,6 +17,11 @@ from . import folders
 _STORED = "id STRING, data MAP<STRING, STRING>, deleted BOOLEAN, batch BIGINT, seq BIGINT, sink_table STRING"
 
 
+def _bucket(key: Column, buckets: int) -> Column:
+    """The bucket of a key; a numeric key has one however it is written, as lookups compare its number."""
+    return F.pmod(F.hash(F.coalesce(key.try_cast("bigint").cast("string"), key)), F.lit(buckets))
+
+
 @dataclass(frozen=True)
 class DimensionStore:
     """All dimension tables below one folder of the shared file system.
@@ -27,10 +32,14 @@ class DimensionStore:
     (`folds/upto=<n>`). Readers list both folders and open the last manifest: the same few calls however many
     batches there are. A folder that is being read is never written again; `vacuum` removes those no
     reader asks for any more. Data is partitioned by `sink_table`: a lookup reads its own table only.
+
+    A base is cut by key into `buckets` per table, so that `near` reads those of some keys only. Choose as many as
+    keep a bucket of the largest table within some 100 MB; each base remembers its own number.
     """
 
     spark: SparkSession
     root: str
+    buckets: int = 16
 
     def apply(self, dims: DataFrame, batch_id: int, apply_deletes: bool = True, *, sequence: str | list[str]) -> None:
         """Append one batch of routed dimension rows `(type, data, sink_table, sink_pk)`.
@@ -68,12 +77,22 @@ class DimensionStore:
         deltas = json.loads(folders.read_text(self.spark, f"{self.root}/manifest/batch={manifests[-1]}")) if manifests else []
         return base, [n for n in deltas if n > base]
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        parts = [self.spark.read.schema(_STORED).option("basePath", path).parquet(path) for path in paths]
+    def _read(self, paths: list[str], more: str = "") -> DataFrame:
+        parts = [self.spark.read.schema(_STORED + more).option("basePath", path).parquet(path) for path in paths]
         return reduce(DataFrame.unionByName, parts)
 
-    def _live(self, last_batch: int | None = None, table: str | None = None) -> DataFrame | None:
-        """Current rows, of one table or of all, up to a batch or to the last.
+    def _base(self, upto: int, asked: DataFrame | None) -> DataFrame:
+        """The rows of a base; with `asked`, keys in a column `id`, only the buckets these fall into."""
+        text = folders.read_text(self.spark, f"{self.root}/folds/upto={upto}")
+        rows = self._read([f"{self.root}/base/upto={upto}"], ", bucket INT")
+        if asked is not None and text:
+            wanted = asked.filter("id IS NOT NULL").select(_bucket(F.col("id"), json.loads(text)["buckets"]).alias("bucket")).distinct()
+            # Numbers of buckets: no more than the base has.
+            rows = rows.filter(F.col("bucket").isin([row["bucket"] for row in wanted.collect()]))
+        return rows.drop("bucket")
+
+    def _live(self, last_batch: int | None = None, table: str | None = None, asked: DataFrame | None = None) -> DataFrame | None:
+        """Current rows, of one table or of all, up to a batch or to the last; with `asked` at least those of its keys.
 
         Base keys are unique, so only the deltas are reduced to one row per key. The
         base then loses the keys the deltas name, by an anti join against the small
@@ -82,7 +101,7 @@ class DimensionStore:
         upto, numbers = self._live_folders(last_batch)
         deltas = [f"{self.root}/delta/batch={n}" for n in numbers]
         mine = F.lit(True) if table is None else F.col("sink_table") == table
-        base = self._read([f"{self.root}/base/upto={upto}"]).filter(mine) if upto >= 0 else None
+        base = self._base(upto, asked).filter(mine) if upto >= 0 else None
         if not deltas:
             return base
         changed = latest_by_key(self._read(deltas).filter(mine), ["sink_table", "id"], ["batch", "seq"])
@@ -99,8 +118,9 @@ class DimensionStore:
             return
         live = self._live(last_batch=upto)
         if live is not None:
-            live.write.mode("overwrite").partitionBy("sink_table").parquet(f"{self.root}/base/upto={upto}")
-            folders.write_text(self.spark, mark, "")
+            cut = live.withColumn("bucket", _bucket(F.col("id"), self.buckets)).repartition("sink_table", "bucket")
+            cut.write.mode("overwrite").partitionBy("sink_table", "bucket").parquet(f"{self.root}/base/upto={upto}")
+            folders.write_text(self.spark, mark, json.dumps({"buckets": self.buckets}))
 
     def vacuum(self) -> None:
         """Remove what the last two folds have replaced: readers that began before the last fold still find theirs."""
@@ -122,14 +142,24 @@ class DimensionStore:
 
         A table that never got a row is empty, with the same columns.
         """
+        return self._columns(self._live(table=name), columns)
+
+    def near(self, name: str, columns: list[str], keys: DataFrame) -> DataFrame:
+        """The same with at least the rows of some keys, given in the only column of `keys`.
+
+        Other rows of their buckets may come with them; buckets without a key are not read. The keys are read
+        twice, here and by the lookup: keep a costly batch in memory.
+        """
+        asked = keys.select(F.col(f"`{keys.columns[0]}`").cast("string").alias("id"))
+        return self._columns(self._live(table=name, asked=asked), columns)
+
+    def _columns(self, live: DataFrame | None, columns: list[str]) -> DataFrame:
         others = [c for c in columns if c.lower() != "id"]
-        live = self._live(table=name)
         if live is None:
             schema = ", ".join(f"`{c}` STRING" for c in ["ID", *[c.upper() for c in others]])
             return self.spark.createDataFrame([], schema)
         return live.selectExpr("id AS `ID`", *[f"try_element_at(data, '{c}') AS `{c.upper()}`" for c in others])
 
-
     def tables(self, rules: DataFrame) -> dict[str, DataFrame]:
         """Every dimension table the rules call for, by name: a table per rule, made without code of its own.
 
@@ -154,6 +184,18 @@ class DimensionStore:
         return made
 
 
+@dataclass(frozen=True)
+class StoredDimension:
+    """One dimension of a store, read when a lookup asks: `near` gives the buckets of the keys asked for."""
+
+    store: DimensionStore
+    name: str
+    columns: list[str]
+
+    def near(self, keys: DataFrame) -> DataFrame:
+        return self.store.near(self.name, self.columns, keys)
+
+
 def table_columns(rules: DataFrame) -> DataFrame:
     """Columns of the dimension tables the rules call for, as rows.
 

@@ -2,6 +2,7 @@
 
 import json
 from collections import Counter
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from brookhouse.operators import parse_fields, repair_new_flag
 from brookhouse.plans import stream_jobs
 from brookhouse.schemas import REFUND_SCHEMA, TOPICS
 from brookhouse.sources import Topics, folders
-from brookhouse.streaming import LateRows, repair_new_flag_stream
+from brookhouse.streaming import LateRows, StatsTable, repair_new_flag_stream
 from test_streams import BASE, DAY, House, log
 
 
@@ -19,6 +20,15 @@ def house(spark, tmp_path):
     return House(spark, tmp_path)
 
 
+@pytest.fixture
+def two_partitions(spark):
+    """A state partition costs a Python worker per micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def read_stream(spark, frame, folder):
     """All rows that a stream reader of a topic has seen so far."""
     writer = frame.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck")
@@ -128,3 +138,32 @@ def test_numbers_of_facts_that_cannot_be_read_are_rejected(spark):
     found = parse_fields(spark.createDataFrame([(x,) for x in lines], "value string"), REFUND_SCHEMA, times=("create_time",))
     assert sorted((r.sku_id or 0, r.order_id or 0, str(r.refund_amount)) for r in found.rows.collect()) == [(0, 0, "None"), (1, 2, "12.50")]
     assert Counter(r.reason for r in found.rejects.collect()) == {"number": 2, "time": 1, "json": 2}
+
+
+def test_a_mirrored_table_takes_back_what_it_replaces(house, two_partitions):
+    """Changes out of order, twice, and older than a delete, over restarts: rows and totals are those of the table."""
+    def envelope(op, ts, key, value):
+        row = None if key is None else {"id": key, "value": value}
+        return {"source": {"db": "d", "table": "t"}, "op": op, "ts_ms": ts, "before": row if op == "d" else None, "after": None if op == "d" else row}
+
+    batches = [
+        [envelope("c", 1, "a", "1.50"), envelope("u", 3, "a", "3"), envelope("c", 1, "b", None), envelope("c", 2, None, None)],
+        [envelope("u", 2, "a", "2"), envelope("d", 5, "b", None), envelope("r", 1, "c", "x"), {**envelope("c", 1, "z", "9"), "source": {"db": "d", "table": "other"}}],
+        [envelope("u", 4, "b", "4"), envelope("u", 3, "a", "3"), envelope("u", 9, "c", "7"), envelope("d", None, "a", None)],
+        [envelope("c", 6, "b", "6"), envelope("u", 6, "b", "5"), envelope("u", 9, "c", "8"), envelope("d", 9, "c", None)],
+    ]
+    columns = {"id": "string", "value": "decimal(16,2)"}
+    totals = StatsTable(house.spark, f"{house.house.checkpoints}/out", ("all", "ct", "value"))
+    want = [{"a": "3.00", "b": None}, {"a": "3.00", "c": None}, {"a": "3.00", "c": "7.00"}, {"a": "3.00", "b": "6.00"}]
+    for number, lines in enumerate(batches):
+        house.feed("envelopes", lines)
+        house.run(stream_jobs.mirrored_table(house.house, "envelopes", "mirror", "d", "t", columns, "id", timedelta(days=2)))
+        found = house.topics.table("mirror").select(F.from_json("value", "id STRING, value DECIMAL(16,2), weight BIGINT").alias("v")).select("v.*")
+        rows = {(r.id, None if r.value is None else str(r.value)): r.n for r in found.groupBy("id", "value").agg(F.sum("weight").alias("n")).collect() if r.n}
+        assert rows == {row: 1 for row in want[number].items()}
+        house.run(stream_jobs.mirrored_totals(house.house, "mirror", "id STRING, value DECIMAL(16,2), weight BIGINT", {"all": "1"}, {"value": "value"}, totals))
+        got = totals.latest(["all"]).first()
+        values = [float(v) for v in want[number].values() if v is not None]
+        assert (got.ct, float(got.value)) == (len(want[number]), sum(values))
+    # Five rows came and three of them went.
+    assert found.count() == 8

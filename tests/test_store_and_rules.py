@@ -1,9 +1,11 @@
 """The dimension store over many batches, folds and retries; rules that come after their rows."""
 
 import pytest
+from pyspark.sql import Row
 
+from brookhouse.operators import by_id
 from brookhouse.schemas import RULE_COLUMNS
-from brookhouse.sources import DimensionStore, RuleLog, WaitingRows, folders
+from brookhouse.sources import DimensionStore, RuleLog, StoredDimension, WaitingRows, folders
 
 DIM = "type string, data map<string,string>, sink_table string, sink_pk string, seq bigint"
 
@@ -110,3 +112,37 @@ def test_rows_wait_for_their_rule(spark, tmp_path):
     assert route(3) == [[("dwd_b", "2"), ("dwd_b", "5")]] * 2
     assert route(4, ("a", 6), ("b", 7)) == [[("dwd_b", "7")]] * 2
     assert left() == [("a", "6"), ("c", "4")]
+
+
+def test_a_lookup_by_key_reads_its_buckets_only(spark, tmp_path):
+    store = DimensionStore(spark, str(tmp_path / "dims"), buckets=8)
+    keys = [str(n) for n in range(200)] + ["007x", "0300", " 301"]
+    store.apply(batch(spark, *[("insert", k, f"v{k}") for k in keys]), 0, sequence="seq")
+    near = lambda *asked: store.near("dim_a", ["id", "v"], spark.createDataFrame([(k,) for k in asked], "k bigint"))
+    assert near(3).count() == len(keys)  # not folded yet
+    store.compact(0)
+    store.apply(batch(spark, ("update", "3", "new"), ("delete", "5", None), ("insert", "999", "late")), 1, sequence="seq")
+    everything = read(store)
+    for asked in ((3, 5, 7), (300, 301), (999,), (12345,), (None,), ()):
+        rows = near(*asked)
+        got = {r.ID: r.V for r in rows.collect()}
+        assert len(got) < len(everything) and got.items() <= everything.items()
+        number = lambda k: int(k) if k.strip().isdigit() else None
+        assert {k for k in everything if number(k) in asked and number(k) is not None} <= set(got)
+    plan = near(3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and any("bucket" in part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:])
+
+    facts = spark.createDataFrame([(3,), (5,), (300,), (None,)], "k bigint")
+    found = by_id(facts, StoredDimension(store, "dim_a", ["id", "v"]), "k", {"v": "V"}, few=True)
+    assert sorted(map(str, found.collect())) == sorted(map(str, [Row(k=3, v="new"), Row(k=5, v=None), Row(k=300, v="v0300"), Row(k=None, v=None)]))
+    # The few keys are broadcast to the rows of the dimension, which meet them before any shuffle.
+    batch_rows = facts.persist()
+    found = by_id(batch_rows, StoredDimension(store, "dim_a", ["id", "v"]), "k", {"v": "V"}, few=True)
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin [_key0" in final
+    batch_rows.unpersist()
+    # A base has its own number of buckets, whatever the store is set to now.
+    other = DimensionStore(spark, store.root, buckets=3)
+    other.compact(1)
+    assert {r.ID: r.V for r in store.near("dim_a", ["id", "v"], facts).collect()}["3"] == "new" and read(store) == everything
