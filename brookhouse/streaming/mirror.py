@@ -73,7 +73,8 @@ def mirrored_stream(
 
     The integer columns of `sequence` order the changes of a key, in whatever order and however often they arrive: older
     ones and repeats give nothing. Among equal ones a delete counts as the last, else the row whose text is greater. A key
-    costs one row of state; that of a deleted key goes `forget_deleted` (of the clock) after its delete, if given.
+    costs one row of state; that of a deleted key goes `forget_deleted` (of the clock) after its delete, if given. With that, Spark
+    plans batches without rows for ever: such a job is for a trigger that goes on, not for `availableNow`.
     """
     keyed = changes_of(changes, database, table, key)
     gone = F.col("type") == "delete"

@@ -48,7 +48,8 @@ def repair_new_flag_stream(df: DataFrame, device: str, flag: str, day: Column, f
 
     The first flagged day is the least one of the micro-batch that brings the device; it never changes afterwards.
     Flagged rows with a device meet its state, one date per device; all others pass by it. With `forget_after`, a device whose state was
-    not set within that time (of the clock) is forgotten and counts as new again. To be run in append mode.
+    not set within that time (of the clock) is forgotten and counts as new again; Spark then plans batches without
+    rows for ever, so the trigger must be one that goes on, not `availableNow`. To be run in append mode.
     """
     flagged = F.coalesce((F.col(f"`{flag}`") == "1") & F.col(f"`{device}`").isNotNull(), F.lit(False))
     ttl = None if forget_after is None else int(forget_after.total_seconds() * 1000)

@@ -2,7 +2,6 @@
 
 import json
 from collections import Counter
-from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,7 +156,7 @@ def test_a_mirrored_table_takes_back_what_it_replaces(house, two_partitions):
     want = [{"a": "3.00", "b": None}, {"a": "3.00", "c": None}, {"a": "3.00", "c": "7.00"}, {"a": "3.00", "b": "6.00"}]
     for number, lines in enumerate(batches):
         house.feed("envelopes", lines)
-        house.run(stream_jobs.mirrored_table(house.house, "envelopes", "mirror", "d", "t", columns, "id", timedelta(days=2)))
+        house.run(stream_jobs.mirrored_table(house.house, "envelopes", "mirror", "d", "t", columns, "id"))
         found = house.topics.table("mirror").select(F.from_json("value", "id STRING, value DECIMAL(16,2), weight BIGINT").alias("v")).select("v.*")
         rows = {(r.id, None if r.value is None else str(r.value)): r.n for r in found.groupBy("id", "value").agg(F.sum("weight").alias("n")).collect() if r.n}
         assert rows == {row: 1 for row in want[number].items()}
