@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .common import stored
+
 ORDER = 3
 UNKNOWN = "und"
 SLICE = 1 << 20
@@ -198,22 +200,30 @@ def _loaded(key: int, model: Model) -> Tables:
     return _tables[key]
 
 
+def _by_name(values: dict[str, int]) -> Column:
+    """The value of the row's language."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair]), F.col("lang"))
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_chars: int = 150_000) -> Model:
     """The model of the languages in `labelled`; rows without a text or a language teach nothing."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(
         F.col("lang").isNotNull() & (F.length("text") > 0) & (F.col("lang") != UNKNOWN))
     rows = rows.select("lang", "text", F.least(F.length("text"), F.lit(sample_chars)).alias("n"), F.xxhash64("text").alias("h"))
-    # Equal texts count once. Only numbers are ranked, at most MOST per language, and Spark limits
-    # the rank before the shuffle; the texts themselves are fetched by their hash afterwards.
+    # Equal texts count once. Hashes are uniform, so the MOST smallest of a language lie below a bound that its number of texts
+    # gives (all but with a chance under 1e-100). Only what lies below it, some 2 * MOST numbers, is ranked, so no task ranks a
+    # whole language; the texts themselves are fetched by their hash afterwards.
+    found = stored(rows.groupBy("lang", "h").agg(F.max("n").alias("n")), "hashes")
+    counts = {r["lang"]: r["count"] for r in found.groupBy("lang").count().collect()}
+    if not counts:
+        return Model({})
+    bounds = {name: -2**63 + 2**65 * MOST // n if n > 2 * MOST else 2**63 - 1 for name, n in counts.items()}
     order = W.partitionBy("lang").orderBy("h")
-    slim = rows.groupBy("lang", "h").agg(F.max("n").alias("n")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= MOST)
+    slim = found.filter(F.col("h") <= _by_name(bounds)).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= MOST)
     slim = slim.withColumn("before", F.sum("n").over(order) - F.col("n")).filter(F.col("before") < sample_chars)
     # One number per language comes to the driver, as the model will; a scan then finds the texts below it.
     ends = {r["lang"]: r["end"] for r in slim.groupBy("lang").agg(F.max("h").alias("end")).collect()}
-    if not ends:
-        return Model({})
-    end = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(ends.items()) for x in pair]), F.col("lang"))
-    part = rows.filter(F.col("h") <= end).groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
+    part = rows.filter(F.col("h") <= _by_name(ends)).groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
     samples: dict[str, list[bytes]] = {}
     room: dict[str, int] = {}
     # Fewer than 2 * sample_chars characters per language.

@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from brookhouse.llm import extract, gru, labeller, langid, quality, toxicity
 from brookhouse.llm.blocks import blocks
@@ -105,6 +107,20 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_sample_is_the_smallest_hashes(spark, monkeypatch):
+    """With a bound on the ranked hashes the sample is that of ranking all, copies counted once."""
+    monkeypatch.setattr(langid, "MOST", 200)
+    rows = [(f"{lang} {i % n} text", lang) for lang, n, copies in (("en", 3000, 2), ("de", 150, 3)) for i in range(n * copies)]
+    frame = spark.createDataFrame(rows, "text string, lang string").withColumn("h", F.xxhash64("text"))
+    taken = []
+    monkeypatch.setattr(langid, "Model", lambda samples: taken.append(samples))
+    langid.train(frame)
+    want = {}
+    for r in frame.distinct().orderBy("h").collect():
+        want.setdefault(r.lang, []).append(r.text.encode())
+    assert taken == [{"en": want["en"][:200], "de": want["de"]}]
+
+
 def test_language_odd(odd):
     model = langid.train(odd, sample_chars=500)
     rows = langid.identify(clashing(odd, "row", "letters", "language"), model).collect()
