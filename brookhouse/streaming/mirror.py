@@ -18,45 +18,51 @@ from ..operators.changes import changes_of
 WEIGHT = "weight"
 
 
-class _Versions(StatefulProcessor):
-    """Versions of one key, `(at, gone, row)`. The state is the last of them; a change of it gives out both rows.
-
-    A deleted key leaves only its `at`, so that a version older than the delete does not bring the row back.
-    """
-
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getValueState("live", "at STRING, row STRING")
-        self.dead = handle.getValueState("dead", "at STRING", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = None
-        if self.live.exists():
-            at, row = self.live.get()
-            before = (at, False, row)
-        elif self.dead.exists():
-            before = (self.dead.get()[0], True, "")
-        last = before
-        for part in rows:
-            best = max(zip(part["at"], part["gone"].astype(bool), part["row"], strict=True))
-            last = best if last is None else max(last, best)
-        if last != before:
-            if last[1]:
-                self.live.clear()
-                self.dead.update((last[0],))
-            else:
-                self.dead.clear()
-                self.live.update((last[0], last[2]))
-        old = [before[2]] if before is not None and not before[1] else []
-        new = [] if last[1] else [last[2]]
-        if old == new:
-            old, new = [], []
-        yield pd.DataFrame({"row": pd.Series(old + new, dtype=object), WEIGHT: pd.Series([-1] * len(old) + [1] * len(new), dtype="int64")})
-
-    def close(self) -> None:
-        pass
+def _versions(ttl_ms: int | None) -> StatefulProcessor:
+    """A processor made in a function goes to Python workers by value: this package need not be installed there."""
+    weight = WEIGHT
+
+    class Versions(StatefulProcessor):
+        """Versions of one key, `(at, gone, row)`. The state is the last of them; a change of it gives out both rows.
+
+        A deleted key leaves only its `at`, so that a version older than the delete does not bring the row back.
+        """
+
+        def __init__(self, ttl_ms: int | None):
+            self.ttl_ms = ttl_ms
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.live = handle.getValueState("live", "at STRING, row STRING")
+            self.dead = handle.getValueState("dead", "at STRING", self.ttl_ms)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            before = None
+            if self.live.exists():
+                at, row = self.live.get()
+                before = (at, False, row)
+            elif self.dead.exists():
+                before = (self.dead.get()[0], True, "")
+            last = before
+            for part in rows:
+                best = max(zip(part["at"], part["gone"].astype(bool), part["row"], strict=True))
+                last = best if last is None else max(last, best)
+            if last != before:
+                if last[1]:
+                    self.live.clear()
+                    self.dead.update((last[0],))
+                else:
+                    self.dead.clear()
+                    self.live.update((last[0], last[2]))
+            old = [before[2]] if before is not None and not before[1] else []
+            new = [] if last[1] else [last[2]]
+            if old == new:
+                old, new = [], []
+            yield pd.DataFrame({"row": pd.Series(old + new, dtype=object), weight: pd.Series([-1] * len(old) + [1] * len(new), dtype="int64")})
+
+        def close(self) -> None:
+            pass
+
+    return Versions(ttl_ms)
 
 
 def _place(sequence: list[str]) -> Column:
@@ -83,7 +89,7 @@ def mirrored_stream(
         "_key", _place(sequence).alias("at"), F.coalesce(gone, F.lit(False)).alias("gone"), F.when(gone, "").otherwise(row).alias("row"))
     ttl = None if forget_deleted is None else int(forget_deleted.total_seconds() * 1000)
     found = versions.groupBy("_key").transformWithStateInPandas(
-        statefulProcessor=_Versions(ttl), outputStructType=f"row STRING, {WEIGHT} BIGINT", outputMode="Append",
+        statefulProcessor=_versions(ttl), outputStructType=f"row STRING, {WEIGHT} BIGINT", outputMode="Append",
         timeMode="None" if ttl is None else "ProcessingTime")
     values = found.select(F.from_json("row", "array<string>").alias("v"), WEIGHT)
     return values.select(*[F.get("v", F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(columns.items())], WEIGHT)

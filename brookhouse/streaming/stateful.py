@@ -15,32 +15,37 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 
-class _FirstDay(StatefulProcessor):
-    """Rows of one device, their day in the last column, get their flag reset on days other than the first flagged one."""
-
-    def __init__(self, flag: str, ttl_ms: int | None):
-        self.flag, self.ttl_ms = flag, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first_day", "day DATE", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.first.exists():
-            first = self.first.get()[0]
-        else:
-            # The first micro-batch of a device: its first day is the least of all its rows.
-            rows = list(rows)
-            days = [d for part in rows for d in part.iloc[:, -1].dropna()]
-            first = min(days, default=None)
-            if days:
-                self.first.update((first,))
-        for part in rows:
-            day, out = part.iloc[:, -1], part.iloc[:, :-1].copy()
-            out[self.flag] = out[self.flag].where(day.isna() | (day == first), "0")
-            yield out
-
-    def close(self) -> None:
-        pass
+def _first_day(flag: str, ttl_ms: int | None) -> StatefulProcessor:
+    """A processor made in a function goes to Python workers by value: this package need not be installed there."""
+
+    class FirstDay(StatefulProcessor):
+        """Rows of one device, their day in the last column, get their flag reset on days other than the first flagged one."""
+
+        def __init__(self, flag: str, ttl_ms: int | None):
+            self.flag, self.ttl_ms = flag, ttl_ms
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.first = handle.getValueState("first_day", "day DATE", self.ttl_ms)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            if self.first.exists():
+                first = self.first.get()[0]
+            else:
+                # The first micro-batch of a device: its first day is the least of all its rows.
+                rows = list(rows)
+                days = [d for part in rows for d in part.iloc[:, -1].dropna()]
+                first = min(days, default=None)
+                if days:
+                    self.first.update((first,))
+            for part in rows:
+                day, out = part.iloc[:, -1], part.iloc[:, :-1].copy()
+                out[self.flag] = out[self.flag].where(day.isna() | (day == first), "0")
+                yield out
+
+        def close(self) -> None:
+            pass
+
+    return FirstDay(flag, ttl_ms)
 
 
 def repair_new_flag_stream(df: DataFrame, device: str, flag: str, day: Column, forget_after: timedelta | None = None) -> DataFrame:
@@ -58,61 +63,66 @@ def repair_new_flag_stream(df: DataFrame, device: str, flag: str, day: Column, f
     name = {c: f"c{i}" for i, c in enumerate(df.columns)}
     rows = df.filter(flagged).select(*placed, day.alias("day"))
     fixed = rows.groupBy(name[device]).transformWithStateInPandas(
-        statefulProcessor=_FirstDay(name[flag], ttl), outputStructType=StructType(rows.schema.fields[:-1]), outputMode="Append",
+        statefulProcessor=_first_day(name[flag], ttl), outputStructType=StructType(rows.schema.fields[:-1]), outputMode="Append",
         timeMode="None" if ttl is None else "ProcessingTime")
     return fixed.toDF(*df.columns).unionByName(df.filter(~flagged))
 
 
-class _Quiet(StatefulProcessor):
-    """Entry rows of one device after which nothing happens within the timeout.
+def _quiet(schema: StructType, time: int, order: list[int], timeout_ms: int) -> StatefulProcessor:
+    """Made in a function for the reason given at `_first_day`."""
 
-    Input columns: the event time, those to give out, the time in epoch microseconds and the entry mark. Rows wait in a
-    list, without the first column, until the watermark is the timeout past them, when every row that could follow has come.
-    """
+    class Quiet(StatefulProcessor):
+        """Entry rows of one device after which nothing happens within the timeout.
+
+        Input columns: the event time, those to give out, the time in epoch microseconds and the entry mark. Rows wait in a
+        list, without the first column, until the watermark is the timeout past them, when every row that could follow has come.
+        """
+
+        def __init__(self, schema: StructType, time: int, order: list[int], timeout_ms: int):
+            self.schema, self.time, self.order, self.timeout_ms = schema, time, order, timeout_ms
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", self.schema)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            least = None
+            for part in rows:
+                found = [tuple(v.item() if hasattr(v, "item") else v for v in r) for r in part.iloc[:, 1:].itertuples(index=False, name=None)]
+                found = [tuple(None if v is pd.NaT or v != v else v for v in r) for r in found]
+                self.waiting.appendList(found)
+                times = [r[self.time] for r in found]
+                least = min(times) if least is None else min(least, *times)
+            if least is not None:
+                self._wake(least)
+            yield self._out([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            settled = timerValues.getCurrentWatermarkInMs() * 1000 - self.timeout_ms * 1000
+            rows = sorted(self.waiting.get(), key=lambda r: (r[self.time], *[(r[i] is not None, r[i]) for i in self.order]))
+            bounces, left = [], []
+            for row, after in zip(rows, [*rows[1:], None], strict=False):
+                if row[self.time] > settled:
+                    left.append(row)
+                elif row[-1] and (after is None or after[self.time] >= row[self.time] + self.timeout_ms * 1000):
+                    bounces.append(row)
+            if left:
+                self.waiting.put(left)
+                self._wake(left[0][self.time])
+            else:
+                self.waiting.clear()
+            yield self._out(bounces)
+
+        def _wake(self, time_us: int) -> None:
+            self.handle.registerTimer(time_us // 1000 + self.timeout_ms + 1)
+
+        def _out(self, rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame([r[:-1] for r in rows], columns=self.schema.names[:-1])
+
+        def close(self) -> None:
+            pass
 
-    def __init__(self, schema: StructType, time: int, order: list[int], timeout_ms: int):
-        self.schema, self.time, self.order, self.timeout_ms = schema, time, order, timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        least = None
-        for part in rows:
-            found = [tuple(v.item() if hasattr(v, "item") else v for v in r) for r in part.iloc[:, 1:].itertuples(index=False, name=None)]
-            found = [tuple(None if v is pd.NaT or v != v else v for v in r) for r in found]
-            self.waiting.appendList(found)
-            times = [r[self.time] for r in found]
-            least = min(times) if least is None else min(least, *times)
-        if least is not None:
-            self._wake(least)
-        yield self._out([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        settled = timerValues.getCurrentWatermarkInMs() * 1000 - self.timeout_ms * 1000
-        rows = sorted(self.waiting.get(), key=lambda r: (r[self.time], *[(r[i] is not None, r[i]) for i in self.order]))
-        bounces, left = [], []
-        for row, after in zip(rows, [*rows[1:], None], strict=False):
-            if row[self.time] > settled:
-                left.append(row)
-            elif row[-1] and (after is None or after[self.time] >= row[self.time] + self.timeout_ms * 1000):
-                bounces.append(row)
-        if left:
-            self.waiting.put(left)
-            self._wake(left[0][self.time])
-        else:
-            self.waiting.clear()
-        yield self._out(bounces)
-
-    def _wake(self, time_us: int) -> None:
-        self.handle.registerTimer(time_us // 1000 + self.timeout_ms + 1)
-
-    def _out(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([r[:-1] for r in rows], columns=self.schema.names[:-1])
-
-    def close(self) -> None:
-        pass
+    return Quiet(schema, time, order, timeout_ms)
 
 
 def bounces_by_timer(
@@ -127,7 +137,7 @@ def bounces_by_timer(
     placed = df.withWatermark(time, delay).select(
         time, *others, F.unix_micros(time).alias("time_us"), F.coalesce(entry, F.lit(False)).alias("is_entry"))
     kept = StructType(placed.schema.fields[1:])
-    processor = _Quiet(kept, kept.names.index("time_us"), [kept.names.index(c) for c in order], timeout_seconds * 1000)
+    processor = _quiet(kept, kept.names.index("time_us"), [kept.names.index(c) for c in order], timeout_seconds * 1000)
     found = placed.groupBy(device).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=StructType(kept.fields[:-1]), outputMode="Append", timeMode="EventTime")
     return found.select(*[F.timestamp_micros("time_us").alias(c) if c == time else F.col(c) for c in df.columns])
