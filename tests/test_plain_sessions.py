@@ -43,7 +43,7 @@ def test_keyed_state_runs_in_a_session_with_the_default_state_store(spark, tmp_p
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     try:
         found = replay(spark, Played(path, "ts", {"kind": "close"}), lambda events: bounces_by_timer(
-            events, "device", "ts", [], F.col("kind") == "in", 10, "1 second"))
+            events, "device", "ts", [], F.col("kind") == "in", 10, "1 second"), keyed=True)
         assert sorted((r.device, (r.ts - start).seconds) for r in found.collect()) == [(1, 100), (2, 0)]
         assert "HDFSBacked" in spark.conf.get(PROVIDER)
     finally:
