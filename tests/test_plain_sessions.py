@@ -12,6 +12,8 @@ from pyspark.sql.types import BooleanType, LongType, StructType
 
 from brookhouse.streaming import bounces_by_timer
 from brookhouse.streaming.mirror import _versions
+from brookhouse.plans import catalog
+from brookhouse.streaming import replay as replays
 from brookhouse.streaming.replay import Played, replay
 from brookhouse.streaming.stateful import _first_day, _quiet
 
@@ -49,3 +51,16 @@ def test_keyed_state_runs_in_a_session_with_the_default_state_store(spark, tmp_p
     finally:
         spark.conf.set(PROVIDER, ours)
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_a_join_in_step_keeps_the_rows_of_its_interval_only(spark, tmp_path, monkeypatch):
+    days = spark.range(2000).selectExpr("id", "timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(int(id)) AS at")
+    days.selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "1.0D AS o_totalprice", "at AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    days.selectExpr("id AS l_orderkey", "id AS l_partkey", "1 AS l_linenumber", "2.0D AS l_extendedprice", "at AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    folder = f"{tmp_path}/run"
+    monkeypatch.setattr(replays, "working_dir", lambda *_: folder)
+    found = catalog.QUERIES["stream_interval_join"](spark, str(tmp_path))
+    assert found.count() == 2000
+    states = [spark.read.format("statestore").option("joinSide", side).load(f"{folder}/checkpoint").count() for side in ("left", "right")]
+    # Two copies of 2000 orders, and 2000 lines, would be there if none went; the last slice and 120 days before it may be.
+    assert 0 < states[0] < 2 * 800 and 0 < states[1] < 800
