@@ -321,3 +321,27 @@ def test_shingle_cells_are_bounded(spark, monkeypatch):
     # Blocks are dealt by hash, so they are uneven.
     sizes = [r["count"] for c in cells for r in c.groupBy(*[n for n in c.columns if n not in ("c", "ask")]).count().collect()]
     assert len(sizes) > 50 and max(sizes) <= 6 * 8
+
+
+def test_suffix_query_on_planted_passages(spark, tmp_path):
+    """Passages of over 50 words go from 400 bytes on, everywhere they stand; shorter ones and clean texts stay."""
+    def words(seed, n, size):
+        rng = np.random.default_rng(seed)
+        return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé"), size)) for _ in range(n))
+
+    long, short = words(1, 70, 7), words(2, 80, 6).replace("é", "e")[:399]
+    assert len(long.split()) > 50 < len(short.split()) and len(long.encode()) > 400 and len(short.encode()) == 399
+    clean = [words(10 + i, 150, 6) for i in range(6)]
+    # Unlike letters beside the passages, so that none reaches further.
+    texts = [f"{c[:300]}{'ABCDEF'[i]}{p}{'KLMNOP'[i]}{c[300:]}" for i, (c, p) in enumerate(zip(clean, [long, long, long, short, short, ""], strict=True))]
+    # With the same bytes before it, the short passage reaches 400.
+    texts += [f"{words(30, 90, 6)} X{short}Y {words(31, 90, 6)}", f"{words(32, 90, 6)} X{short}Z {words(33, 90, 6)}", None, ""]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in entry.queries()["op6_suffix_dedup"](spark, str(tmp_path)).collect()}
+    gone = [long] * 3 + [""] * 3 + [f" X{short}"] * 2 + [""] * 2
+    for i, (text, lost, truth) in enumerate(zip(texts, gone, suffix_truth(texts, 400), strict=True)):
+        r, text = got[i], text or ""
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == truth
+        assert (r.n_removed, r.n_chars) == (len(lost.encode()), len(text) - len(lost))
+    assert len(got) == len(texts)
