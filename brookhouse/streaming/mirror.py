@@ -17,47 +17,56 @@ from ..operators.changes import changes_of
 
 WEIGHT = "weight"
 
+# A call of Python per key costs milliseconds; it takes the keys of a bucket together. Their state stays one entry per key.
+BUCKETS = 1024
+
 
 def _versions(ttl_ms: int | None) -> StatefulProcessor:
     """A processor made in a function goes to Python workers by value: this package need not be installed there."""
     weight = WEIGHT
 
     class Versions(StatefulProcessor):
-        """Versions of one key, `(at, gone, row)`. The state is the last of them; a change of it gives out both rows.
+        """Versions `(key, at, gone, row)` of the keys of one bucket. The state is the last one of each key; a change of it gives out both rows.
 
-        A deleted key leaves only its `at`, so that a version older than the delete does not bring the row back.
+        A micro-batch reads and writes the keys of its own rows. A deleted key leaves only its `at`, so that a version older than the delete does
+        not bring the row back.
         """
 
         def __init__(self, ttl_ms: int | None):
             self.ttl_ms = ttl_ms
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.live = handle.getValueState("live", "at STRING, row STRING")
-            self.dead = handle.getValueState("dead", "at STRING", self.ttl_ms)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            before = None
-            if self.live.exists():
-                at, row = self.live.get()
-                before = (at, False, row)
-            elif self.dead.exists():
-                before = (self.dead.get()[0], True, "")
-            last = before
+            self.live = handle.getMapState("live", "key STRING", "at STRING, row STRING")
+            self.dead = handle.getMapState("dead", "key STRING", "at STRING", self.ttl_ms)
+
+        def handleInputRows(self, bucket, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            best = {}
             for part in rows:
-                best = max(zip(part["at"], part["gone"].astype(bool), part["row"], strict=True))
-                last = best if last is None else max(last, best)
-            if last != before:
-                if last[1]:
-                    self.live.clear()
-                    self.dead.update((last[0],))
+                for key, *version in zip(part["key"], part["at"], part["gone"].astype(bool), part["row"], strict=True):
+                    best[key] = max(best.get(key, version), version)
+            out, weights = [], []
+            for key, (at, gone, row) in best.items():
+                live = self.live.getValue((key,))
+                dead = None if live is not None else self.dead.getValue((key,))
+                if live is not None:
+                    before = [live[0], False, live[1]]
+                else:
+                    before = None if dead is None else [dead[0], True, ""]
+                if before is not None and [at, gone, row] <= before:
+                    continue
+                if gone:
+                    if live is not None:
+                        self.live.removeKey((key,))
+                    self.dead.updateValue((key,), (at,))
                 else:
-                    self.dead.clear()
-                    self.live.update((last[0], last[2]))
-            old = [before[2]] if before is not None and not before[1] else []
-            new = [] if last[1] else [last[2]]
-            if old == new:
-                old, new = [], []
-            yield pd.DataFrame({"row": pd.Series(old + new, dtype=object), weight: pd.Series([-1] * len(old) + [1] * len(new), dtype="int64")})
+                    if dead is not None:
+                        self.dead.removeKey((key,))
+                    self.live.updateValue((key,), (at, row))
+                old, new = [live[1]] if live is not None else [], [] if gone else [row]
+                if old != new:
+                    out += old + new
+                    weights += [-1] * len(old) + [1] * len(new)
+            yield pd.DataFrame({"row": pd.Series(out, dtype=object), weight: pd.Series(weights, dtype="int64")})
 
         def close(self) -> None:
             pass
@@ -86,9 +95,10 @@ def mirrored_stream(
     gone = F.col("type") == "delete"
     row = F.to_json(F.array(*[F.try_element_at("data", F.lit(name)) for name in columns]))
     versions = keyed.select(
-        "_key", _place(sequence).alias("at"), F.coalesce(gone, F.lit(False)).alias("gone"), F.when(gone, "").otherwise(row).alias("row"))
+        F.col("_key").alias("key"), _place(sequence).alias("at"), F.coalesce(gone, F.lit(False)).alias("gone"), F.when(gone, "").otherwise(row).alias("row"))
     ttl = None if forget_deleted is None else int(forget_deleted.total_seconds() * 1000)
-    found = versions.groupBy("_key").transformWithStateInPandas(
+    bucketed = versions.select(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket"), *versions.columns)
+    found = bucketed.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_versions(ttl), outputStructType=f"row STRING, {WEIGHT} BIGINT", outputMode="Append",
         timeMode="None" if ttl is None else "ProcessingTime")
     values = found.select(F.from_json("row", "array<string>").alias("v"), WEIGHT)

@@ -10,6 +10,7 @@ from brookhouse.operators import parse_fields, repair_new_flag
 from brookhouse.plans import stream_jobs
 from brookhouse.schemas import REFUND_SCHEMA, TOPICS
 from brookhouse.sources import Topics, folders
+from brookhouse.streaming import mirror
 from brookhouse.streaming import LateRows, StatsTable, repair_new_flag_stream
 from test_streams import BASE, DAY, House, log
 
@@ -166,3 +167,21 @@ def test_a_mirrored_table_takes_back_what_it_replaces(house, two_partitions):
         assert (got.ct, float(got.value)) == (len(want[number]), sum(values))
     # Five rows came and three of them went.
     assert found.count() == 8
+
+
+def test_a_mirror_takes_the_keys_of_a_bucket_together_and_keeps_each_apart(house, two_partitions):
+    """Python is called per bucket, not per key; the state is one row per key, live or deleted."""
+    def envelope(op, ts, key):
+        row = {"id": key, "value": str(ts)}
+        return {"source": {"db": "d", "table": "t"}, "op": op, "ts_ms": ts, "before": row if op == "d" else None, "after": None if op == "d" else row}
+
+    keys = [f"k{i}" for i in range(1500)]
+    for lines in ([envelope("c", 1, k) for k in keys], [envelope("d" if i % 3 == 0 else "u", 2, k) for i, k in enumerate(keys)]):
+        house.feed("envelopes", lines)
+        house.run(stream_jobs.mirrored_table(house.house, "envelopes", "mirror", "d", "t", {"id": "string", "value": "int"}, "id"))
+    found = house.topics.table("mirror").select(F.from_json("value", "id STRING, value INT, weight BIGINT").alias("v")).select("v.*")
+    rows = {(r.id, r.value) for r in found.groupBy("id", "value").agg(F.sum("weight").alias("n")).filter("n <> 0").collect()}
+    assert rows == {(k, 2) for i, k in enumerate(keys) if i % 3}
+    of = lambda name: house.spark.read.format("statestore").option("stateVarName", name).load(house.house.checkpoint("mirror_mirror"))
+    assert (of("live").count(), of("dead").count()) == (1000, 500)
+    assert of("live").select("key").distinct().count() <= mirror.BUCKETS < 1500
