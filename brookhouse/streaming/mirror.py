@@ -14,12 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.changes import changes_of
+from .stateful import BUCKETS
 
 WEIGHT = "weight"
 
-# A call of Python per key costs milliseconds; it takes the keys of a bucket together. Their state stays one entry per key.
-BUCKETS = 1024
-
 
 def _versions(ttl_ms: int | None) -> StatefulProcessor:
     """A processor made in a function goes to Python workers by value: this package need not be installed there."""

@@ -6,6 +6,7 @@ many devices the stream has seen. Arrow batches go to Python; no row is handled
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+# A call of Python per key costs milliseconds; where keys are many it takes those of a bucket together.
+BUCKETS = 1024
+
 
 def _first_day(flag: str, ttl_ms: int | None) -> StatefulProcessor:
     """A processor made in a function goes to Python workers by value: this package need not be installed there."""
@@ -68,49 +72,59 @@ def repair_new_flag_stream(df: DataFrame, device: str, flag: str, day: Column, f
     return fixed.toDF(*df.columns).unionByName(df.filter(~flagged))
 
 
-def _quiet(schema: StructType, time: int, order: list[int], timeout_ms: int) -> StatefulProcessor:
+def _quiet(schema: StructType, time: int, order: list[int], timeout_ms: int, device: int = 0) -> StatefulProcessor:
     """Made in a function for the reason given at `_first_day`."""
 
     class Quiet(StatefulProcessor):
-        """Entry rows of one device after which nothing happens within the timeout.
+        """Entry rows of the devices of one bucket after which nothing happens to the device within the timeout.
 
-        Input columns: the event time, those to give out, the time in epoch microseconds and the entry mark. Rows wait in a
-        list, without the first column, until the watermark is the timeout past them, when every row that could follow has come.
+        Input columns: the event time, those to give out, the time in epoch microseconds and the entry mark. Rows wait without
+        the first column, those of an Arrow batch packed as one entry of a list, until the watermark is the timeout past
+        them, when every row that could follow has come.
         """
 
-        def __init__(self, schema: StructType, time: int, order: list[int], timeout_ms: int):
-            self.schema, self.time, self.order, self.timeout_ms = schema, time, order, timeout_ms
+        def __init__(self, schema: StructType, time: int, order: list[int], timeout_ms: int, device: int):
+            self.schema, self.time, self.order, self.timeout_ms, self.device = schema, time, order, timeout_ms, device
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.waiting = handle.getListState("waiting", self.schema)
+            self.waiting = handle.getListState("waiting", "packed BINARY")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             least = None
             for part in rows:
-                found = [tuple(v.item() if hasattr(v, "item") else v for v in r) for r in part.iloc[:, 1:].itertuples(index=False, name=None)]
-                found = [tuple(None if v is pd.NaT or v != v else v for v in r) for r in found]
-                self.waiting.appendList(found)
-                times = [r[self.time] for r in found]
-                least = min(times) if least is None else min(least, *times)
+                columns = [part.iloc[:, i].tolist() for i in range(1, 1 + len(self.schema))]
+                plain = [[v.item() if hasattr(v, "item") else v for v in column] for column in columns]
+                found = list(zip(*[[None if v is pd.NaT or v != v else v for v in column] for column in plain], strict=True))
+                self.waiting.appendValue((pickle.dumps(found),))
+                first = min(r[self.time] for r in found)
+                least = first if least is None else min(least, first)
             if least is not None:
                 self._wake(least)
             yield self._out([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             settled = timerValues.getCurrentWatermarkInMs() * 1000 - self.timeout_ms * 1000
-            rows = sorted(self.waiting.get(), key=lambda r: (r[self.time], *[(r[i] is not None, r[i]) for i in self.order]))
-            bounces, left = [], []
-            for row, after in zip(rows, [*rows[1:], None], strict=False):
-                if row[self.time] > settled:
-                    left.append(row)
-                elif row[-1] and (after is None or after[self.time] >= row[self.time] + self.timeout_ms * 1000):
-                    bounces.append(row)
-            if left:
-                self.waiting.put(left)
-                self._wake(left[0][self.time])
-            else:
+            devices = {}
+            for (packed,) in self.waiting.get():
+                for row in pickle.loads(packed):
+                    devices.setdefault(row[self.device], []).append(row)
+            bounces, left, some = [], [], False
+            for rows in devices.values():
+                rows.sort(key=lambda r: (r[self.time], *[(r[i] is not None, r[i]) for i in self.order]))
+                for row, after in zip(rows, [*rows[1:], None], strict=False):
+                    if row[self.time] > settled:
+                        left.append(row)
+                        continue
+                    some = True
+                    if row[-1] and (after is None or after[self.time] >= row[self.time] + self.timeout_ms * 1000):
+                        bounces.append(row)
+            if some and left:
+                self.waiting.put([(pickle.dumps(left),)])
+            elif some:
                 self.waiting.clear()
+            if left:
+                self._wake(min(r[self.time] for r in left))
             yield self._out(bounces)
 
         def _wake(self, time_us: int) -> None:
@@ -122,22 +136,24 @@ def _quiet(schema: StructType, time: int, order: list[int], timeout_ms: int) ->
         def close(self) -> None:
             pass
 
-    return Quiet(schema, time, order, timeout_ms)
+    return Quiet(schema, time, order, timeout_ms, device)
 
 
 def bounces_by_timer(
     df: DataFrame, device: str, time: str, order: list[str], entry: Column, timeout_seconds: int, delay: str
 ) -> DataFrame:
-    """Bounces of a stream by pending rows and an event-time timer per device.
+    """Bounces of a stream by pending rows and event-time timers, for the devices of a bucket together.
 
-    A device holds the rows of its last timeout and delay only, in a list that timers clear behind the watermark. `device` and
+    A bucket holds the rows of its last timeout and delay only, in a list that timers clear behind the watermark. `device` and
     `order` are columns of plain types. A bounce comes out when the watermark is a timeout past it.
     """
     others = [c for c in df.columns if c != time]
     placed = df.withWatermark(time, delay).select(
         time, *others, F.unix_micros(time).alias("time_us"), F.coalesce(entry, F.lit(False)).alias("is_entry"))
     kept = StructType(placed.schema.fields[1:])
-    processor = _quiet(kept, kept.names.index("time_us"), [kept.names.index(c) for c in order], timeout_seconds * 1000)
-    found = placed.groupBy(device).transformWithStateInPandas(
+    processor = _quiet(
+        kept, kept.names.index("time_us"), [kept.names.index(c) for c in order], timeout_seconds * 1000, kept.names.index(device))
+    bucketed = placed.withColumn("_bucket", F.pmod(F.xxhash64(device), F.lit(BUCKETS)))
+    found = bucketed.groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=StructType(kept.fields[:-1]), outputMode="Append", timeMode="EventTime")
     return found.select(*[F.timestamp_micros("time_us").alias(c) if c == time else F.col(c) for c in df.columns])

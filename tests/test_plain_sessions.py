@@ -5,6 +5,7 @@ import os
 import subprocess
 import sys
 
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -64,3 +65,48 @@ def test_a_join_in_step_keeps_the_rows_of_its_interval_only(spark, tmp_path, mon
     states = [spark.read.format("statestore").option("joinSide", side).load(f"{folder}/checkpoint").count() for side in ("left", "right")]
     # Two copies of 2000 orders, and 2000 lines, would be there if none went; the last slice and 120 days before it may be.
     assert 0 < states[0] < 2 * 800 and 0 < states[1] < 800
+
+
+def test_timers_settle_the_devices_of_a_bucket_together_and_keep_each_apart():
+    """Rows of several devices wait in one list; what one device does ends no visit of another."""
+
+    class Handle:
+        """A list and the timers of one bucket."""
+
+        def __init__(self):
+            self.entries, self.timers = [], []
+
+        def getListState(self, *_):  # noqa: N802
+            return self
+
+        def appendValue(self, entry):  # noqa: N802
+            self.entries.append(entry)
+
+        def get(self):
+            return iter(list(self.entries))
+
+        def put(self, entries):
+            self.entries = list(entries)
+
+        def clear(self):
+            self.entries = []
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 30_000
+
+    schema = StructType().add("device", LongType()).add("us", LongType()).add("entry", BooleanType())
+    processor, handle = _quiet(schema, 1, [], 10_000), Handle()
+    processor.init(handle)
+    rows = [(1, 1, True), (2, 3, True), (1, 5, True), (None, 4, True), (3, 25, True), (2, 30, False)]
+    for part in (rows[:4], rows[4:]):
+        frame = pd.DataFrame([(None, d, s * 1_000_000, entry) for d, s, entry in part], columns=["t", "device", "us", "entry"])
+        assert [len(out) for out in processor.handleInputRows((7,), iter([frame]), None)] == [0]
+    assert handle.timers == [11_001, 35_001]
+    found = [r for out in processor.handleExpiredTimer((7,), handle, None) for r in out.itertuples(index=False, name=None)]
+    # Settled are rows up to second 20: device 1 came again after 4 seconds and left after 5, device 2 came back 27 seconds later.
+    assert sorted((d if d == d else None, us // 1_000_000) for d, us in found if d == d) == [(1, 5), (2, 3)]
+    assert sum(d != d or d is None for d, _ in found) == 1
+    assert handle.timers[-1] == 35_001 and len(handle.entries) == 1
