@@ -14,6 +14,7 @@ from pyspark.sql.types import BooleanType, LongType, StructType
 from brookhouse.streaming import bounces_by_timer
 from brookhouse.streaming.mirror import _versions
 from brookhouse.plans import catalog
+from brookhouse.session import KEYED, VERSIONS, stream_settings
 from brookhouse.streaming import replay as replays
 from brookhouse.streaming.replay import Played, replay
 from brookhouse.streaming.stateful import _first_day, _quiet
@@ -110,3 +111,14 @@ def test_timers_settle_the_devices_of_a_bucket_together_and_keep_each_apart():
     assert sorted((d if d == d else None, us // 1_000_000) for d, us in found if d == d) == [(1, 5), (2, 3)]
     assert sum(d != d or d is None for d, _ in found) == 1
     assert handle.timers[-1] == 35_001 and len(handle.entries) == 1
+
+
+def test_a_stream_keeps_one_version_in_memory_and_the_session_as_it_was(spark):
+    names = [VERSIONS, PROVIDER, *KEYED]
+    spark.conf.unset(VERSIONS)
+    before = [spark.conf.get(n, None) for n in names]
+    with stream_settings(spark):
+        assert spark.conf.get(VERSIONS) == "1"
+    with stream_settings(spark, keyed=True):
+        assert "RocksDB" in spark.conf.get(PROVIDER) and {n: spark.conf.get(n) for n in KEYED} == KEYED
+    assert [spark.conf.get(n, None) for n in names] == before
