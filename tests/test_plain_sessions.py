@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import subprocess
 import sys
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql.types import BooleanType, LongType, StructType
 
 from brookhouse.streaming import bounces_by_timer
 from brookhouse.streaming.mirror import _versions
-from brookhouse.plans import catalog
+from brookhouse.plans import catalog, topic_queries
 from brookhouse.session import KEYED, VERSIONS, stream_settings
 from brookhouse.streaming import replay as replays
 from brookhouse.streaming.replay import Played, replay
@@ -122,3 +123,26 @@ def test_a_stream_keeps_one_version_in_memory_and_the_session_as_it_was(spark):
     with stream_settings(spark, keyed=True):
         assert "RocksDB" in spark.conf.get(PROVIDER) and {n: spark.conf.get(n) for n in KEYED} == KEYED
     assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_product_statistics_keep_their_state_off_the_heap(spark, tmp_path, monkeypatch):
+    """Whatever the session's state store, a row per order, product and window goes to RocksDB."""
+    class Seen(Exception):
+        pass
+
+    def play(spark, job, steps, keyed=False):
+        with stream_settings(spark, keyed):
+            raise Seen(spark.conf.get(PROVIDER))
+
+    monkeypatch.setattr(topic_queries, "play", play)
+    monkeypatch.setattr(topic_queries, "_feed", lambda *_, **__: [])
+    row = spark.sql("SELECT 1L AS sku_id, 1L AS order_id, 1.0 AS split_total_amount, '' AS callback_time, TIMESTAMP '2024-01-01 00:00:00' AS rowtime")
+    names = ("pages", "order_wide", "payment_wide", "favors", "carts", "refunds", "comments")
+    monkeypatch.setattr(topic_queries, "_product_facts", lambda _: SimpleNamespace(**dict.fromkeys(names, row)))
+    ours = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        with pytest.raises(Seen, match="RocksDB"):
+            catalog.QUERIES["stream_product_stats"](spark, str(tmp_path))
+    finally:
+        spark.conf.set(PROVIDER, ours)
